@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from peakmill.llm import jaccard, quality
+from peakmill.llm import jaccard, langid, quality
 from peakmill.runtime import table
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs, PIECES))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -19,6 +28,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
