@@ -16,7 +16,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
