@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakmill.runtime import materialize
+from peakmill.runtime import materialize, parts_for
+
+#: Edges of one file between rounds.
+ROWS = 200_000
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -23,6 +26,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     cur = materialize(
         e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
+    parts = parts_for(cur.count(), ROWS)
     for _ in range(max_rounds):
         low = cur.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("n"))
         # a node with several smaller neighbours links them all to the smallest
@@ -39,7 +43,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         nxt = materialize(
             linked.join(parent.select(F.col("a").alias("b"), F.col("m").alias("up")), "b", "left")
             .select("a", F.coalesce("up", "b").alias("b"))
-            .distinct(),
+            .distinct()
+            .coalesce(parts),
             "edges",
         )
         # done when every node has one parent and no parent has a parent

@@ -50,6 +50,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(rows: int, each: int) -> int:
+    """Files for a table of that many rows; for coalesce(), so that a small table isn't strewn over hundreds."""
+    return max(1, -(-rows // each))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system, whatever store it is in."""
     jvm = spark.sparkContext._jvm
