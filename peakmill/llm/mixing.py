@@ -7,7 +7,8 @@ undecided documents at a time along the direction that leaves both the token
 total and the document total of the sample as they are, until one of the three
 is decided. Groups of bounded size fly apart; each leaves at most two undecided
 documents, and these fly again in ever fewer groups until one group a source
-is left, whose last two are landed by a draw that keeps the token total nearest.
+is left. That one keeps ten documents of spread sizes for a small landing
+problem, which is solved outright: the choice nearest both totals.
 
 Draws are hashes of the seed and the group, so reruns agree. Sizes, totals and
 targets cover all rows; the documents of a hot source are spread over many
@@ -35,6 +36,8 @@ from peakmill.runtime import materialize
 
 #: Undecided documents of one flight.
 FLIGHT = 20_000
+#: Documents that the last flight of a source keeps for the landing.
+RESERVE = 10
 EPS = 1e-9
 
 
@@ -133,18 +136,31 @@ def fly(p: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> np.ndarra
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decide the last undecided ones (two at most): the choice whose tokens come nearest the expected."""
+    """Decide the undecided (RESERVE + 2 at most) together: of all choices, the one whose tokens and then documents come nearest the expected."""
     left = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     if not len(left):
         return p
-    want = float((p[left] * size[left]).sum())
-    best = min(range(1 << len(left)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(left) if m >> k & 1) - want), m))
+    bits = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    tokens = np.abs(bits @ size[left].astype(float) - (p[left] * size[left]).sum())
+    documents = np.abs(bits.sum(1) - p[left].sum())
+    # a document too many or too few weighs as a hundredth of a mean document's tokens
+    best = int((tokens + documents * max(1.0, size[left].mean() / 100)).argmin())
     p = p.copy()
-    for k, i in enumerate(left):
-        p[i] = best >> k & 1
+    p[left] = bits[best]
     return p
 
 
+def last_flight(p: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Fly all but RESERVE undecided documents of evenly spread sizes, then land those with what is left."""
+    undecided = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    by_size = undecided[np.argsort(size[undecided], kind="stable")]
+    kept = by_size[np.unique(np.linspace(0, len(by_size) - 1, min(RESERVE, len(by_size))).astype(int))] if len(by_size) else by_size
+    rest = np.setdiff1d(np.arange(len(p)), kept)
+    p = p.copy()
+    p[rest] = fly(p[rest], size[rest], draw)
+    return land(p, size)
+
+
 def flight(seed: int, level: int, final: bool, names: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The work of one group at one level; the last level's single group of a source also lands."""
 
@@ -153,8 +169,7 @@ def flight(seed: int, level: int, final: bool, names: list[str]) -> Callable[[pd
         g = g.sort_values(["size", "unit", "doc_key"], ascending=[False, True, True], kind="stable")
         rng = np.random.default_rng([seed, level, int(g["unit"].iloc[0]) & 0xFFFFFFFF, len(g)])
         size = g["size"].to_numpy(np.int64)
-        p = fly(g["p"].to_numpy(float), size, rng)
-        g["p"] = land(p, size) if final else p
+        g["p"] = (last_flight if final else fly)(g["p"].to_numpy(float), size, rng)
         return g[names]
 
     return work
