@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from peakmill.llm import chat, jaccard, langid, mixing, packing, quality
-from peakmill.runtime import table
+from peakmill.llm import chat, fingerprint, jaccard, langid, mixing, packing, quality, shards
+from peakmill.runtime import scratch_path, table
 
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +21,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs, PIECES))
 
 
+def op3_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shards.ShardStore(spark, scratch_path(spark, "shards"))
+    return shards.shard_documents(table(spark, sf_dir, "documents"), store)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -32,6 +37,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(planted), BYTE_BPE))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -46,8 +55,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_size_tiered_sharding": op3_size_tiered_sharding,
     "op4_source_mixing": op4_source_mixing,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_best_fit_packing": op10_best_fit_packing,
