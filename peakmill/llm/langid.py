@@ -83,28 +83,33 @@ class Lattice:
         self.bloom = np.zeros(1 << self.BLOOM, bool)
         self.bloom[(self.hash >> U(64 - self.BLOOM)).astype(np.int64)] = True
 
-    def arcs(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each end position: ids[word, length-1] of the pieces that end there; self.size where none does.
+    def arcs(self, codes: np.ndarray) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+        """For each end position: (start, words, piece ids) of the pieces that end there, by start.
 
-        A character that is no piece is the unknown piece 0.
+        codes: [position, word]. A character that is no piece is the unknown piece 0.
         """
-        n, width = codes.shape
-        h = np.zeros((n, 0), U)
-        for end in range(1, width + 1):
-            c = codes[:, end - 1].astype(U) + U(1)
-            # h[:, j] is the hash of the j+1 characters before this one
-            h = np.concatenate([c[:, None], h[:, : self.longest - 1] * _MUL + c[:, None]], 1)
-            ids = np.full(h.shape, self.size, np.int64)
-            maybe = self.bloom[(h >> U(64 - self.BLOOM)).astype(np.int64)]
-            seen = h[maybe]
-            at = np.minimum(np.searchsorted(self.hash, seen), len(self.hash) - 1)
-            ids[maybe] = np.where(self.hash[at] == seen, self.id[at], self.size)
-            ids[:, 0] = np.where(ids[:, 0] == self.size, 0, ids[:, 0])
-            yield end, ids
+        h: list[np.ndarray] = []
+        for end in range(1, len(codes) + 1):
+            c = codes[end - 1].astype(U) + U(1)
+            h = [c, *(x * _MUL + c for x in h[: self.longest - 1])]
+            out = []
+            for j, x in enumerate(h):
+                rows = np.flatnonzero(self.bloom[(x >> U(64 - self.BLOOM)).astype(np.int64)])
+                seen = x[rows]
+                at = np.minimum(np.searchsorted(self.hash, seen), len(self.hash) - 1)
+                ok = self.hash[at] == seen
+                rows, ids = rows[ok], self.id[at[ok]]
+                if j == 0 and len(rows) < len(x):
+                    every = np.zeros(len(x), np.int64)
+                    every[rows] = ids
+                    rows, ids = np.arange(len(x)), every
+                if len(rows):
+                    out.append((end - 1 - j, rows, ids))
+            yield end, out
 
 
 def in_groups(words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """(words, their lengths, codes) in groups of like length, of bounded size."""
+    """(words, their lengths, codes [position, word]) in groups of like length, of bounded size."""
     words = sorted(words, key=len)
     at = 0
     while at < len(words):
@@ -112,7 +117,7 @@ def in_groups(words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndar
         group = words[at : at + take]
         at += take
         size = np.fromiter(map(len, group), np.int64, len(group))
-        yield group, size, codes_of(group, int(size.max()))
+        yield group, size, np.ascontiguousarray(codes_of(group, int(size.max())).T)
 
 
 def word_scores(lattice: Lattice, prob: np.ndarray, words: list[str]) -> dict[str, np.ndarray]:
@@ -123,16 +128,14 @@ def word_scores(lattice: Lattice, prob: np.ndarray, words: list[str]) -> dict[st
     out: dict[str, np.ndarray] = {}
     k = prob.shape[1]
     for group, size, codes in in_groups(words):
-        n, width = codes.shape
+        width, n = codes.shape
         ahead = np.zeros((width + 1, n, k))
         ahead[0] = 1
         scale, final = np.zeros((n, k)), np.zeros((n, k))
-        for end, ids in lattice.arcs(codes):
+        for end, found in lattice.arcs(codes):
             now = ahead[end]
-            for j in range(ids.shape[1]):
-                on = np.flatnonzero(ids[:, j] < lattice.size)
-                if len(on):
-                    now[on] += ahead[end - 1 - j][on] * prob[ids[on, j]]
+            for start, on, ids in found:
+                now[on] += ahead[start][on] * prob[ids]
             done = np.flatnonzero(size == end)
             if len(done):
                 final[done] = np.log(now[done]) + scale[done]
@@ -151,26 +154,23 @@ def expected_counts(lattice: Lattice, prior: np.ndarray, words: list[str], weigh
     out = np.zeros((weights.shape[1], lattice.size + 1))
     place = {w: i for i, w in enumerate(words)}
     for group, size, codes in in_groups(words):
-        n, width = codes.shape
-        all_ids = [ids for _, ids in lattice.arcs(codes)]
-        a = np.zeros((n, width + 1))
-        a[:, 0] = 1
-        for end, ids in enumerate(all_ids, 1):
-            for j in range(ids.shape[1]):
-                a[:, end] += a[:, end - 1 - j] * prior[ids[:, j]]
-        b = np.zeros((n, width + 1))
-        b[np.arange(n), size] = 1
-        w = weights[[place[x] for x in group]]
-        z = a[np.arange(n), size]
-        for end in range(width, 0, -1):
-            ids = all_ids[end - 1]
-            for j in range(ids.shape[1]):
-                arc = prior[ids[:, j]] * b[:, end]
-                post = a[:, end - 1 - j] * arc / z
-                b[:, end - 1 - j] += arc
-                on = np.flatnonzero(post > 1e-6)
+        width, n = codes.shape
+        arcs = list(lattice.arcs(codes))
+        a = np.zeros((width + 1, n))
+        a[0] = 1
+        for end, found in arcs:
+            for start, on, ids in found:
+                a[end, on] += a[start, on] * prior[ids]
+        b = np.zeros((width + 1, n))
+        b[size, np.arange(n)] = 1
+        w = weights[[place[x] for x in group]] / a[size, np.arange(n)][:, None]
+        for end, found in reversed(arcs):
+            for start, on, ids in found:
+                arc = prior[ids] * b[end, on]
+                b[start, on] += arc
+                post = a[start, on] * arc
                 for lang in range(w.shape[1]):
-                    out[lang] += np.bincount(ids[on, j], post[on] * w[on, lang], minlength=lattice.size + 1)
+                    out[lang] += np.bincount(ids, post * w[on, lang], minlength=lattice.size + 1)
     return out[:, :-1]
 
 

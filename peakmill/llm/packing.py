@@ -14,6 +14,7 @@ equal doc_id are packed each on its own. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,46 +27,97 @@ from pyspark.sql.window import Window
 from peakmill.runtime import materialize
 
 CAPACITY = 2048
-CACHE = 150_000
+CACHE = 400_000
 BATCH = 100_000
+#: Words that are encoded as one string.
+JOINED = 256
+#: A word of letters with ASCII marks after it.
+CORE = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)$")
 #: Rows of one rank group, about.
 LOT = 200_000
 END = np.zeros(1, "<u4").tobytes()
-_held: dict[str, tuple[object, dict[str, bytes]]] = {}
+_held: dict[str, "Words"] = {}
 
 
-def encoder(path: str) -> tuple[object, dict[str, bytes]]:
-    """The tokenizer of a worker and its cache of words' ids, as little-endian bytes."""
-    if path not in _held:
+class Words:
+    """A worker's tokenizer with a bounded cache of words' ids, as little-endian bytes.
+
+    The tokenizer drops white space and never joins across it, so words are
+    encoded alone. Letters and the marks after them are pieces of their own for
+    it, so a word is looked up as its lower-cased letters and its marks; words
+    of letters are encoded many in one string, and told apart by the tokens
+    that end a word. Anything else is encoded by itself.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.ids: dict[str, bytes] = {}
+        self.hot: set[str] = set()
+
+    def _alone(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        """words: lower-cased and of letters only."""
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(group):  # a letter that the tokenizer takes for something else
+                self._alone(group)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, end in zip(group, (stop * 4).tolist(), strict=True):
+                self.ids[w] = data[at:end]
+                at = end
+
+    def encode(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words."""
+        seen = set().union(*lists)
+        new = seen.difference(self.ids)
+        self.hot |= seen.difference(new)
+        if len(self.ids) + 2 * len(new) > CACHE:
+            self.ids = {w: self.ids[w] for w in self.hot} if len(self.hot) < CACHE // 2 else {}
+            self.hot = set()
+            new = seen.difference(self.ids)
+        parts = {}
+        other = set()
+        for w in new:
+            m = None if "Σ" in w else CORE.match(w.lower())
+            if m:
+                parts[w] = m.groups()
+            else:
+                other.add(w)
+        letters = {c for c, _ in parts.values()}.difference(self.ids)
+        self._letters(list(letters))
+        other |= {t for _, t in parts.values()}.difference(self.ids)
+        self._alone(list(other))
+        for w, (core, marks) in parts.items():
+            self.ids[w] = self.ids[core] + self.ids[marks] if marks else self.ids[core]
+        return [b"".join(map(self.ids.__getitem__, words)) for words in lists]
+
+
+def encoder(path: str) -> Words:
+    if path not in _held:
         _held.clear()
-        _held[path] = (Tokenizer.from_file(path), {})
+        _held[path] = Words(path)
     return _held[path]
 
 
-def encode_words(path: str, lists: list[list[str]]) -> list[bytes]:
-    """Ids of each list of words. A tokenizer that drops white space never joins across it, so words are encoded alone."""
-    tok, cache = encoder(path)
-    new = set().union(*lists).difference(cache)
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = set().union(*lists)
-    if new:
-        words = list(new)
-        for w, e in zip(words, tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, words)) for words in lists]
-
-
 def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of whole texts, as bytes; words are taken BATCH at a time."""
     parts: list[list[bytes]] = [[] for _ in texts]
     waiting: list[tuple[int, list[str]]] = []
 
     def settle() -> None:
-        for (i, _), ids in zip(waiting, encode_words(path, [w for _, w in waiting]), strict=True):
+        for (i, _), ids in zip(waiting, encoder(path).encode([w for _, w in waiting]), strict=True):
             parts[i].append(ids)
         waiting.clear()
 

@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-Units are a text's distinct words, and runs of single-character words read as
-one word ("i d i o t"). Two units are compared by the gap-weighted subsequence
+Units are a text's distinct words, words freed of marks inside them, and runs
+of single-character words read as one word ("i d i o t"). Two units are compared by the gap-weighted subsequence
 kernel: ordered character triples within a window of SPAN characters, each
 weighing DECAY to the power of the stretch it spans, normalised, to the power
 SHARPNESS. Inserted characters and gaps only lengthen the stretch. A text's
@@ -23,6 +23,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,13 @@ FIT_ROWS = 12_000
 LANDMARKS = 64
 #: Words looked at as landmarks.
 POOL = 3_000
+#: Standard deviations by which a landmark and the words like it must stand out.
+LEAST_GAIN = 5.5
 DECAY = 0.7
-SPAN = 10
-SHARPNESS = 4
+SPAN = 7
+SHARPNESS = 3
+#: Kernel values below this count as none.
+NEAR = 1e-4
 CACHE = 200_000
 ROWS = 512
 EDGE = ".,;:!?\"'()[]{}<>*#|&%$-_/\\~`"
@@ -48,6 +53,7 @@ def units(text: str) -> set[str]:
     """Distinct lower-case words without edge punctuation, and joined runs of three or more single characters."""
     words = [w.strip(EDGE) for w in text.lower().split()]
     out = set(words)
+    out |= {"".join(filter(str.isalnum, w)) for w in out if not w.isalnum()}
     run: list[str] = []
     if any(len(w) == 1 for w in out):
         for w in [*words, ""]:
@@ -60,6 +66,7 @@ def units(text: str) -> set[str]:
     return {w for w in out if len(w) >= 3}
 
 
+@lru_cache(256)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all ordered triples within SPAN in a word of n characters, and their weights."""
     at = [(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + SPAN)) for k in range(j + 1, min(n, i + SPAN))]
@@ -80,10 +87,19 @@ def grouped(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
             yield part, flat.reshape(len(part), n).astype(np.int64)
 
 
+def triple_keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the triples [word, triple] of words of one length, and the triples' weights."""
+    at, weight = _triples(codes.shape[1])
+    return (codes[:, at[:, 0]] << 42) | (codes[:, at[:, 1]] << 21) | codes[:, at[:, 2]], weight
+
+
+def bloom_at(key: np.ndarray) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+
 def triple_features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of words of one length: sorted triple codes a word, their weights, and the words' norms."""
-    at, weight = _triples(codes.shape[1])
-    key = (codes[:, at[:, 0]] << 42) | (codes[:, at[:, 1]] << 21) | codes[:, at[:, 2]]
+    key, weight = triple_keys(codes)
     order = np.argsort(key, axis=1)
     key = np.take_along_axis(key, order, 1)
     w = weight[order]
@@ -110,23 +126,39 @@ class Landmarks:
                     row = table.setdefault(k, {})
                     row[i] = row.get(i, 0.0) + v / norm[0]
         self.key = np.array(sorted(table), np.int64)
+        self.bloom = np.zeros(1 << 16, bool)
+        self.bloom[bloom_at(self.key)] = True
         self.weight = np.zeros((len(self.key), len(words)), np.float32)
         for r, k in enumerate(self.key.tolist()):
             for i, v in table[k].items():
                 self.weight[r, i] = v
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        """[word, landmark] kernel values, 0 to 1."""
+        """[word, landmark] kernel values, 0 to 1; values under NEAR may be given as 0.
+
+        A word's norm is at least that of its triples taken apart, so most
+        words are ruled out before their triples need to be put together.
+        """
         out = np.zeros((len(words), len(self.words)), np.float32)
+        if not len(self.key):
+            return out
+        least = NEAR ** (1 / SHARPNESS)
         for index, codes in grouped(words):
-            key, w, norm = triple_features(codes)
-            at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-            hit = self.key[at] == key if len(self.key) else np.zeros(key.shape, bool)
-            row, col = np.nonzero(hit)
-            if len(row):
-                add = w[row, col, None].astype(np.float32) * self.weight[at[row, col]]
-                start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                out[np.array(index)[row[start]]] = np.add.reduceat(add, start, axis=0) / norm[row[start], None]
+            key, weight = triple_keys(codes)
+            row, col = np.nonzero(self.bloom[bloom_at(key)])
+            seen = key[row, col]
+            at = np.minimum(np.searchsorted(self.key, seen), len(self.key) - 1)
+            ok = self.key[at] == seen
+            row, col, at = row[ok], col[ok], at[ok]
+            if not len(row):
+                continue
+            add = weight[col, None].astype(np.float32) * self.weight[at]
+            start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            dot, who = np.add.reduceat(add, start, axis=0), row[start]
+            maybe = dot.max(1) > least * np.sqrt((weight**2).sum())
+            if maybe.any():
+                norm = triple_features(codes[who[maybe]])[2]
+                out[np.array(index)[who[maybe]]] = dot[maybe] / norm[:, None]
         return np.minimum(out, 1) ** SHARPNESS
 
 
@@ -159,7 +191,7 @@ def likenesses(landmarks: Landmarks, key: str, texts: list[str | None]) -> np.nd
         new = list(set().union(*found))
     if new:
         k = landmarks.kernel(new)
-        near = k.max(1) > 1e-4
+        near = k.max(1) > NEAR
         # row 0 stays zero: what is like no landmark; kept rows are few
         used = 1 + max((v for v in place.values()), default=0) if place else 1
         need = used + int(near.sum())
@@ -187,7 +219,7 @@ def choose_landmarks(words: list[str], gain: np.ndarray, count: int) -> list[str
         value = k @ (gain * left)
         value[chosen] = -1
         best = int(value.argmax())
-        if value[best] <= 1e-9:
+        if value[best] < LEAST_GAIN:
             break
         chosen.append(best)
         left *= 1 - k[best]
@@ -251,13 +283,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                 toxic = np.repeat(part.column("toxic").to_numpy(), [len(u) for u in found])
                 yield pa.RecordBatch.from_arrays([pa.array([w for u in found for w in u], pa.string()), pa.array(toxic, pa.int32())], ["word", "toxic"])
 
-    # pointwise gain of a word: how far the share of label 1 among its texts lies above the share overall, in counts
+    # gain of a word: by how many standard deviations label 1 is more frequent among its texts than overall
     share = ones / n
     counts = sample.select("text", "toxic").mapInArrow(explode, "word string, toxic int").groupBy("word").agg(
         F.sum("toxic").alias("k"), F.count("toxic").alias("c")
     )
-    gain = (F.col("k") - share * F.col("c")) / F.sqrt(F.col("c") + 1.0)
-    top = counts.where("k > 1 and length(word) <= 24").withColumn("gain", gain).where("gain > 0").orderBy(F.desc("gain"), "word").limit(POOL).collect()
+    gain = (F.col("k") - share * F.col("c")) / F.sqrt(F.col("c") * share * (1 - share))
+    top = counts.where("k > 1 and length(word) <= 24").withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN / 2).orderBy(F.desc("gain"), "word").limit(POOL).collect()
     words = choose_landmarks([r["word"] for r in top], np.array([r["gain"] for r in top]), LANDMARKS)
     if not words:
         return Model(constant=share)
