@@ -58,7 +58,6 @@ class Words:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.ids: dict[str, bytes] = {}
-        self.hot: set[str] = set()
 
     def _alone(self, words: list[str]) -> None:
         for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -82,21 +81,20 @@ class Words:
         """Ids of each list of words."""
         seen = set().union(*lists)
         new = seen.difference(self.ids)
-        self.hot |= seen.difference(new)
         if len(self.ids) + 2 * len(new) > CACHE:
-            self.ids = {w: self.ids[w] for w in self.hot} if len(self.hot) < CACHE // 2 else {}
-            self.hot = set()
-            new = seen.difference(self.ids)
+            # frequent words are in every batch
+            self.ids = {w: self.ids[w] for w in seen.difference(new)}
+        plain, other = [], set()
         parts = {}
-        other = set()
         for w in new:
-            m = None if "Σ" in w else CORE.match(w.lower())
-            if m:
+            if w.isalpha() and w.islower():
+                plain.append(w)
+            elif m := None if "Σ" in w else CORE.match(w.lower()):
                 parts[w] = m.groups()
             else:
                 other.add(w)
         letters = {c for c, _ in parts.values()}.difference(self.ids)
-        self._letters(list(letters))
+        self._letters(list(letters.union(plain)))
         other |= {t for _, t in parts.values()}.difference(self.ids)
         self._alone(list(other))
         for w, (core, marks) in parts.items():
