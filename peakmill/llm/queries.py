@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from peakmill.llm import chat, fingerprint, jaccard, langid, mixing, packing, quality, shards, toxicity
+from peakmill.llm import chat, fingerprint, jaccard, langid, mixing, packing, quality, shards, toxicity, url_rules
 from peakmill.runtime import scratch_path, table
 
 
@@ -16,6 +17,19 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels come by the number in a page's path, the doc_id of the document that the page shows."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels")
+    bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
+    shown = pages.withColumn("doc_id", F.expr(r"try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint)")).where("doc_id is not null")
+    labelled = shown.join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("url", "bad")
+    return url_rules.judge(pages, URL_RULES, url_rules.mine(labelled))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs, PIECES))
@@ -59,6 +73,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_rules": op1_url_rules,
     "op2_language_id": op2_language_id,
     "op3_size_tiered_sharding": op3_size_tiered_sharding,
     "op4_source_mixing": op4_source_mixing,
