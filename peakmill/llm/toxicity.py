@@ -35,7 +35,7 @@ from peakmill.runtime import materialize
 FIT_ROWS = 12_000
 LANDMARKS = 64
 #: Words looked at as landmarks.
-POOL = 3_000
+POOL = 2_000
 #: Standard deviations by which a landmark and the words like it must stand out.
 LEAST_GAIN = 5.5
 DECAY = 0.7
@@ -212,7 +212,8 @@ def choose_landmarks(words: list[str], gain: np.ndarray, count: int) -> list[str
     """Greedy cover: each next landmark is the word whose likeness carries most of the gain not yet covered."""
     if not words:
         return []
-    k = Landmarks(words).kernel(words).astype(float)
+    # a hundred columns at a time: a landmark table is as wide as its words
+    k = np.concatenate([Landmarks(words[at : at + 100]).kernel(words) for at in range(0, len(words), 100)], 1)
     left = np.ones(len(words))
     chosen: list[int] = []
     for _ in range(min(count, len(words))):
@@ -304,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                 yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
 
     rows = sample.select("toxic", "text").mapInArrow(featurise, "toxic int, x array<double>").toArrow()  # at most fit_rows
-    x = np.array(rows.column("x").to_pylist())
+    x = np.stack(rows.column("x").combine_chunks().values.to_numpy().reshape(-1, len(words)))
     y = rows.column("toxic").to_numpy().astype(float)
     order = np.lexsort([*x.T, y])
     x, y = x[order], y[order]
