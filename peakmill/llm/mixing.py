@@ -221,5 +221,6 @@ def mix(docs: DataFrame, **how: object) -> DataFrame:
     """
     taken = allocate(docs.select("doc_id", "source", "text"), **how).groupBy("doc_id").agg(F.max("copies").alias("n_")).where("n_ > 0")
     d = docs.withColumn("n_key_", F.col("doc_id"))
-    joined = d.join(taken.select(F.col("doc_id").alias("t_"), "n_"), F.col("n_key_").eqNullSafe(F.col("t_")))
+    # as many rows as documents: never broadcast
+    joined = d.join(taken.select(F.col("doc_id").alias("t_"), "n_").hint("merge"), F.col("n_key_").eqNullSafe(F.col("t_")))
     return joined.withColumn("i_", F.explode(F.sequence(F.lit(1), F.col("n_").cast("int")))).select(*[joined[c] for c in docs.columns])

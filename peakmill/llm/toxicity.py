@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from peakmill.runtime import materialize
 
 FIT_ROWS = 12_000
-LANDMARKS = 64
+LANDMARKS = 48
 #: Words looked at as landmarks.
 POOL = 2_000
 #: Standard deviations by which a landmark and the words like it must stand out.
@@ -51,18 +51,19 @@ THRESHOLD = 0.3
 
 def units(text: str) -> set[str]:
     """Distinct lower-case words without edge punctuation, and joined runs of three or more single characters."""
-    words = [w.strip(EDGE) for w in text.lower().split()]
-    out = set(words)
+    words = text.lower().split()
+    raw = set(words)
+    out = {w.strip(EDGE) for w in raw}
     out |= {"".join(filter(str.isalnum, w)) for w in out if not w.isalnum()}
-    run: list[str] = []
-    if any(len(w) == 1 for w in out):
-        for w in [*words, ""]:
-            if len(w) == 1:
-                run.append(w)
-            elif run:
-                if len(run) >= 3:
-                    out.add("".join(run))
-                run = []
+    if min(map(len, raw), default=2) == 1:
+        # places of single characters; three or more in a row are a word
+        at = [i for i, w in enumerate(words) if len(w) == 1]
+        first = 0
+        for j in range(1, len(at) + 1):
+            if j == len(at) or at[j] != at[j - 1] + 1:
+                if j - first >= 3:
+                    out.add("".join(words[i] for i in at[first:j]))
+                first = j
     return {w for w in out if len(w) >= 3}
 
 
@@ -128,10 +129,10 @@ class Landmarks:
         self.key = np.array(sorted(table), np.int64)
         self.bloom = np.zeros(1 << 16, bool)
         self.bloom[bloom_at(self.key)] = True
-        self.weight = np.zeros((len(self.key), len(words)), np.float32)
-        for r, k in enumerate(self.key.tolist()):
-            for i, v in table[k].items():
-                self.weight[r, i] = v
+        rows = [sorted(table[k].items()) for k in self.key.tolist()]
+        self.start = np.cumsum([0, *map(len, rows)])
+        self.owner = np.array([i for r in rows for i, _ in r], np.int64)
+        self.weight = np.array([v for r in rows for _, v in r])
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """[word, landmark] kernel values, 0 to 1; values under NEAR may be given as 0.
@@ -152,13 +153,16 @@ class Landmarks:
             row, col, at = row[ok], col[ok], at[ok]
             if not len(row):
                 continue
-            add = weight[col, None].astype(np.float32) * self.weight[at]
-            start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            dot, who = np.add.reduceat(add, start, axis=0), row[start]
-            maybe = dot.max(1) > least * np.sqrt((weight**2).sum())
-            if maybe.any():
-                norm = triple_features(codes[who[maybe]])[2]
-                out[np.array(index)[who[maybe]]] = dot[maybe] / norm[:, None]
+            # a triple is in one or two landmarks: sum its parts by word and landmark
+            many = self.start[at + 1] - self.start[at]
+            part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.start[at], many)
+            cell = np.repeat(row, many) * len(self.words) + self.owner[part]
+            dot = np.bincount(cell, np.repeat(weight[col], many) * self.weight[part], minlength=len(index) * len(self.words))
+            dot = dot.reshape(len(index), len(self.words))
+            who = np.flatnonzero(dot.max(1) > least * np.sqrt((weight**2).sum()))
+            if len(who):
+                norm = triple_features(codes[who])[2]
+                out[np.array(index)[who]] = dot[who] / norm[:, None]
         return np.minimum(out, 1) ** SHARPNESS
 
 
