@@ -14,17 +14,29 @@ from peakmill.functions.sequence import hit_offsets, kmers
 from peakmill.operators.windows import best_per_key
 
 
+#: Letters by which a sequence is looked up before it is compared.
+SEED = 14
+
+
 def containment(patterns: DataFrame, targets: DataFrame) -> DataFrame:
     """(pattern_id, target_id, start): every place of every pattern in every target, from 0.
 
-    Patterns of one length meet the target's substrings of that length in an
-    equi-join, one for each length that occurs; nothing is compared pairwise.
+    A pattern's first SEED letters (all of a shorter one) meet the target's
+    substrings of that length in an equi-join; what meets is compared in full.
     """
-    sizes = patterns.select(F.length("seq").alias("size")).where("size > 0").distinct()
-    grams = targets.join(F.broadcast(sizes), F.length("seq") >= F.col("size")).select(  # a row a length
-        "target_id", "size", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("size") + 1), lambda i: F.substring("seq", i, F.col("size")))).alias("start", "gram")
-    )
-    return grams.join(patterns.withColumnRenamed("seq", "gram"), "gram").select("pattern_id", "target_id", "start")
+    size = F.least(F.lit(SEED), F.length("seq"))
+    p = patterns.where("length(seq) > 0").select("pattern_id", F.col("seq").alias("pattern"), size.alias("size"), F.substring("seq", F.lit(1), size).alias("gram"))
+    t = grams(targets, p.select("size").distinct(), "target_id", "seq")
+    met = t.join(p, ["size", "gram"])
+    # the text once a target that anything met, not once a substring
+    near = met.join(targets.select("target_id", "seq"), "target_id")
+    return near.where(F.expr("substr(seq, start + 1, length(pattern)) = pattern")).select("pattern_id", "target_id", "start")
+
+
+def grams(targets: DataFrame, sizes: DataFrame, ident: str, seq: str) -> DataFrame:
+    """(ident, size, start, gram): all substrings of the sizes, of which there are SEED at most."""
+    each = F.transform(F.sequence(F.lit(1), F.length(seq) - F.col("size") + 1), lambda i: F.substring(seq, i, F.col("size")))
+    return targets.join(F.broadcast(sizes), F.length(seq) >= F.col("size")).select(ident, "size", F.posexplode(each).alias("start", "gram"))
 
 
 def map_longest_first(sequences: list[tuple[str, int]], compat: bool = False) -> list[tuple[str, list[int]]]:
@@ -171,16 +183,15 @@ def nearest_profiles(queries: DataFrame, profiles: DataFrame, bound: int) -> Dat
     """(query, cnt, profile_id, start, end, distance, mean): all nearest profiles of queries(query, cnt) within the bound.
 
     A match with at most ``bound`` edits leaves one of bound + 1 equal blocks of
-    the query intact, so pairs that share a block are the only candidates.
+    the query intact, so pairs that share a block's first letters are the only
+    candidates.
     """
-    size = F.floor(F.length("query") / (bound + 1)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(bound)), lambda i: F.substring("query", i * size + 1, size))
-    q = queries.where(F.length("query") > bound).select("query", "cnt", size.alias("size"), F.explode(F.array_distinct(blocks)).alias("w"))
-    sizes = q.select("size").distinct()
-    t = profiles.join(F.broadcast(sizes), F.length("seq") >= F.col("size")).select(  # a row a block length
-        "profile_id", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("size") + 1), lambda i: F.substring("seq", i, F.col("size"))))).alias("w")
-    )
-    pairs = q.join(t, ["size", "w"]).select("query", "cnt", "profile_id").distinct().join(profiles, "profile_id")
+    block = F.floor(F.length("query") / (bound + 1)).cast("int")
+    size = F.least(F.lit(SEED), block)
+    seeds = F.transform(F.sequence(F.lit(0), F.lit(bound)), lambda i: F.substring("query", i * block + 1, size))
+    q = queries.where(F.length("query") > bound).select("query", "cnt", size.alias("size"), F.explode(F.array_distinct(seeds)).alias("gram"))
+    t = grams(profiles, q.select("size").distinct(), "profile_id", "seq").select("profile_id", "size", "gram").distinct()
+    pairs = q.join(t, ["size", "gram"]).select("query", "cnt", "profile_id").distinct().join(profiles, "profile_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

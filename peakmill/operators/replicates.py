@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from peakmill.functions.kernels import infix_distance
 from peakmill.functions.sequence import query_and_target, reverse_complement
+from peakmill.operators.mapping import SEED, grams
 from peakmill.operators.windows import best_per_key
 from peakmill.runtime import materialize
 
@@ -28,14 +29,13 @@ def candidate_pairs(visible: DataFrame, new: DataFrame, threshold: float, compat
 
     def blocks(df: DataFrame, ident: str, other: DataFrame, other_id: str) -> DataFrame:
         """Pairs where df's sequence is the query."""
-        cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("s") / F.col("block")).cast("int") - 1), lambda i: F.substring("s", i * F.col("block") + 1, F.col("block")))
         q = size(df).select(F.col(ident), "block", F.explode(strands).alias("x")).select(ident, "block", F.col("x.strand").alias("strand"), F.col("x.s").alias("s"))
-        q = q.select(ident, "block", "strand", F.length("s").alias("n"), F.explode(F.array_distinct(cut)).alias("w"))
-        lengths = q.select("block").distinct()
-        t = other.join(F.broadcast(lengths), F.length("seq") >= F.col("block")).select(  # a row a block length
-            other_id, "block", F.length("seq").alias("m"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("block") + 1), lambda i: F.substring("seq", i, F.col("block"))))).alias("w")
-        )
-        return q.join(t, ["block", "w"]).where("n <= m + n * %r" % threshold).select("vis_i", "new_i", "strand").distinct()
+        seed = F.least(F.lit(SEED), F.col("block"))
+        cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("s") / F.col("block")).cast("int") - 1), lambda i: F.substring("s", i * F.col("block") + 1, F.least(F.lit(SEED), F.col("block"))))
+        q = q.select(ident, "strand", F.length("s").alias("n"), seed.alias("size"), F.explode(F.array_distinct(cut)).alias("gram"))
+        sized = other.withColumn("m", F.length("seq"))
+        t = grams(sized, q.select("size").distinct(), other_id, "seq").select(other_id, "size", "gram").distinct().join(sized.select(other_id, "m"), other_id)
+        return q.join(t, ["size", "gram"]).where("n <= m + n * %r" % threshold).select("vis_i", "new_i", "strand").distinct()
 
     pairs = blocks(visible, "vis_i", new, "new_i").unionByName(blocks(new, "new_i", visible, "vis_i")).distinct()
     joined = pairs.join(visible.select("vis_i", F.col("seq").alias("a")), "vis_i").join(new.select("new_i", F.col("seq").alias("b")), "new_i")

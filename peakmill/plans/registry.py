@@ -376,9 +376,9 @@ def hit_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def add_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("profile_id"), F.lit("ACGTACGTAC").alias("seq"), F.array_repeat(F.col("p_size").cast("bigint"), 10).alias("base_counts"))
-    rows = line_hits(spark, sf_dir).where("6 - abs(least(sstart - qstart, 0)) > 0").withColumn("id", F.struct("query", "qstart"))
-    hits = rows.select(F.col("id").alias("query"), "target", "qstart", "sstart")
-    made = mapping.add_hits(profiles, hits, rows.select(F.col("id").alias("query"), F.col("length").alias("cnt")), 6)
+    rows = line_hits(spark, sf_dir).where("6 - abs(least(sstart - qstart, 0)) > 0").withColumn("id", F.struct("query", "qstart", "target", "sstart"))
+    hits = rows.select(F.col("id").alias("query"), "target", "qstart", "sstart").distinct()
+    made = mapping.add_hits(profiles, hits, rows.groupBy(F.col("id").alias("query")).agg(F.sum("length").alias("cnt")), 6)
     return made.select("profile_id", F.posexplode("base_counts").alias("pos", "cnt")).select("profile_id", F.col("pos").cast("bigint").alias("pos"), "cnt")
 
 
