@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakmill.functions.sequence import canonical, clamp_difference, fraction, half_even, kmers, reverse_complement
+from peakmill.functions.sequence import canonical, chunks, clamp_difference, fraction, half_even, reverse_complement, substrings
 
 
 def explode_kmers(reads: DataFrame, k: int, *keys: str) -> DataFrame:
-    """One row for each k-mer occurrence, with the key columns."""
-    return reads.select(*keys, F.explode(kmers(F.col("seq"), k)).alias("kmer"))
+    """One row for each k-mer occurrence, with the key columns. Long reads go part by part."""
+    parts = reads.select(*keys, F.explode(chunks(F.col("seq"), k)).alias("c"))
+    return parts.select(*keys, F.explode(substrings(F.col("c.part"), k)).alias("kmer"))
 
 
 def count_kmers(reads: DataFrame, k: int, *keys: str, both_strands: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from peakmill.functions.frames import frame
 from peakmill.functions.kernels import complete_linkage, global_alignment, infix_distance
-from peakmill.functions.sequence import hit_offsets, kmers
+from peakmill.functions.sequence import chunks, hit_offsets, kmers, substrings
 from peakmill.operators.windows import best_per_key
 
 
@@ -35,8 +35,10 @@ def containment(patterns: DataFrame, targets: DataFrame) -> DataFrame:
 
 def grams(targets: DataFrame, sizes: DataFrame, ident: str, seq: str) -> DataFrame:
     """(ident, size, start, gram): all substrings of the sizes, of which there are SEED at most."""
-    each = F.transform(F.sequence(F.lit(1), F.length(seq) - F.col("size") + 1), lambda i: F.substring(seq, i, F.col("size")))
-    return targets.join(F.broadcast(sizes), F.length(seq) >= F.col("size")).select(ident, "size", F.posexplode(each).alias("start", "gram"))
+    sized = targets.join(F.broadcast(sizes), F.length(seq) >= F.col("size"))
+    parts = sized.select(ident, "size", F.explode(chunks(F.col(seq), F.col("size"))).alias("c"))
+    each = parts.select(ident, "size", "c.at", F.posexplode(substrings(F.col("c.part"), F.col("size"))).alias("i", "gram"))
+    return each.select(ident, "size", (F.col("at") + F.col("i")).alias("start"), "gram")
 
 
 def map_longest_first(sequences: list[tuple[str, int]], compat: bool = False) -> list[tuple[str, list[int]]]:
