@@ -33,7 +33,7 @@ LETTER = re.compile(r"[^\W\d_]")
 SPACE = re.compile(r"\s")
 MARK = "▁"
 CHUNK = 1 << 20
-CACHE = 200_000
+CACHE = 300_000
 #: Words of text that are looked up together.
 BATCH = 100_000
 GROUP = 4096
@@ -66,7 +66,7 @@ def codes_of(words: list[str], width: int) -> np.ndarray:
 class Lattice:
     """Finds the vocabulary's pieces at all places of many words at once."""
 
-    BLOOM = 20
+    BITS = 20
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
@@ -80,8 +80,14 @@ class Lattice:
                 found.setdefault(h, i)
         self.hash = np.array(sorted(found), U)
         self.id = np.array([found[int(h)] for h in self.hash], np.int64)
-        self.bloom = np.zeros(1 << self.BLOOM, bool)
-        self.bloom[(self.hash >> U(64 - self.BLOOM)).astype(np.int64)] = True
+        # a slot by the hash's bits: where its piece stands in self.hash, -1 for none, -2 for several
+        slot = self.slot_of(self.hash)
+        self.slot = np.full(1 << self.BITS, -1, np.int32)
+        self.slot[slot] = np.arange(len(slot))
+        self.slot[np.bincount(slot, minlength=1 << self.BITS) > 1] = -2
+
+    def slot_of(self, h: np.ndarray) -> np.ndarray:
+        return ((h * U(0xD6E8FEB86659FD93)) >> U(64 - self.BITS)).astype(np.int64)
 
     def arcs(self, codes: np.ndarray) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
         """For each end position: (start, words, piece ids) of the pieces that end there, by start.
@@ -94,9 +100,12 @@ class Lattice:
             h = [c, *(x * _MUL + c for x in h[: self.longest - 1])]
             out = []
             for j, x in enumerate(h):
-                rows = np.flatnonzero(self.bloom[(x >> U(64 - self.BLOOM)).astype(np.int64)])
-                seen = x[rows]
-                at = np.minimum(np.searchsorted(self.hash, seen), len(self.hash) - 1)
+                at = self.slot[self.slot_of(x)]
+                rows = np.flatnonzero(at != -1)
+                seen, at = x[rows], at[rows]
+                several = np.flatnonzero(at == -2)
+                if len(several):
+                    at[several] = np.minimum(np.searchsorted(self.hash, seen[several]), len(self.hash) - 1)
                 ok = self.hash[at] == seen
                 rows, ids = rows[ok], self.id[at[ok]]
                 if j == 0 and len(rows) < len(x):
@@ -121,11 +130,16 @@ def in_groups(words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndar
 
 
 def word_scores(lattice: Lattice, prob: np.ndarray, words: list[str]) -> dict[str, np.ndarray]:
-    """Log probability of each word under each language, over all segmentations.
+    return dict(zip(*scored(lattice, prob, words), strict=True))
+
+
+def scored(lattice: Lattice, prob: np.ndarray, words: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words, and log probabilities [word, language] over all segmentations.
 
     prob: [piece, language], with a last row of zeros.
     """
-    out: dict[str, np.ndarray] = {}
+    order: list[str] = []
+    values: list[np.ndarray] = [np.zeros((0, prob.shape[1]))]
     k = prob.shape[1]
     for group, size, codes in in_groups(words):
         width, n = codes.shape
@@ -145,8 +159,9 @@ def word_scores(lattice: Lattice, prob: np.ndarray, words: list[str]) -> dict[st
                 s[s <= 0] = 1
                 near /= s
                 scale += np.log(s)
-        out.update(zip(group, final, strict=True))
-    return out
+        order += group
+        values.append(final)
+    return order, np.concatenate(values)
 
 
 def expected_counts(lattice: Lattice, prior: np.ndarray, words: list[str], weights: np.ndarray) -> np.ndarray:
@@ -228,10 +243,10 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
             place.clear()
             new = set().union(*(w for _, w in waiting))
         if new:
-            made = word_scores(lattice, model.prob, [MARK + w for w in new])
-            for w in new:
-                rows[len(place)] = made[MARK + w]
-                place[w] = len(place)
+            names, values = scored(lattice, model.prob, [MARK + w for w in new])
+            at = len(place)
+            rows[at : at + len(names)] = values
+            place.update(zip([w[1:] for w in names], range(at, at + len(names)), strict=True))
         for i, w in waiting:
             total[i] += rows[np.fromiter(map(place.__getitem__, w), np.int64, len(w))].sum(0)
         waiting.clear()
