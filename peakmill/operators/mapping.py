@@ -33,6 +33,11 @@ def containment(patterns: DataFrame, targets: DataFrame) -> DataFrame:
     return near.where(F.expr("substr(seq, start + 1, length(pattern)) = pattern")).select("pattern_id", "target_id", "start")
 
 
+def first_containment(patterns: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_id, pattern_id, start): the first place of any pattern in each target that holds one."""
+    return best_per_key(containment(patterns, targets), ["target_id"], [F.col("start"), F.col("pattern_id")])
+
+
 def grams(targets: DataFrame, sizes: DataFrame, ident: str, seq: str) -> DataFrame:
     """(ident, size, start, gram): all substrings of the sizes, of which there are SEED at most."""
     sized = targets.join(F.broadcast(sizes), F.length(seq) >= F.col("size"))
@@ -311,3 +316,15 @@ def approximate_profiles(sequences: list[tuple[str, int]], misses: int, clusters
                     made.add(*m)
                 profiles.append(made)
     return profiles
+
+
+def gapped_profiles(sequences: DataFrame, misses: int = 5, clusters_within: float = 5.0, key: str = "comp_id") -> DataFrame:
+    """(key, profile_id, pos, base, weight) of sequences(key, seq, cnt), mapped longest first within ``misses`` edits; a component is one group."""
+    kind = sequences.schema[key].dataType.simpleString()
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        made = approximate_profiles([(s, int(c)) for s, c in zip(g["seq"], g["cnt"], strict=True)], misses, clusters_within)
+        rows = [(g[key].iloc[0], i, pos, GappedProfile.ALPHABET[b], w) for i, p in enumerate(made) for pos, column in enumerate(p.columns) for b, w in enumerate(column) if w]
+        return frame(dict(zip([key, "profile_id", "pos", "base", "weight"], zip(*rows, strict=True) if rows else [[]] * 5, strict=True)))
+
+    return sequences.groupBy(key).applyInPandas(work, f"{key} {kind}, profile_id bigint, pos bigint, base string, weight bigint")

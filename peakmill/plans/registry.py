@@ -549,9 +549,12 @@ def forking_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- iterative and grouped kernels: rows only --
+MIN_ABUNDANCE = 10
+
+
 def _graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Unitigs of all k-mers seen three times or more in both replicates' corrected treatment, with counts and components."""
-    every = materialize(corrected(spark, sf_dir).groupBy("kmer").agg(F.sum("cnt").alias("cnt")).where("cnt >= 3"), "abundant")
+    """Unitigs of all k-mers of the minimal abundance in both replicates' corrected treatment, with counts and components."""
+    every = materialize(corrected(spark, sf_dir).groupBy("kmer").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= MIN_ABUNDANCE), "abundant")
     v, e = graph.unitigs(every)
     turned = every.select(S.reverse_complement(F.col("kmer")).alias("kmer"), "cnt")
     both = every.unionByName(turned).groupBy("kmer").agg(F.max("cnt").alias("cnt"))
@@ -618,3 +621,47 @@ def replicate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as one replicate's peaks, themselves cut by ten letters as the other's."""
     b = passages(spark, sf_dir).where("length(seq) > 30").select("seq", F.lit(0.01).alias("pvalue"))
     return replicates.reconcile([b, b.select(F.expr("substr(seq, 6, length(seq) - 10)").alias("seq"), "pvalue")])
+
+
+@query("gapped_profiles")
+def gapped_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part types by brand, turned into bases: near-equal sequences of one brand share a profile."""
+    seq = F.translate(F.regexp_replace("p_type", "[^a-zA-Z]", ""), LETTERS, BASES)
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("comp_id"), seq.alias("seq")).agg(F.count("*").alias("cnt"))
+    return mapping.gapped_profiles(rows)
+
+
+@query(
+    "first_containment",
+    """SELECT doc_id AS target_id, item_id AS pattern_id, CAST(instr(d.text, b.text) - 1 AS BIGINT) AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY instr(d.text, b.text), item_id) = 1""",
+)
+def first_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("seq"))
+    targets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target_id"), F.col("text").alias("seq"))
+    return mapping.first_containment(patterns, targets).select("target_id", "pattern_id", F.col("start").cast("bigint").alias("start"))
+
+
+@query("approximate_hits")
+def approximate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low-abundance k-mers on the profiles of the abundant ones, best hit each."""
+    profiles = materialize(exact_profiles(spark, sf_dir).where(F.length("seq") >= K).select(F.xxhash64("comp_id", "profile_id", "seq").alias("profile_id"), "seq"), "profiles")
+    low = materialize(counts.low_abundance(corrected(spark, sf_dir), 3).where("cnt >= 2").groupBy(F.col("kmer").alias("query")).agg(F.sum("cnt").alias("cnt")), "low")
+    return mapping.best_hits(mapping.approximate_hits(low, profiles, K, 90.0), "target", "sstart")
+
+
+@query("position_vectors")
+def position_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both samples' coverage of the profiles, by base."""
+    profiles = exact_profiles(spark, sf_dir).where(F.length("seq") >= K).select(F.xxhash64("comp_id", "profile_id", "seq").alias("profile_id"), "seq", "base_counts")
+    every = counts.count_kmers(reads(spark, sf_dir), K, "arm")
+    return peaks.position_vectors(materialize(profiles, "profiles"), arm(every, "treatment"), arm(every, "control"), K)
+
+
+@query("called_peaks")
+def called_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Significant stretches of the profiles."""
+    profiles = materialize(exact_profiles(spark, sf_dir).where(F.length("seq") >= K).select(F.xxhash64("comp_id", "profile_id", "seq").alias("profile_id"), "seq", "base_counts"), "profiles")
+    every = counts.count_kmers(reads(spark, sf_dir), K, "arm")
+    positions = peaks.position_vectors(profiles, arm(every, "treatment"), arm(every, "control"), K)
+    return peaks.call_peaks(positions, profiles, K, 0.05)
