@@ -549,12 +549,18 @@ def forking_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- iterative and grouped kernels: rows only --
-MIN_ABUNDANCE = 10
+#: k-mers of this summed count and above make the graph; those below are looked up on its profiles.
+MIN_ABUNDANCE = 3
+
+
+def _summed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kmer, cnt): both replicates' corrected treatment together."""
+    return corrected(spark, sf_dir).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 
 
 def _graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Unitigs of all k-mers of the minimal abundance in both replicates' corrected treatment, with counts and components."""
-    every = materialize(corrected(spark, sf_dir).groupBy("kmer").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= MIN_ABUNDANCE), "abundant")
+    every = materialize(counts.abundant(_summed(spark, sf_dir), MIN_ABUNDANCE), "abundant")
     v, e = graph.unitigs(every)
     turned = every.select(S.reverse_complement(F.col("kmer")).alias("kmer"), "cnt")
     both = every.unionByName(turned).groupBy("kmer").agg(F.max("cnt").alias("cnt"))
@@ -644,9 +650,9 @@ def first_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("approximate_hits")
 def approximate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Low-abundance k-mers on the profiles of the abundant ones, best hit each."""
+    """All k-mers below the graph's threshold on the profiles of those above, best hit each."""
     profiles = materialize(exact_profiles(spark, sf_dir).where(F.length("seq") >= K).select(F.xxhash64("comp_id", "profile_id", "seq").alias("profile_id"), "seq"), "profiles")
-    low = materialize(counts.low_abundance(corrected(spark, sf_dir), 3).where("cnt >= 2").groupBy(F.col("kmer").alias("query")).agg(F.sum("cnt").alias("cnt")), "low")
+    low = materialize(counts.low_abundance(_summed(spark, sf_dir), MIN_ABUNDANCE).withColumnRenamed("kmer", "query"), "low")
     return mapping.best_hits(mapping.approximate_hits(low, profiles, K, 90.0), "target", "sstart")
 
 

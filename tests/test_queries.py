@@ -37,3 +37,24 @@ def test_entry_imports_without_the_corpus_parts():
         "assert set(e.oracle_sql()) <= set(e.queries())"
     )
     assert subprocess.run([sys.executable, "-c", code], timeout=120).returncode == 0
+
+
+def test_graph_and_lookups_cover_all_corrected_kmers(spark, small, oracle, monkeypatch):
+    """The graph holds every k-mer of summed count 3 and above; all others are looked up, none is both."""
+    rows = oracle.sql(f"WITH {registry.CORRECTED_SQL} SELECT kmer, sum(cnt) AS cnt FROM corrected WHERE cnt > 0 GROUP BY kmer").fetchall()
+    assert any(3 <= c < 10 for _, c in rows)
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    vertices, _ = registry._graph_of(spark, small)
+    seqs = [r["seq"] for r in vertices.select("seq").collect()]
+    held = {s[i : i + registry.K] for t in seqs for s in (t, turned(t)) for i in range(len(s) - registry.K + 1)}
+    high = {k for k, c in rows if c >= 3}
+    assert held == high | {turned(k) for k in high}
+
+    seen = {}
+    # the profiles don't matter here
+    none = spark.createDataFrame([], "comp_id bigint, profile_id bigint, seq string, base_counts array<bigint>")
+    monkeypatch.setattr(registry, "exact_profiles", lambda *_: none)
+    real = registry.mapping.approximate_hits
+    monkeypatch.setattr(registry.mapping, "approximate_hits", lambda q, *a: seen.update({r["query"]: r["cnt"] for r in q.collect()}) or real(q, *a))
+    registry.QUERIES["approximate_hits"](spark, small)
+    assert seen == {k: c for k, c in rows if c < 3}
