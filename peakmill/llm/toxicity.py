@@ -50,19 +50,25 @@ THRESHOLD = 0.3
 
 
 def units(text: str) -> set[str]:
-    """Distinct lower-case words without edge punctuation, and joined runs of three or more single characters."""
+    """Distinct lower-case words without edge punctuation, and joined runs of three or more single characters.
+
+    Characters of a run are freed of edge marks as well ("i. d. i. o. t."), and words of marks alone don't end it.
+    """
     words = text.lower().split()
-    raw = set(words)
-    out = {w.strip(EDGE) for w in raw}
+    bare = {w: w.strip(EDGE) for w in set(words)}
+    out = set(bare.values())
     out |= {"".join(filter(str.isalnum, w)) for w in out if not w.isalnum()}
-    if min(map(len, raw), default=2) == 1:
+    single = {w for w, b in bare.items() if len(b) == 1}
+    if single:
+        if "" in out:
+            words = [w for w in words if bare[w]]
         # places of single characters; three or more in a row are a word
-        at = [i for i, w in enumerate(words) if len(w) == 1]
+        at = [i for i, w in enumerate(words) if w in single]
         first = 0
         for j in range(1, len(at) + 1):
             if j == len(at) or at[j] != at[j - 1] + 1:
                 if j - first >= 3:
-                    out.add("".join(words[i] for i in at[first:j]))
+                    out.add("".join(bare[words[i]] for i in at[first:j]))
                 first = j
     return {w for w in out if len(w) >= 3}
 

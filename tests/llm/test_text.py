@@ -120,6 +120,15 @@ def test_subsequence_kernel_tolerates_gaps():
     assert np.allclose(got, [[brute(a, b) for b in words] for a in words], atol=2e-4)
 
 
+@pytest.mark.parametrize("text", ["i d i o t.", "i. d. i. o. t.", "i, d, i, o, t", "You are an i d i o t.", 'such an "i d i o t"!', "(i) - d - i - o - t", "an i d i o t"])
+def test_spaced_words_with_marks(text):
+    assert "idiot" in toxicity.units(text)
+
+
+def test_no_spaced_word_across_words_or_of_marks():
+    assert toxicity.units("- - - a b. then c, d") == {"then"}
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
