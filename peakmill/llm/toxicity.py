@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from peakmill.runtime import materialize
 
 FIT_ROWS = 12_000
-LANDMARKS = 48
+LANDMARKS = 64
 #: Words looked at as landmarks.
-POOL = 2_000
+POOL = 3_000
 #: Standard deviations by which a landmark and the words like it must stand out.
 LEAST_GAIN = 5.5
 DECAY = 0.7

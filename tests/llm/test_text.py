@@ -129,6 +129,12 @@ def test_no_spaced_word_across_words_or_of_marks():
     assert toxicity.units("- - - a b. then c, d") == {"then"}
 
 
+def test_sixty_unlike_insults_are_all_landmarks():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9, replace=False)) for _ in range(60)]
+    assert set(toxicity.choose_landmarks(words, np.full(60, 9.0), toxicity.LANDMARKS)) == set(words)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
