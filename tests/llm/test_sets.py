@@ -76,6 +76,19 @@ def test_components_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted("1 2 3 4 5 7 8 9 None".split())
 
 
+def test_keep_one_judges_rows_by_their_text(spark):
+    text = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    rows = [
+        (3, text("a"), "stays"), (7, text("a") + " end", "goes"), (7, text("b"), "stays"), (9, text("b"), "goes"),
+        (None, text("a"), "goes"), (None, text("c"), "one"), (None, text("c"), "one"), (None, text("c") + " end", "one"),
+        (None, text("d"), "alone"), (None, "", "empty"), (None, None, "empty"), (4, text("e"), "stays"), (4, text("e"), "stays"),
+    ]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, what string"))
+    assert kept.columns == ["doc_id", "text", "what"]
+    got = Counter((r.doc_id, r.what) for r in kept.collect())
+    assert got == {(3, "stays"): 1, (7, "stays"): 1, (4, "stays"): 2, (None, "one"): 1, (None, "alone"): 1, (None, "empty"): 2}
+
+
 def test_fingerprints_against_brute_force(spark, docs):
     got = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs).collect()}
     rows = sorted(docs.select("doc_id", "text").collect())
