@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,20 +41,20 @@ RESERVE = 10
 EPS = 1e-9
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, unit): unit is an even hash of the row, equal for reruns."""
+def words_of(docs: DataFrame, *extra: str) -> DataFrame:
+    """(doc_id, source, size), and the extra bigint columns as they are."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = [np.diff(t.first) for _, _, t in slices(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("source"), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64())],
-                ["doc_id", "source", "size"],
+                [b.column("doc_id"), b.column("source"), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64()), *map(b.column, extra)],
+                ["doc_id", "source", "size", *extra],
             )
 
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, source string, size bigint")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), *extra)
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, size bigint" + "".join(f", {c} bigint" for c in extra))
 
 
 def ranked(sources: DataFrame, parts: int = 64) -> DataFrame:
@@ -166,7 +166,8 @@ def flight(seed: int, level: int, final: bool, names: list[str]) -> Callable[[pd
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         # large documents are decided first, so that what is left to land is small
-        g = g.sort_values(["size", "unit", "doc_key"], ascending=[False, True, True], kind="stable")
+        by = [c for c in ("size", "unit", "doc_key", "row_key") if c in names]
+        g = g.sort_values(by, ascending=[c != "size" for c in by], kind="stable")
         rng = np.random.default_rng([seed, level, int(g["unit"].iloc[0]) & 0xFFFFFFFF, len(g)])
         size = g["size"].to_numpy(np.int64)
         g["p"] = (last_flight if final else fly)(g["p"].to_numpy(float), size, rng)
@@ -202,25 +203,46 @@ def allocate(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7
 ) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for every row of docs(doc_id, source, text)."""
-    sized = materialize(words_of(docs), "sizes")
+    return _allocate(docs, weights, share, most, seed)
+
+
+def _allocate(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """What allocate gives, and the extra bigint columns of docs."""
+    sized = materialize(words_of(docs, *extra), "sizes")
     table = materialize(targets(sized, weights, share, most), "rates").withColumnRenamed("source", "s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = sized.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     whole = F.floor(F.col("rate") + EPS)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rated = rated.withColumns({"whole": whole, "p": F.greatest(F.col("rate") - whole, F.lit(0.0)), "doc_key": key, "unit": F.xxhash64(key, F.lit(seed))})
-    decided = cube(rated.select("source", "doc_id", "doc_key", "size", "source_size", "target", "whole", "unit", "p"), seed)
+    decided = cube(rated.select("source", "doc_id", "doc_key", "size", "source_size", "target", "whole", "unit", "p", *extra), seed)
     copies = (F.col("whole") + F.round("p")).cast("long")
-    return decided.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return decided.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's columns (maps, which can't be hashed, apart), nulls at their places."""
+    columns = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[x for c in columns for x in (c.isNull(), c)])
 
 
 def mix(docs: DataFrame, **how: object) -> DataFrame:
-    """docs as mixed: each row as many times as it is taken, all its columns as they are.
+    """docs as mixed: each row as many times as allocate takes it, all its columns as they are.
 
-    Rows with equal doc_id share one decision, as which of them is which is not known downstream.
+    A row is known by a hash of its columns, not by its doc_id, which may repeat
+    or be null. Of rows equal in all columns as many are taken more often as
+    allocate decided.
     """
-    taken = allocate(docs.select("doc_id", "source", "text"), **how).groupBy("doc_id").agg(F.max("copies").alias("n_")).where("n_ > 0")
-    d = docs.withColumn("n_key_", F.col("doc_id"))
+    keyed = docs.select("*", row_key(docs).alias("row_key_"))
+    named = keyed.select("doc_id", "source", "text", F.col("row_key_").alias("row_key"))
+    copies = _allocate(named, **how, extra=("row_key",))
+    taken = copies.groupBy("row_key").agg(F.sum("copies").alias("n_"), F.count("copies").alias("rows_")).where("n_ > 0")
     # as many rows as documents: never broadcast
-    joined = d.join(taken.select(F.col("doc_id").alias("t_"), "n_").hint("merge"), F.col("n_key_").eqNullSafe(F.col("t_")))
-    return joined.withColumn("i_", F.explode(F.sequence(F.lit(1), F.col("n_").cast("int")))).select(*[joined[c] for c in docs.columns])
+    joined = keyed.join(taken.hint("merge"), F.col("row_key_") == F.col("row_key"))
+    # equal rows share their copies: n_ in all, spread evenly
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    some = F.floor(F.col("n_") / F.col("rows_")) + (nth <= F.col("n_") % F.col("rows_")).cast("long")
+    counted = joined.withColumn("some_", some.cast("int")).where("some_ > 0")
+    return counted.withColumn("i_", F.explode(F.sequence(F.lit(1), F.col("some_")))).select(*docs.columns)

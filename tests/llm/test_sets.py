@@ -199,6 +199,22 @@ def test_mixing_of_odd_rows(odd, none):
     assert mixing.mix(odd).columns == odd.columns and mixing.mix(none).count() == 0
 
 
+def test_mix_takes_what_was_allocated_without_unique_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FLIGHT", 50)
+    rng = random.Random(8)
+    ids = lambda i: None if i % 3 == 0 else i % 7
+    rows = [(ids(i), rng.choice("aaab") if i % 17 else None, f"w{i} " + "w " * rng.randint(0, 40), "x") for i in range(900)]
+    rows += [(None, "a", "the same row", None)] * 25
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, what string")
+    target = {s: t for s, t in mixing.allocate(df).select("size", "source_size", "target").groupBy("source_size").agg({"target": "max"}).collect()}
+    words = lambda rs: Counter({s: sum(len(r[2].split()) for r in rs if r[1] == s) for s in ("a", "b", None)})
+    had, got = words(rows), mixing.mix(df).collect()
+    for s, n in words(got).items():
+        assert n == pytest.approx(target[had[s]], rel=0.01)
+    assert set(map(tuple, got)) <= set(rows) and max(Counter(map(tuple, got)).values()) <= 50
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(1)
     size, p = rng.integers(1, 100, 400), np.full(400, 0.37)
