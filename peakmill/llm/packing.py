@@ -14,7 +14,6 @@ equal doc_id are packed each on its own. Extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,29 +23,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peakmill.llm.words import Slots, Texts, chunks
 from peakmill.runtime import materialize
 
 CAPACITY = 2048
-CACHE = 400_000
-BATCH = 100_000
+#: A worker's cache: slots for pieces of text, and the ids that it holds before it starts anew.
+SLOT_BITS = 19
+ARENA = 1 << 22
 #: Words that are encoded as one string.
 JOINED = 256
-#: A word of letters with ASCII marks after it.
-CORE = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)$")
+#: Rows whose ids are held together.
+ROWS = 256
 #: Rows of one rank group, about.
 LOT = 200_000
 END = np.zeros(1, "<u4").tobytes()
+MARK = np.zeros(256, bool)
+MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+ASCII_LETTER = np.zeros(256, bool)
+ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _held: dict[str, "Words"] = {}
 
 
-class Words:
-    """A worker's tokenizer with a bounded cache of words' ids, as little-endian bytes.
+def latin(buf: np.ndarray) -> np.ndarray:
+    """Bytes of letters: A-Z, a-z and U+00C0 to U+023F but for the two signs and the dotted capital I there."""
+    lead = (buf >= 0xC3) & (buf <= 0xC8)
+    after = np.zeros(len(buf), bool)
+    after[1:] = lead[:-1]
+    other = np.zeros(len(buf), bool)
+    if lead.any():
+        other[1:] = ((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))) | ((buf[:-1] == 0xC4) & (buf[1:] == 0xB0))
+    return ASCII_LETTER[buf] | lead | (after & ~other)
+
 
-    The tokenizer drops white space and never joins across it, so words are
-    encoded alone. Letters and the marks after them are pieces of their own for
-    it, so a word is looked up as its lower-cased letters and its marks; words
-    of letters are encoded many in one string, and told apart by the tokens
-    that end a word. Anything else is encoded by itself.
+class Words:
+    """A worker's tokenizer with a bounded cache of the ids of words.
+
+    The tokenizer lower-cases, drops white space and never joins across it, so
+    words are encoded alone. Letters and the marks after them are pieces of
+    their own for it, so a word of Latin letters and ASCII marks is looked up
+    as two units; any other word is one. Units are known by their 64-bit hash
+    and length; a slot of the cache holds the last unit that fell on it, and
+    units that are not there are encoded anew.
     """
 
     def __init__(self, path: str):
@@ -57,49 +74,92 @@ class Words:
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.ids: dict[str, bytes] = {}
+        self.clear()
 
-    def _alone(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+    def clear(self) -> None:
+        self.slots = Slots(SLOT_BITS)
+        self.where, self.many, self.known = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32), 0
+        self.arena, self.used = np.zeros(ARENA // 4, np.uint32), 0
 
-    def _letters(self, words: list[str]) -> None:
-        """words: lower-cased and of letters only."""
+    def _alone(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, many encoded as one string and told apart by the tokens that end a word; and their numbers."""
         groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        ids, many = [], []
         for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) != len(group):  # a letter that the tokenizer takes for something else
-                self._alone(group)
-                continue
-            data, at = ids.tobytes(), 0
-            for w, end in zip(group, (stop * 4).tolist(), strict=True):
-                self.ids[w] = data[at:end]
-                at = end
-
-    def encode(self, lists: list[list[str]]) -> list[bytes]:
-        """Ids of each list of words."""
-        seen = set().union(*lists)
-        new = seen.difference(self.ids)
-        if len(self.ids) + 2 * len(new) > CACHE:
-            # frequent words are in every batch
-            self.ids = {w: self.ids[w] for w in seen.difference(new)}
-        plain, other = [], set()
-        parts = {}
-        for w in new:
-            if w.isalpha() and w.islower():
-                plain.append(w)
-            elif m := None if "Σ" in w else CORE.match(w.lower()):
-                parts[w] = m.groups()
-            else:
-                other.add(w)
-        letters = {c for c, _ in parts.values()}.difference(self.ids)
-        self._letters(list(letters.union(plain)))
-        other |= {t for _, t in parts.values()}.difference(self.ids)
-        self._alone(list(other))
-        for w, (core, marks) in parts.items():
-            self.ids[w] = self.ids[core] + self.ids[marks] if marks else self.ids[core]
-        return [b"".join(map(self.ids.__getitem__, words)) for words in lists]
+            own = np.array(e.ids, np.uint32)
+            stop = np.flatnonzero(self.ends[own]) + 1
+            if len(stop) == len(group):
+                ids.append(own)
+                many.append(np.diff(stop, prepend=0))
+            else:  # a letter that the tokenizer takes for something else
+                found = self._alone(group)
+                ids += found
+                many.append(np.array([len(x) for x in found], np.int64))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *many])
+
+    def _learn(self, raw: bytes, folded: bytes, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the units begin in the arena, and how many they are; plain: units of letters."""
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        a, b, n = start[order].tolist(), end[order].tolist(), int(plain.sum())
+        ids, many = self._letters([folded[i:j].decode() for i, j in zip(a[:n], b[:n], strict=True)])
+        # not folded: upper case matters to control strings
+        rest = self._alone([raw[i:j].decode() for i, j in zip(a[n:], b[n:], strict=True)])
+        ids = np.concatenate([ids, *rest])
+        many = np.concatenate([many, np.array([len(x) for x in rest], np.int64)])
+        if self.used + len(ids) > len(self.arena):
+            self.arena = np.concatenate([self.arena[: self.used], np.zeros(len(self.arena) + len(ids), np.uint32)])
+        self.arena[self.used : self.used + len(ids)] = ids
+        where = np.empty(len(order), np.int64)
+        count = np.empty(len(order), np.int64)
+        where[order] = self.used + np.cumsum(many) - many
+        count[order] = many
+        self.used += len(ids)
+        return where, count
+
+    def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin (one number more than texts)."""
+        if self.used > ARENA or self.known > 1 << SLOT_BITS:
+            self.clear()
+        folded = t.folded()
+        letter = latin(t.buf)
+        total = np.concatenate([[0], np.cumsum(letter)])
+        mark = np.concatenate([[0], np.cumsum(MARK[t.buf])])
+        start, end = t.start, t.end
+        letters = total[end] - total[start]
+        # letters first, marks after them, and nothing else: two units
+        middle = start + letters
+        split = (letters > 0) & (total[middle] - total[start] == letters) & (mark[end] - mark[middle] == end - middle)
+        plain = split | (letters == end - start)
+        two = split & (middle < end)
+        place = np.arange(len(start)) + np.cumsum(two) - two
+        first, last = np.empty(len(start) + int(two.sum()), np.int64), np.empty(len(start) + int(two.sum()), np.int64)
+        kind = np.zeros(len(first), bool)
+        first[place], last[place], kind[place] = start, np.where(two, middle, end), plain
+        first[place[two] + 1], last[place[two] + 1] = middle[two], end[two]
+        bounds = np.append(place, len(first))[t.first]
+
+        h = Texts.hashes(folded, first, last)
+        # case matters to other words: their hash is of the word as it is
+        odd = np.flatnonzero(~kind)
+        if len(odd):
+            h[odd] = ~Texts.hashes(t.buf, first[odd], last[odd])
+        at, miss, new, back = self.slots.look(h)
+        where, many = self.where[at].astype(np.int64), self.many[at].astype(np.int64)
+        if len(new):
+            w, m = self._learn(t.buf.tobytes(), folded.tobytes(), first[new], last[new], kind[new])
+            where[miss], many[miss] = w[back], m[back]
+            held = slice(self.known, self.known + len(new))
+            if held.stop > len(self.where):
+                self.where, self.many = (np.concatenate([x, np.zeros(len(x) + len(new), np.int32)]) for x in (self.where, self.many))
+            self.where[held], self.many[held] = w, m
+            self.slots.put(h[new], np.arange(held.start, held.stop))
+            self.known = held.stop
+        upto = np.concatenate([[0], np.cumsum(many)])
+        ids = self.arena[np.repeat(where - upto[:-1], many) + np.arange(upto[-1])]
+        return ids, upto[bounds]
 
 
 def encoder(path: str) -> Words:
@@ -109,27 +169,17 @@ def encoder(path: str) -> Words:
     return _held[path]
 
 
-def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
-    """Ids of whole texts, as bytes; words are taken BATCH at a time."""
-    parts: list[list[bytes]] = [[] for _ in texts]
-    waiting: list[tuple[int, list[str]]] = []
-
-    def settle() -> None:
-        for (i, _), ids in zip(waiting, encoder(path).encode([w for _, w in waiting]), strict=True):
-            parts[i].append(ids)
-        waiting.clear()
-
-    held = 0
-    for i, text in enumerate(texts):
-        words = (text or "").replace("\n", " ").split(" ")
-        for at in range(0, len(words), BATCH):
-            waiting.append((i, words[at : at + BATCH]))
-            held += len(waiting[-1][1])
-            if held >= BATCH:
-                settle()
-                held = 0
-    settle()
-    return [b"".join(p) for p in parts]
+def encode_texts(path: str, texts: pa.Array) -> list[bytes]:
+    """Ids of whole texts as little-endian bytes; null is empty."""
+    words = encoder(path)
+    parts: list[list[bytes]] = [[] for _ in range(len(texts))]
+    for i, t in chunks(texts):
+        ids, at = words.encode(t)
+        data, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
+        for n in range(t.n):
+            if at[n] < at[n + 1]:
+                parts[i + n].append(data[at[n] : at[n + 1]])
+    return [p[0] if len(p) == 1 else b"".join(p) for p in parts]
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -139,10 +189,10 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encode_texts(path, b.column("text").to_pylist())):
+                for i, ids in enumerate(encode_texts(path, b.column("text"))):
                     ids += END
                     for j, lo in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[lo : lo + 4 * capacity]
@@ -207,7 +257,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = materialize(cut(docs, path, capacity), "pieces")
+    # few and even files, however many parts the texts came in
+    pieces = materialize(cut(docs, path, capacity).hint("rebalance"), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     slots, _ = plan(counts, capacity)
     held = spark.sparkContext.broadcast(slots)

@@ -108,6 +108,59 @@ def slices(text: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, Texts]]
         lo = hi
 
 
+def chunks(text: pa.Array, size: int | None = None) -> Iterator[tuple[int, Texts]]:
+    """(first row, Texts) of about ``size`` bytes (SLICE_BYTES) each; a longer text comes in parts that are cut at white space.
+
+    Texts without a byte may be missed out.
+    """
+    size = size or SLICE_BYTES
+    text = text.cast(pa.large_string()).fill_null("")
+    off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = text.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    lo, stop = int(off[0]), int(off[-1])
+    while lo < stop:
+        hi = stop
+        if lo + size < stop:
+            hi = int(off[np.searchsorted(off, lo + size, "right") - 1])
+            if hi <= lo:  # within one text: up to white space, or to its end
+                end = int(off[np.searchsorted(off, lo, "right")])
+                hi = lo + size
+                while hi < end:
+                    near = whole[hi : min(hi + size, end)]
+                    gap = np.flatnonzero((near == 32) | ((near >= 9) & (near <= 13)))
+                    if len(gap):
+                        hi += int(gap[0])
+                        break
+                    hi += len(near)
+        i, j = int(np.searchsorted(off, lo, "right")) - 1, int(np.searchsorted(off, hi, "left"))
+        yield i, Texts(whole[lo:hi], np.clip(off[i : j + 1], lo, hi) - lo)
+        lo = hi
+
+
+class Slots:
+    """Places of things known by a 64-bit hash. A slot holds the last one that fell on it, so memory is bounded and what was lost is new again."""
+
+    def __init__(self, bits: int):
+        self.shift = U(64 - bits)
+        self.key, self.at = np.zeros(1 << bits, U), np.full(1 << bits, -1, np.int32)
+
+    def clear(self) -> None:
+        self.at[:] = -1
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The places of h (any for new ones); where new ones stand in h, which of them comes first for each hash, and each one's number among those."""
+        slot = (h >> self.shift).astype(np.int64)
+        at = self.at[slot].astype(np.int64)
+        new = np.flatnonzero((self.key[slot] != h) | (at < 0))
+        _, one, back = np.unique(h[new], return_index=True, return_inverse=True)
+        return at, new, new[one], back
+
+    def put(self, h: np.ndarray, at: np.ndarray) -> None:
+        slot = (h >> self.shift).astype(np.int64)
+        self.key[slot], self.at[slot] = h, at
+
+
 def shingle_sets(t: Texts, k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles, A-Z folded.
 
