@@ -3,24 +3,29 @@
 Arrivals are appended as runs of small files. Runs whose sizes are alike are
 merged, once enough of them have gathered, into one run of target-sized files.
 Neither step changes a file: it writes new ones and then commits a manifest, a
-small JSON document that lists the live runs, by a rename that fails if that
-version is already there. Readers see the old version or the new one.
+small JSON document that lists the live runs, under a name that must not be
+there yet. Readers see the old version or the new one. On HDFS the commit is a
+rename that refuses to overwrite, on a local disk a hard link; both are atomic.
+On object stores that rename is a check and a copy, so writers must take turns.
 
 Merging concatenates whole files (a scan and ``coalesce``), so no row is
 shuffled. Only metadata, one entry a run, is held by the driver.
 
 Defined results: appending an empty table commits a version without new runs;
 reading an empty store gives an empty table of the first schema. Nulls, equal
-rows and any columns are kept as they are; the arrival key may be null (a run
-of its own). A task lost in the middle is retried by Spark's committer and
-leaves no trace, and a lost driver leaves only files that no manifest names,
-which ``vacuum`` removes.
+rows, long texts and columns of any name are kept as they are; what ``read``
+appends gets a longer name where a column already has it. The arrival key may
+be null (a run of its own). A task lost in the middle is retried by Spark's
+committer and leaves no trace, and a lost driver leaves only files that no
+manifest names, which ``vacuum`` removes once they are old enough not to be
+those of an append that is still running.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -93,9 +98,15 @@ class ShardStore:
         out = self._fs().create(part, False)
         out.write(bytearray(json.dumps(body).encode()))
         out.close()
+        final = self._path(f"{self.root}/manifests/v{base + 1:012d}.json")
+        if self._fs().getUri().getScheme() == "file":
+            place = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+            self._jvm.java.nio.file.Files.createLink(place(final), place(part))
+            self._fs().delete(part, False)
+            return base + 1
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self._conf)
         none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        context.rename(context.makeQualified(part), context.makeQualified(self._path(f"{self.root}/manifests/v{base + 1:012d}.json")), none)
+        context.rename(context.makeQualified(part), context.makeQualified(final), none)
         return base + 1
 
     # -- operations --
@@ -112,7 +123,7 @@ class ShardStore:
         rows: dict[str, int] = {}
         if parts:
             written = self.spark.read.schema(df.schema).parquet(*parts)
-            counted = written.groupBy(F.regexp_extract("_metadata.file_path", f"({name}=[^/]*)/[^/]*$", 1).alias("at")).count()
+            counted = written.groupBy(F.regexp_extract(written.metadataColumn("_metadata")["file_path"], f"({name}=[^/]*)/[^/]*$", 1).alias("at")).count()
             rows = {r["at"]: r["count"] for r in counted.collect()}  # a row a run
         next_run = now["next_run"]
         runs = list(now["runs"])
@@ -151,44 +162,65 @@ class ShardStore:
                 now["version"], [r for r in now["runs"] if r.run_id not in gone] + [merged], now["schema"], now["next_run"] + 1
             )
 
-    def vacuum(self) -> int:
-        """Remove data that the newest manifest doesn't name, and older manifests; returns the number of folders removed."""
-        now = self.manifest()
-        live = {self._path(r.path).toUri().getPath() for r in now["runs"]}
+    def vacuum(self, versions: int = 2, age: float = 24 * 3600) -> int:
+        """Remove what only versions before the newest ``versions`` name, and unnamed data last written more than ``age`` seconds ago.
+
+        Returns the number of folders removed. Readers of the versions that stay go on undisturbed.
+        """
+        newest = self.version()
+        first = max(1, newest - versions + 1)
+        names = {s.getPath().getName(): s for s in self._list(f"{self.root}/manifests")}
+        kept = [n for n in range(first, newest + 1) if f"v{n:012d}.json" in names]
+        plain = lambda p: self._path(p).toUri().getPath()
+        live = {plain(r.path) for n in kept for r in self.manifest(n)["runs"]}
+        old = [n for n in range(1, first) if f"v{n:012d}.json" in names]
+        named = {plain(r.path) for n in old for r in self.manifest(n)["runs"]}
+        before = (time.time() - age) * 1000
         removed = 0
         for top in self._list(f"{self.root}/data"):
-            inner = [s for s in self._list(top.getPath().toString()) if s.isDirectory()] or [top]
-            kept = [s for s in inner if s.getPath().toUri().getPath() in live]
-            for s in inner if kept else [top]:
-                if s.getPath().toUri().getPath() not in live:
-                    self._fs().delete(s.getPath(), True)
-                    removed += 1
-        for s in self._list(f"{self.root}/manifests"):
-            name = s.getPath().getName()
-            if name != f"v{now['version']:012d}.json":
-                self._fs().delete(s.getPath(), False)
+            inner = [s for s in self._list(top.getPath().toString()) if s.isDirectory() and not s.getPath().getName().startswith("_")]
+            gone = []
+            for s in inner or [top]:
+                at = s.getPath().toUri().getPath()
+                if at not in live and (at in named or max(s.getModificationTime(), top.getModificationTime()) < before):
+                    gone.append(s)
+            for s in [top] if len(gone) == len(inner) and gone else gone:
+                self._fs().delete(s.getPath(), True)
+            removed += len(gone)
+        for n in old:
+            self._fs().delete(names[f"v{n:012d}.json"].getPath(), False)
         return removed
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with run_id and shard (run and file number) appended."""
+    def located(self, version: int | None = None) -> DataFrame:
+        """(row, run_id, shard): the rows of a version as structs, each with its run, and its shard (run and file number)."""
         now = self.manifest(version)
         if now["schema"] is None:
             raise ValueError("nothing was ever appended")
         schema = T.StructType.fromJson(json.loads(now["schema"]))
         if not now["runs"]:
-            rows = self.spark.createDataFrame([], schema)
-            return rows.withColumns({"run_id": F.lit(None).cast("bigint"), "shard": F.lit(None).cast("string")})
+            return self.spark.createDataFrame([], T.StructType().add("row", schema).add("run_id", T.LongType()).add("shard", T.StringType()))
         rows = self.spark.read.schema(schema).parquet(*[r.path for r in now["runs"]])
-        folder = F.regexp_extract("_metadata.file_path", "([^/]+(?:/[^/=]+=[^/]*)?)/[^/]*$", 1)
+        at = rows.metadataColumn("_metadata")["file_path"]
+        held = rows.select(
+            F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("row"),
+            F.regexp_extract(at, "([^/]+(?:/[^/=]+=[^/]*)?)/[^/]*$", 1).alias("folder"),
+            F.regexp_extract(at, "part-([0-9]+)", 1).alias("part"),
+        )
         names = {"/".join(r.path.split("/")[-2:]) if "=" in r.path.rsplit("/", 1)[1] else r.path.rsplit("/", 1)[1]: r.run_id for r in now["runs"]}
         table = self.spark.createDataFrame(list(names.items()), "folder string, run_id bigint")  # a row a run
-        part = F.regexp_extract("_metadata.file_path", "part-([0-9]+)", 1)
-        return (
-            rows.withColumns({"folder": folder, "part": part})
-            .join(F.broadcast(table), "folder")
-            .withColumn("shard", F.concat_ws("/", F.format_string("run-%06d", "run_id"), "part"))
-            .select(*[rows[c] for c in rows.columns], "run_id", "shard")
-        )
+        shard = F.concat_ws("/", F.format_string("run-%06d", "run_id"), "part")
+        return held.join(F.broadcast(table), "folder").select("row", "run_id", shard.alias("shard"))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, with run_id and shard appended (and underscores to these names while a column has them)."""
+        rows = self.located(version)
+        taken = {c.lower() for c in rows.schema["row"].dataType.names}
+        names = []
+        for name in ("run_id", "shard"):
+            while name in taken:
+                name += "_"
+            names.append(name)
+        return rows.select("row.*", F.col("run_id").alias(names[0]), F.col("shard").alias(names[1]))
 
 
 def shard_documents(docs: DataFrame, store: ShardStore, arrivals: int = 16) -> DataFrame:
@@ -199,16 +231,14 @@ def shard_documents(docs: DataFrame, store: ShardStore, arrivals: int = 16) -> D
     spread = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(arrivals))
     store.append(docs, spread)
     version = store.compact()
-    store.vacuum()
     now = store.manifest(version)
     merged = F.create_map(*[F.lit(x) for r in now["runs"] for x in (r.run_id, r.merged)]) if now["runs"] else None
-    rows = store.read(version)
-    return rows.select(
-        "doc_id",
+    return store.located(version).select(
+        "row.doc_id",
         F.lit(version).cast("bigint").alias("version"),
         "run_id",
         (merged[F.col("run_id")] if merged is not None else F.lit(None)).cast("int").alias("merged"),
         "shard",
-        F.octet_length("text").cast("bigint").alias("n_bytes"),
-        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+        F.octet_length("row.text").cast("bigint").alias("n_bytes"),
+        F.md5(F.col("row.text").cast("binary")).alias("text_md5"),
     )
