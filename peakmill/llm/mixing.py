@@ -16,8 +16,10 @@ groups.
 
 Defined results: null text has size 0. A null source is a source of its own,
 last in order. Documents of size 0 share their source's rate like any other.
-A doc_id may repeat or be null; every row is a unit of its own. Extra columns
-are kept by ``mix`` and ignored by ``allocate``.
+A doc_id may repeat or be null; every row is a unit of its own, and rows of one
+doc_id are dealt to flights by their texts. Extra columns, whatever their
+names, are kept by ``mix`` and ignored by ``allocate``. Empty tables give empty
+ones.
 """
 
 from __future__ import annotations
@@ -32,32 +34,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peakmill.llm.words import slices
-from peakmill.runtime import materialize
+from peakmill.runtime import materialize, parts_for
 
 #: Undecided documents of one flight.
-FLIGHT = 20_000
+FLIGHT = 4_000
 #: Documents that the last flight of a source keeps for the landing.
 RESERVE = 10
 EPS = 1e-9
 
 
 def words_of(docs: DataFrame, *extra: str) -> DataFrame:
-    """(doc_id, source, size), and the extra bigint columns as they are."""
+    """(doc_id, source, size, digest of the text), and the extra bigint columns as they are."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = [np.diff(t.first) for _, _, t in slices(b.column("text"))]
+            size = pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("source"), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64()), *map(b.column, extra)],
-                ["doc_id", "source", "size", *extra],
+                [b.column("doc_id"), b.column("source"), size, b.column("digest"), *map(b.column, extra)], ["doc_id", "source", "size", "digest", *extra]
             )
 
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), *extra)
-    return rows.mapInArrow(run, f"doc_id {kind}, source string, size bigint" + "".join(f", {c} bigint" for c in extra))
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), text.alias("text"), F.xxhash64(text).alias("digest"), *extra)
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, size bigint, digest bigint" + "".join(f", {c} bigint" for c in extra))
 
 
-def ranked(sources: DataFrame, parts: int = 64) -> DataFrame:
+def ranked(sources: DataFrame, parts: int) -> DataFrame:
     """sources with rank, 0 for the first by code point, null last.
 
     Sorted by range, with each range's rank counted on from the ranges before;
@@ -78,9 +81,9 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: fl
     again by weight among the others until none is above. Each pass is an
     aggregate over the sources' table; one row a pass reaches the driver.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sums")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    table = materialize(ranked(sums).withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size")), "targets")
+    table = materialize(ranked(sums, parts_for(sums.count(), 50_000)).withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size")), "targets")
     total = share * (table.agg(F.sum("source_size")).collect()[0][0] or 0)
     level = None
     while True:
@@ -210,13 +213,15 @@ def _allocate(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, extra: tuple[str, ...] = ()
 ) -> DataFrame:
     """What allocate gives, and the extra bigint columns of docs."""
-    sized = materialize(words_of(docs, *extra), "sizes")
+    # few and even files, however many parts the texts came in
+    sized = materialize(words_of(docs, *extra).hint("rebalance"), "sizes")
     table = materialize(targets(sized, weights, share, most), "rates").withColumnRenamed("source", "s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = sized.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     whole = F.floor(F.col("rate") + EPS)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rated = rated.withColumns({"whole": whole, "p": F.greatest(F.col("rate") - whole, F.lit(0.0)), "doc_key": key, "unit": F.xxhash64(key, F.lit(seed))})
+    unit = F.xxhash64(key, "digest", *extra, F.lit(seed))
+    rated = rated.withColumns({"whole": whole, "p": F.greatest(F.col("rate") - whole, F.lit(0.0)), "doc_key": key, "unit": unit})
     decided = cube(rated.select("source", "doc_id", "doc_key", "size", "source_size", "target", "whole", "unit", "p", *extra), seed)
     copies = (F.col("whole") + F.round("p")).cast("long")
     return decided.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
@@ -224,7 +229,7 @@ def _allocate(
 
 def row_key(docs: DataFrame) -> Column:
     """A hash of a row's columns (maps, which can't be hashed, apart), nulls at their places."""
-    columns = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    columns = [docs[f"`{f.name}`"] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     return F.xxhash64(*[x for c in columns for x in (c.isNull(), c)])
 
 
@@ -235,14 +240,14 @@ def mix(docs: DataFrame, **how: object) -> DataFrame:
     or be null. Of rows equal in all columns as many are taken more often as
     allocate decided.
     """
-    keyed = docs.select("*", row_key(docs).alias("row_key_"))
-    named = keyed.select("doc_id", "source", "text", F.col("row_key_").alias("row_key"))
-    copies = _allocate(named, **how, extra=("row_key",))
-    taken = copies.groupBy("row_key").agg(F.sum("copies").alias("n_"), F.count("copies").alias("rows_")).where("n_ > 0")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    keyed = docs.select(row, row_key(docs).alias("row_key"))
+    copies = _allocate(keyed.select("row.doc_id", "row.source", "row.text", "row_key"), **how, extra=("row_key",))
+    taken = copies.groupBy("row_key").agg(F.sum("copies").alias("taken"), F.count("copies").alias("rows")).where("taken > 0")
     # as many rows as documents: never broadcast
-    joined = keyed.join(taken.hint("merge"), F.col("row_key_") == F.col("row_key"))
-    # equal rows share their copies: n_ in all, spread evenly
+    joined = keyed.join(taken.hint("merge"), "row_key")
+    # equal rows share their copies, evenly
     nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
-    some = F.floor(F.col("n_") / F.col("rows_")) + (nth <= F.col("n_") % F.col("rows_")).cast("long")
-    counted = joined.withColumn("some_", some.cast("int")).where("some_ > 0")
-    return counted.withColumn("i_", F.explode(F.sequence(F.lit(1), F.col("some_")))).select(*docs.columns)
+    some = F.floor(F.col("taken") / F.col("rows")) + (nth <= F.col("taken") % F.col("rows")).cast("long")
+    counted = joined.withColumn("some", some.cast("int")).where("some > 0")
+    return counted.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("some")))).select("row.*")
