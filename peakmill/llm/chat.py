@@ -13,35 +13,42 @@ be undone.
 Defined results: null role or text is empty. Rows are ordered by turn (nulls
 first), then role, then text, so equal turns have one order. Rows with a null
 conv_id are one conversation. Extra columns are ignored. A conversation is the
-unit that is rendered and encoded; rows stream in sorted order, so a task holds
-one conversation at a time and never a whole partition.
+unit that is rendered and encoded; rows stream in sorted order, and short
+conversations are encoded together, so a task holds GROUP_CHARS characters or
+one longer conversation, and never a whole partition.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 OPEN = re.compile(r"<(\\*)\|")
 SHUT = re.compile(r"<\\(\\*)\|")
-TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.S)
-_held: dict[str, object] = {}
+#: White space so long that the splitting pattern can't take it; it is one piece of text for the tokenizer, but for its last character.
+RUN = 10_000
+BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
+#: Characters and conversations that are encoded together.
+GROUP_CHARS, GROUP = 1 << 19, 512
+_held: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
 
 
 def escape(text: str) -> str:
-    return OPEN.sub(r"<\\\1|", text)
+    return OPEN.sub(r"<\\\1|", text) if "<" in text else text
 
 
 def unescape(text: str) -> str:
-    return SHUT.sub(r"<\1|", text)
+    return SHUT.sub(r"<\1|", text) if "<\\" in text else text
 
 
 def render(turns: list[tuple[str, str]], trained: str = "assistant") -> tuple[str, list[tuple[int, int]]]:
@@ -57,23 +64,48 @@ def render(turns: list[tuple[str, str]], trained: str = "assistant") -> tuple[st
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a formatted string."""
-    return [(unescape(r), unescape(t)) for r, t in TURN.findall(formatted)]
+    """The turns of a formatted string; no control string is left inside a turn, so marks are told by sight."""
+    turns = (t[len(START) :].partition(SEP) for t in formatted.split(END)[:-1])
+    return [(unescape(r), unescape(t)) for r, _, t in turns]
 
 
-def tokenizer(path: str) -> object:
-    """A byte-level tokenizer whose added specials are the marks; offsets keep their white space."""
+def tokenizer(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """Of a file of byte-level ranks: an encoding whose specials are the marks, and how many bytes each of its tokens stands for."""
     if path not in _held:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import AddedToken, Tokenizer, processors
-
-        tok = Tokenizer.from_file(path)
-        tok.post_processor = processors.ByteLevel(trim_offsets=False)
-        tok.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (START, SEP, END)])
-        _held[path] = tok
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        first = max(ranks.values()) + 2  # the id after the ranks is that of the end of a text
+        marks = {x: first + i for i, x in enumerate((START, SEP, END))}
+        size = np.zeros(first + len(marks), np.int64)
+        for token, i in [*ranks.items(), *marks.items()]:
+            size[i] = len(token)
+        _held[path] = (tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=marks), size)
     return _held[path]
 
 
+def encode(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets [token, start and end]) of a text, in characters.
+
+    A token's bytes are known from the vocabulary, so offsets are running sums;
+    a character cut into several tokens is the span of each.
+    """
+    tok, size = tokenizer(path)
+    parts, at = [], 0
+    for m in BLANK.finditer(text) if len(text) >= RUN else ():
+        # the last character goes with what follows, unless that is a mark or nothing
+        end = m.end() - (m.end() < len(text) and not text.startswith((START, SEP, END), m.end()))
+        parts += [tok.encode_to_numpy(text[at : m.start()], allowed_special="all"), tok._encode_single_piece(text[m.start() : end])]
+        at = end
+    ids = np.concatenate([*parts, tok.encode_to_numpy(text[at:], allowed_special="all")]).astype(np.int32)
+    end = np.cumsum(size[ids])
+    start = end - size[ids]
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    if len(raw) != len(text):
+        before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        start, end = before[start + 1] - 1, before[end]
+    return ids, np.stack([start, end], 1)
+
+
 def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """Which tokens lie in a span: binary search of each token's start among the spans' starts."""
     out = np.zeros(len(offsets), bool)
@@ -86,85 +118,104 @@ def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
 
 def masked_text(formatted: str, offsets: np.ndarray, on: np.ndarray) -> str:
     """All text under the mask, unescaped; the tokens of one character that was cut count it once."""
-    parts, last_end, run = [], -1, -1
-    for a, b in offsets[on].tolist():
-        if a > last_end:  # a gap: a new span
-            if run >= 0:
-                parts.append(unescape(formatted[run:last_end]))
-            run = a
-        last_end = max(last_end, b)
-    if run >= 0:
-        parts.append(unescape(formatted[run:last_end]))
-    return "".join(parts)
-
-
-def format_conversations(conversations: DataFrame, path: str, trained: str = "assistant") -> DataFrame:
-    """conv_id, formatted, ids, loss_mask, offsets (start and end of each token) of each conversation."""
-    kind = conversations.schema["conv_id"].dataType.simpleString()
-    rows = conversations.select(
-        "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-
-    def one(conv_id: pa.Scalar, turns: list[tuple[str, str]]) -> pa.RecordBatch:
-        formatted, spans = render(turns, trained)
-        e = tokenizer(path).encode(formatted, add_special_tokens=False)
-        offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-        on = mask(offsets, spans)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([conv_id.as_py()], conv_id.type),
-                pa.array([formatted]),
-                pa.array([np.array(e.ids, np.int32)], pa.list_(pa.int32())),
-                pa.array([on], pa.list_(pa.bool_())),
-                pa.array([offsets[:, 0]], pa.list_(pa.int64())),
-                pa.array([offsets[:, 1]], pa.list_(pa.int64())),
-            ],
-            ["conv_id", "formatted", "ids", "loss_mask", "token_start", "token_end"],
-        )
+    held = offsets[on]
+    if not len(held):
+        return ""
+    upto = np.maximum.accumulate(held[:, 1])
+    gap = np.flatnonzero(held[1:, 0] > upto[:-1])  # a new span
+    first, last = held[np.append(0, gap + 1), 0], upto[np.append(gap, len(held) - 1)]
+    return "".join(unescape(formatted[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True))
+
+
+def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    bounds = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts), kind))
+
+
+def _formatter(path: str, trained: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows (conv_id, role, text) to formatted conversations."""
+
+    def group(kind: pa.DataType, ids: list, turns: list[list[tuple[str, str]]]) -> pa.RecordBatch:
+        made = [render(t, trained) for t in turns]
+        encoded = [encode(path, f) for f, _ in made]
+        columns = [
+            pa.array(ids, kind),
+            pa.array([f for f, _ in made], pa.string()),
+            lists([i for i, _ in encoded], pa.int32()),
+            lists([mask(o, spans) for (_, o), (_, spans) in zip(encoded, made, strict=True)], pa.bool_()),
+            lists([o[:, 0] for _, o in encoded], pa.int64()),
+            lists([o[:, 1] for _, o in encoded], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["conv_id", "formatted", "ids", "loss_mask", "token_start", "token_end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, turns = None, []
+        ids, turns, chars, kind = [], [], 0, None
         for b in batches:
-            for conv_id, role, text in zip(b.column("conv_id"), b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if held is not None and conv_id.as_py() != held.as_py():
-                    yield one(held, turns)
-                    turns = []
-                held = conv_id
-                turns.append((role, text))
-        if held is not None:
-            yield one(held, turns)
-
+            kind = b.schema.field("conv_id").type
+            for conv_id, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+                if not ids or conv_id != ids[-1]:
+                    if chars > GROUP_CHARS or len(ids) >= GROUP:
+                        yield group(kind, ids, turns)
+                        ids, turns, chars = [], [], 0
+                    ids.append(conv_id)
+                    turns.append([])
+                turns[-1].append((role, text))
+                chars += len(role) + len(text)
+        if ids:
+            yield group(kind, ids, turns)
+
+    return run
+
+
+FORMATTED = "formatted string, ids array<int>, loss_mask array<boolean>, token_start array<bigint>, token_end array<bigint>"
+DIGESTS = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint"
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Formatted conversations to what they give when read back."""
+    sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
+    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in DIGESTS.split(", ")]
+    for b in batches:
+        rows = []
+        for i, text in enumerate(b.column("formatted").to_pylist()):
+            turns = parse(text)
+            on = b.column("loss_mask")[i].values.to_numpy(zero_copy_only=False).astype(bool)
+            offsets = np.stack([b.column(c)[i].values.to_numpy() for c in ("token_start", "token_end")], 1)
+            loss = masked_text(text, offsets, on)
+            rows.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text), len(on), int(on.sum())))
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
+        yield pa.RecordBatch.from_arrays([b.column("conv_id"), *columns], ["conv_id", *names])
+
+
+def _sorted_rows(conversations: DataFrame) -> DataFrame:
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return (
-        rows.repartition("conv_id")
+        conversations.select("conv_id", "turn", plain("role"), plain("text"))
+        .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
         .select("conv_id", "role", "text")
-        .mapInArrow(
-            run,
-            f"conv_id {kind}, formatted string, ids array<int>, loss_mask array<boolean>, token_start array<bigint>, token_end array<bigint>",
-        )
     )
 
 
+def format_conversations(conversations: DataFrame, path: str, trained: str = "assistant") -> DataFrame:
+    """conv_id, formatted, ids, loss_mask, offsets (start and end of each token) of each conversation."""
+    kind = conversations.schema["conv_id"].dataType.simpleString()
+    return _sorted_rows(conversations).mapInArrow(_formatter(path, trained), f"conv_id {kind}, {FORMATTED}")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """What the formatted strings and masks give when read back, a row a conversation."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+    return formatted.mapInArrow(_digest, f"conv_id {kind}, {DIGESTS}")
+
+
+def formatted_digests(conversations: DataFrame, path: str, trained: str = "assistant") -> DataFrame:
+    """digests(format_conversations(...)) without sending the formatted conversations through the JVM between the two."""
+    kind = conversations.schema["conv_id"].dataType.simpleString()
+    made = _formatter(path, trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for i, text in enumerate(b.column("formatted").to_pylist()):
-                turns = parse(text)
-                on = b.column("loss_mask")[i].values.to_numpy(zero_copy_only=False).astype(bool)
-                offsets = np.stack([b.column(c)[i].values.to_numpy() for c in ("token_start", "token_end")], 1)
-                loss = masked_text(text, offsets, on)
-                row = (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text), len(on), int(on.sum()))
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), *map(pa.array, out)], ["conv_id", *names])
-
-    return formatted.mapInArrow(
-        run,
-        f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint",
-    )
+        yield from _digest(made(batches))
+
+    return _sorted_rows(conversations).mapInArrow(run, f"conv_id {kind}, {DIGESTS}")
