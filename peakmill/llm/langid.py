@@ -4,14 +4,17 @@ The vocabulary is a fixed public one. For every language a probability of each
 piece is learned; a text's likelihood sums, by a forward algorithm, over all
 ways to cut each of its words into pieces. Pieces never cross white space, so a
 text's likelihood is the product over its words, and each distinct word is
-scored once while it stays in a worker's bounded cache.
+scored once while it stays in a worker's bounded cache. Words of more than
+SCORE_WORD characters are scored in parts of that many.
 
 Learning gathers expected piece counts (forward-backward under a rank prior)
 from every training row; what reaches the driver is one number for each
-language and piece, whatever the number of rows.
+language and piece, whatever the number of rows. Both passes are rescaled as
+they go, so that long runs of characters that no piece knows don't vanish.
 
 Defined results: null text or text without a letter is ``und`` with score 0,
-and so is every text when there is nothing to learn from. Ties go to the
+and so is every text when there is nothing to learn from. Scores are finite
+and lie in 0 to 1 for any text. Ties go to the
 language that sorts first. Rows with null lang are not learned from; equal rows
 count each. Extra columns are ignored (and kept by ``filter_language``).
 """
@@ -20,7 +23,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakmill.llm.words import Slots, Texts, chunks, mix
+
 U = np.uint64
 LETTER = re.compile(r"[^\W\d_]")
-SPACE = re.compile(r"\s")
 MARK = "▁"
-CHUNK = 1 << 20
-CACHE = 300_000
-#: Words of text that are looked up together.
-BATCH = 100_000
+#: Bytes of word scores that a worker keeps.
+CACHE_BYTES = 1 << 24
+SLOT_BITS = 19
+#: Words counted before their expected pieces are worked out.
+TALLY = 200_000
 GROUP = 4096
+#: Numbers in one array of the forward algorithm, about.
+CELLS = 1 << 19
 ROWS = 512
-#: Words longer than this are learned from in parts (they are scored whole).
-LEARN_WORD = 64
+#: Bytes of text that are looked up together.
+CHUNK = 1 << 19
+#: Longer words are learned from, and scored, in parts.
+LEARN_WORD, SCORE_WORD = 64, 512
 _MUL = U(0x9E3779B97F4A7C15)
 
 
@@ -117,31 +125,39 @@ class Lattice:
             yield end, out
 
 
-def in_groups(words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """(words, their lengths, codes [position, word]) in groups of like length, of bounded size."""
-    words = sorted(words, key=len)
+def in_groups(words: list[str], wide: int = 1) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers of the words, their lengths, codes [position, word]) in groups of like length, of bounded size.
+
+    wide: numbers held for each position of a word.
+    """
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
     at = 0
-    while at < len(words):
-        take = max(1, min(GROUP, (GROUP * 32) // max(1, len(words[min(at + GROUP, len(words)) - 1]))))
-        group = words[at : at + take]
+    while at < len(order):
+        width = len(words[order[min(at + GROUP, len(order)) - 1]])
+        take = max(1, min(GROUP, CELLS // max(1, width * wide)))
+        group = order[at : at + take]
         at += take
-        size = np.fromiter(map(len, group), np.int64, len(group))
-        yield group, size, np.ascontiguousarray(codes_of(group, int(size.max())).T)
+        size = np.fromiter((len(words[i]) for i in group), np.int64, len(group))
+        yield group, size, np.ascontiguousarray(codes_of([words[i] for i in group], int(size.max())).T)
 
 
-def word_scores(lattice: Lattice, prob: np.ndarray, words: list[str]) -> dict[str, np.ndarray]:
-    return dict(zip(*scored(lattice, prob, words), strict=True))
+def in_parts(words: list[str], longest: int) -> tuple[list[str], np.ndarray]:
+    """The words, those of more than ``longest`` characters cut, and the number of the word that each part is of."""
+    if all(len(w) <= longest for w in words):
+        return words, np.arange(len(words))
+    parts = [(i, w[at : at + longest]) for i, w in enumerate(words) for at in range(0, max(len(w), 1), longest)]
+    return [p for _, p in parts], np.array([i for i, _ in parts])
 
 
-def scored(lattice: Lattice, prob: np.ndarray, words: list[str]) -> tuple[list[str], np.ndarray]:
-    """The words, and log probabilities [word, language] over all segmentations.
+def scored(lattice: Lattice, prob: np.ndarray, words: list[str]) -> np.ndarray:
+    """Log probabilities [word, language] over all segmentations.
 
     prob: [piece, language], with a last row of zeros.
     """
-    order: list[str] = []
-    values: list[np.ndarray] = [np.zeros((0, prob.shape[1]))]
+    parts, of = in_parts(words, SCORE_WORD)
     k = prob.shape[1]
-    for group, size, codes in in_groups(words):
+    out = np.zeros((len(words), k))
+    for group, size, codes in in_groups(parts, k):
         width, n = codes.shape
         ahead = np.zeros((width + 1, n, k))
         ahead[0] = 1
@@ -153,52 +169,61 @@ def scored(lattice: Lattice, prob: np.ndarray, words: list[str]) -> tuple[list[s
             done = np.flatnonzero(size == end)
             if len(done):
                 final[done] = np.log(now[done]) + scale[done]
-            if width > 32 and end % 8 == 0:
-                near = ahead[max(0, end + 1 - lattice.longest) : end + 1]
-                s = near.max(0)
-                s[s <= 0] = 1
-                near /= s
-                scale += np.log(s)
-        order += group
-        values.append(final)
-    return order, np.concatenate(values)
+            if width > 16 and end % 8 == 0:
+                scale += np.log(rescale(ahead[max(0, end + 1 - lattice.longest) : end + 1]))
+        np.add.at(out, of[group], final)
+    return out
+
+
+def rescale(window: np.ndarray) -> np.ndarray:
+    """Divide a window of positions by its maximum for each word; returns that."""
+    most = window.max(0)
+    most[most <= 0] = 1
+    window /= most
+    return most
 
 
 def expected_counts(lattice: Lattice, prior: np.ndarray, words: list[str], weights: np.ndarray) -> np.ndarray:
-    """[language, piece] counts: each word's pieces over all segmentations, times weights[word, language]."""
-    out = np.zeros((weights.shape[1], lattice.size + 1))
-    place = {w: i for i, w in enumerate(words)}
+    """Each piece's expected count over all segmentations of the words, times the words' weights."""
+    out = np.zeros(lattice.size + 1)
     for group, size, codes in in_groups(words):
         width, n = codes.shape
         arcs = list(lattice.arcs(codes))
-        a = np.zeros((width + 1, n))
+        every = np.arange(n)
+        a, log_a = np.zeros((width + 1, n)), np.zeros((width + 1, n))
         a[0] = 1
         for end, found in arcs:
+            log_a[end] = log_a[end - 1]
             for start, on, ids in found:
                 a[end, on] += a[start, on] * prior[ids]
-        b = np.zeros((width + 1, n))
-        b[size, np.arange(n)] = 1
-        w = weights[[place[x] for x in group]] / a[size, np.arange(n)][:, None]
+            if end % 8 == 0:
+                window = slice(max(0, end + 1 - lattice.longest), end + 1)
+                log_a[window] += np.log(rescale(a[window]))
+        whole, log_whole = a[size, every], log_a[size, every]
+        # relative to the whole word's probability; past a word's end nothing counts
+        log_a = np.where(np.arange(width + 1)[:, None] <= size, log_a - log_whole, 0)
+        b, log_b = np.zeros((width + 1, n)), np.zeros(n)
+        b[size, every] = weights[group] / whole
         for end, found in reversed(arcs):
             for start, on, ids in found:
                 arc = prior[ids] * b[end, on]
                 b[start, on] += arc
-                post = a[start, on] * arc
-                for lang in range(w.shape[1]):
-                    out[lang] += np.bincount(ids, post * w[on, lang], minlength=lattice.size + 1)
-    return out[:, :-1]
+                out += np.bincount(ids, a[start, on] * arc * np.exp(log_a[start, on] + log_b[on]), minlength=len(out))
+            if end % 8 == 0:
+                log_b += np.log(rescale(b[max(0, end - lattice.longest) : end]))
+    return out[:-1]
 
 
-def chunks(text: str) -> Iterator[list[str]]:
-    """The lower-cased words of a text, a part at a time, never cutting a word."""
-    at = 0
-    while at < len(text):
-        end = at + CHUNK
-        if end < len(text):
-            m = SPACE.search(text, end)
-            end = m.start() if m else len(text)
-        yield text[at:end].lower().split()
-        at = end
+def lowered(texts: pa.Array, which: np.ndarray | None = None) -> pa.Array:
+    """Lower-case texts, those that ``which`` leaves out empty."""
+    values = texts.to_pylist()
+    return pa.array([t.lower() if t and (which is None or which[i]) else "" for i, t in enumerate(values)], pa.large_string())
+
+
+def spelled(t: Texts, which: np.ndarray) -> list[str]:
+    """The words of that number; a word may hold white space beyond ASCII."""
+    raw = t.buf.tobytes()
+    return [raw[a:b].decode() for a, b in zip(t.start[which].tolist(), t.end[which].tolist(), strict=True)]
 
 
 def rank_prior(size: int) -> np.ndarray:
@@ -224,54 +249,56 @@ class Model:
         self.prob = np.append(prob.T, np.zeros((1, len(langs))), 0)
 
 
-_held: dict[str, tuple[Lattice, dict[str, int], np.ndarray]] = {}
-
-
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and posterior of each text; distinct words are scored together, BATCH words of text at a time."""
+class Cache:
+    """A worker's scores of words, in bounded memory."""
+
+    def __init__(self, model: Model):
+        self.lattice, self.prob = Lattice(model.pieces), model.prob
+        self.slots = Slots(SLOT_BITS)
+        self.rows = np.zeros((min(1 << SLOT_BITS, max(1024, CACHE_BYTES // (8 * len(model.langs)))), len(model.langs)))
+        self.used = 0
+
+    def scores(self, t: Texts) -> np.ndarray:
+        """[word, language]"""
+        h = t.word_hashes(False)
+        at, miss, new, back = self.slots.look(h)
+        values = self.rows[at]
+        if len(new):
+            parts = [[MARK + x for x in w.split()] for w in spelled(t, new)]
+            of = np.repeat(np.arange(len(new)), [len(x) for x in parts])
+            made = np.zeros((len(new), values.shape[1]))
+            np.add.at(made, of, scored(self.lattice, self.prob, [x for p in parts for x in p]))
+            values[miss] = made[back]
+            if self.used + len(new) > len(self.rows):
+                self.slots.clear()
+                self.used = 0
+            if len(new) <= len(self.rows):
+                self.rows[self.used : self.used + len(new)] = made
+                self.slots.put(h[new], np.arange(self.used, self.used + len(new)))
+                self.used += len(new)
+        return values
+
+
+_held: dict[str, Cache] = {}
+
+
+def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and posterior of each text."""
+    known = np.array([t is not None and bool(model.langs) and bool(LETTER.search(t)) for t in texts.to_pylist()], bool)
     if model.key not in _held:
         _held.clear()
-        _held[model.key] = (Lattice(model.pieces), {}, np.zeros((CACHE + BATCH, len(model.langs))))
-    lattice, place, rows = _held[model.key]
-    total = np.zeros((len(texts), len(model.langs)))
-    known = np.array([t is not None and bool(model.langs) and bool(LETTER.search(t)) for t in texts], bool)
-    waiting: list[tuple[int, list[str]]] = []
-
-    def settle() -> None:
-        new = set().union(*(w for _, w in waiting)).difference(place)
-        if len(place) + len(new) > CACHE:
-            place.clear()
-            new = set().union(*(w for _, w in waiting))
-        if new:
-            names, values = scored(lattice, model.prob, [MARK + w for w in new])
-            at = len(place)
-            rows[at : at + len(names)] = values
-            place.update(zip([w[1:] for w in names], range(at, at + len(names)), strict=True))
-        for i, w in waiting:
-            total[i] += rows[np.fromiter(map(place.__getitem__, w), np.int64, len(w))].sum(0)
-        waiting.clear()
-
-    held = 0
-    for i in np.flatnonzero(known).tolist():
-        for words in chunks(texts[i]):
-            for at in range(0, len(words), BATCH):
-                waiting.append((i, words[at : at + BATCH]))
-                held += len(waiting[-1][1])
-                if held >= BATCH:
-                    settle()
-                    held = 0
-    if waiting:
-        settle()
-    langs, scores = [], []
-    for i in range(len(texts)):
-        if not known[i]:
-            langs.append("und")
-            scores.append(0.0)
-            continue
-        best = int(total[i].argmax())
-        langs.append(model.langs[best])
-        scores.append(float(1 / np.exp(total[i] - total[i, best]).sum()))
-    return langs, scores
+        if model.langs:
+            _held[model.key] = Cache(model)
+    total = np.zeros((len(texts), max(1, len(model.langs))))
+    if known.any():
+        for i, t in chunks(lowered(texts, known), CHUNK):
+            if len(t.start):
+                some = np.flatnonzero(t.first[1:] > t.first[:-1])
+                total[i + some] += np.add.reduceat(_held[model.key].scores(t), t.first[some], axis=0)
+    best = total.argmax(1)
+    score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+    langs = [model.langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+    return langs, np.where(known, score, 0.0).tolist()
 
 
 def learn(training: DataFrame, pieces: list[str]) -> Model:
@@ -279,34 +306,50 @@ def learn(training: DataFrame, pieces: list[str]) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, prior = Lattice(pieces), rank_prior(len(pieces))
-        tally: dict[str, Counter] = {}
+        langs: dict[str, int] = {}
+        slots = Slots(SLOT_BITS)
+        words: list[str] = []
+        owner: list[np.ndarray] = []
+        count = np.zeros(TALLY * 2)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            langs = sorted(tally)
-            words = sorted(set().union(*tally.values()))
-            weights = np.array([[tally[x][w] for x in langs] for w in words], float)
-            parts: dict[str, np.ndarray] = {}
-            for w, row in zip(words, weights, strict=True):
-                whole = MARK + w
-                for at in range(0, len(whole), LEARN_WORD):
-                    p = whole[at : at + LEARN_WORD]
-                    parts[p] = parts[p] + row if p in parts else row
-            keys = list(parts)
-            counts = expected_counts(lattice, prior, keys, np.array([parts[p] for p in keys]))
-            tally.clear()
-            for i, x in enumerate(langs):
-                on = np.flatnonzero(counts[i])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x] * len(on), pa.string()), pa.array(on, pa.int32()), pa.array(counts[i][on])], ["lang", "piece", "c"]
-                )
+            of, names = np.concatenate(owner), list(langs)
+            order = np.argsort(of, kind="stable")
+            bounds = np.searchsorted(of[order], np.arange(len(names) + 1))
+            for i, x in enumerate(names):
+                own = order[bounds[i] : bounds[i + 1]]
+                parts = [(p, n) for n in own.tolist() for w in words[n].split() for p in in_parts([MARK + w], LEARN_WORD)[0]]
+                if parts:
+                    c = expected_counts(lattice, prior, [p for p, _ in parts], count[[n for _, n in parts]])
+                    on = np.flatnonzero(c)
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(on), pa.string()), pa.array(on, pa.int32()), pa.array(c[on])], ["lang", "piece", "c"])
+            slots.clear()
+            langs.clear()
+            words.clear()
+            owner.clear()
+            count[:] = 0
 
         for batch in batches:
-            for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
-                for words in chunks(text.as_py()):
-                    tally.setdefault(lang.as_py(), Counter()).update(words)
-                    if sum(map(len, tally.values())) > CACHE:
+            for lo in range(0, batch.num_rows, ROWS):
+                b = batch.slice(lo, ROWS)
+                names = b.column("lang").to_pylist()
+                for i, t in chunks(lowered(b.column("text")), CHUNK):
+                    of_text = np.array([langs.setdefault(x, len(langs)) for x in names[i : i + t.n]])
+                    # a word counts by language
+                    of = of_text[t.doc]
+                    h = mix(t.word_hashes(False) + U(1) + of.astype(U))
+                    at, miss, new, back = slots.look(h)
+                    at[miss] = len(words) + back
+                    if len(new):
+                        slots.put(h[new], np.arange(len(words), len(words) + len(new)))
+                        words += spelled(t, new)
+                        owner.append(of[new])
+                    if len(words) > len(count):
+                        count = np.concatenate([count, np.zeros(len(words))])
+                    count[: len(words)] += np.bincount(at, minlength=len(words))
+                    if len(words) > TALLY:
                         yield from flush()
-        if tally:
+        if words:
             yield from flush()
 
     rows = (
@@ -320,6 +363,8 @@ def learn(training: DataFrame, pieces: list[str]) -> Model:
     langs = sorted(rows["lang"].unique())
     counts = np.zeros((len(langs), len(pieces)))
     counts[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64), rows["piece"].to_numpy(np.int64)] = rows["c"].round(4)
+    if not np.isfinite(counts).all():
+        raise ArithmeticError("expected counts of pieces are not finite")
     return Model(pieces, langs, counts)
 
 
@@ -342,7 +387,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                langs, scores = predict(held.value, b.column("text").to_pylist())
+                langs, scores = predict(held.value, b.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                     ["doc_id", "held_out", "lang_pred", "score"],
@@ -361,7 +406,7 @@ def filter_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                langs, scores = predict(held.value, b.column("text").to_pylist())
+                langs, scores = predict(held.value, b.column("text"))
                 yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
