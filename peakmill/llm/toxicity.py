@@ -1,10 +1,10 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 Units are a text's distinct words, words freed of marks inside them, and runs
-of single-character words read as one word ("i d i o t"). Two units are compared by the gap-weighted subsequence
-kernel: ordered character triples within a window of SPAN characters, each
-weighing DECAY to the power of the stretch it spans, normalised, to the power
-SHARPNESS. Inserted characters and gaps only lengthen the stretch. A text's
+of single-character words read as one word ("i d i o t"). Two units are compared
+by the gap-weighted subsequence kernel: ordered character triples within a
+window of SPAN characters, each weighing DECAY to the power of the stretch it
+spans, normalised, to the power SHARPNESS. Inserted characters and gaps only lengthen the stretch. A text's
 likeness to a landmark is that of its units taken together (noisy or), and the
 Nyström map turns the likenesses to all landmarks into features of a linear
 squared-hinge SVM whose margin is calibrated to a probability.
@@ -13,9 +13,13 @@ The classifier is fitted on at most FIT_ROWS labelled documents (the ones with
 the smallest hashes of their doc_id); whole texts are scored.
 
 Defined results: null or empty text has no unit and gets the score of a text
-that is unlike every landmark. Without labels of both kinds the score is the
+that is unlike every landmark. A unit of fewer than three characters holds no
+triple and is like nothing; one of more than LONG characters is taken as
+overlapping windows of LONG. Without labels of both kinds the score is the
 share of label 1 (0 with no labels). Rows with a null label or doc_id are not
-learned from. Equal rows are scored alike. Extra columns are ignored.
+learned from; of several texts with one labelled doc_id the first in order is,
+and of several labels the larger. Equal rows are scored alike. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ from peakmill.runtime import materialize
 
 FIT_ROWS = 12_000
 LANDMARKS = 64
-#: Words looked at as landmarks.
-POOL = 3_000
+#: Candidates for landmarks, those words that carry most.
+TRIED = 512
 #: Standard deviations by which a landmark and the words like it must stand out.
 LEAST_GAIN = 5.5
 DECAY = 0.7
@@ -43,12 +47,20 @@ SPAN = 7
 SHARPNESS = 3
 #: Kernel values below this count as none.
 NEAR = 1e-4
+LONG = 64
 CACHE = 200_000
 ROWS = 512
 EDGE = ".,;:!?\"'()[]{}<>*#|&%$-_/\\~`"
 THRESHOLD = 0.3
 
 
+def windows(unit: str) -> list[str]:
+    """The unit, or if it is long, windows of LONG characters of which each shares half with the next."""
+    if len(unit) <= LONG:
+        return [unit] if len(unit) >= 3 else []
+    return [unit[at : at + LONG] for at in range(0, len(unit) - LONG // 2, LONG // 2)]
+
+
 def units(text: str) -> set[str]:
     """Distinct lower-case words without edge punctuation, and joined runs of three or more single characters.
 
@@ -70,12 +82,12 @@ def units(text: str) -> set[str]:
                 if j - first >= 3:
                     out.add("".join(bare[words[i]] for i in at[first:j]))
                 first = j
-    return {w for w in out if len(w) >= 3}
+    return {w for unit in out for w in windows(unit)}
 
 
-@lru_cache(256)
+@lru_cache(LONG + 1)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all ordered triples within SPAN in a word of n characters, and their weights."""
+    """Positions of all ordered triples within SPAN in a unit of n characters (LONG at most), and their weights."""
     at = [(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + SPAN)) for k in range(j + 1, min(n, i + SPAN))]
     at_ = np.array(at, np.int64).reshape(-1, 3)
     return at_, DECAY ** (at_[:, 2] - at_[:, 0] + 1.0)
@@ -185,31 +197,31 @@ class Model:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-_held: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+_held: dict[str, tuple[dict[str, int], np.ndarray, int]] = {}
 
 
 def likenesses(landmarks: Landmarks, key: str, texts: list[str | None]) -> np.ndarray:
     """[text, landmark]: 1 minus the product over units of 1 minus the kernel."""
     if key not in _held:
         _held.clear()
-        _held[key] = ({}, np.zeros((1024, len(landmarks.words)), np.float32))
-    place, rows = _held[key]
+        # row 0 stays zero: what is like no landmark
+        _held[key] = ({}, np.zeros((1024, len(landmarks.words)), np.float32), 1)
+    place, rows, used = _held[key]
     found = [units(t) if t else set() for t in texts]
     new = list(set().union(*found).difference(place)) if found else []
     if len(place) + len(new) > CACHE:
         place.clear()
+        used = 1
         new = list(set().union(*found))
     if new:
         k = landmarks.kernel(new)
         near = k.max(1) > NEAR
-        # row 0 stays zero: what is like no landmark; kept rows are few
-        used = 1 + max((v for v in place.values()), default=0) if place else 1
         need = used + int(near.sum())
         if need > len(rows):
             rows = np.concatenate([rows, np.zeros((need, rows.shape[1]), np.float32)])
         place.update(zip(new, np.where(near, used + np.cumsum(near) - 1, 0).tolist(), strict=True))
         rows[used:need] = np.log1p(-np.minimum(k[near], 0.999))
-        _held[key] = (place, rows)
+        _held[key] = (place, rows, need)
     out = np.zeros((len(texts), rows.shape[1]))
     for i, u in enumerate(found):
         at = [r for r in map(place.__getitem__, u) if r]
@@ -219,22 +231,29 @@ def likenesses(landmarks: Landmarks, key: str, texts: list[str | None]) -> np.nd
 
 
 def choose_landmarks(words: list[str], gain: np.ndarray, count: int) -> list[str]:
-    """Greedy cover: each next landmark is the word whose likeness carries most of the gain not yet covered."""
+    """Greedy cover: each next landmark is the word whose likeness carries most of the gain not yet covered.
+
+    A family of like words counts together. Words are compared a hundred at a
+    time; the TRIED words that carry most are the candidates.
+    """
     if not words:
         return []
-    # a hundred columns at a time: a landmark table is as wide as its words
-    k = np.concatenate([Landmarks(words[at : at + 100]).kernel(words) for at in range(0, len(words), 100)], 1)
-    left = np.ones(len(words))
+    carried = np.zeros(len(words))
+    for at in range(0, len(words), 100):
+        carried[at : at + 100] = gain @ Landmarks(words[at : at + 100]).kernel(words)
+    tried = np.argsort(-carried, kind="stable")[:TRIED]
+    k = np.concatenate([Landmarks([words[i] for i in tried[at : at + 100]]).kernel(words) for at in range(0, len(tried), 100)], 1)
+    left = gain.astype(float)
     chosen: list[int] = []
-    for _ in range(min(count, len(words))):
-        value = k @ (gain * left)
+    for _ in range(min(count, len(tried))):
+        value = left @ k
         value[chosen] = -1
         best = int(value.argmax())
         if value[best] < LEAST_GAIN:
             break
         chosen.append(best)
-        left *= 1 - k[best]
-    return [words[i] for i in chosen]
+        left *= 1 - k[:, best]
+    return [words[tried[i]] for i in chosen]
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -280,9 +299,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     """From at most fit_rows rows of labels(doc_id, toxic) that are not held out, and their texts."""
     known = held_out(labels.select("doc_id", "toxic")).where("not held_out and toxic is not null and doc_id is not null")
     picked = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     # at most fit_rows ids
-    sample = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id"), "toxic").where("text is not null")
-    n, ones = sample.agg(F.count("toxic"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0))).collect()[0]
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = materialize(sample.select("text", "toxic"), "toxic")
+    n, ones = sample.agg(F.count("toxic"), F.coalesce(F.sum("toxic"), F.lit(0))).collect()[0]
     if not n or not ones or ones == n:
         return Model(constant=float(ones / n) if n else 0.0)
 
@@ -300,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         F.sum("toxic").alias("k"), F.count("toxic").alias("c")
     )
     gain = (F.col("k") - share * F.col("c")) / F.sqrt(F.col("c") * share * (1 - share))
-    top = counts.where("k > 1 and length(word) <= 24").withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN / 2).orderBy(F.desc("gain"), "word").limit(POOL).collect()
+    top = counts.where("k > 1").withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN / 2).orderBy(F.desc("gain"), "word").collect()  # words of at most fit_rows texts
     words = choose_landmarks([r["word"] for r in top], np.array([r["gain"] for r in top]), LANDMARKS)
     if not words:
         return Model(constant=share)

@@ -10,7 +10,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from peakmill.llm import fingerprint, jaccard, mixing, packing, shards
@@ -110,8 +112,6 @@ def test_fingerprints_against_brute_force(spark, docs):
 
 
 def test_fingerprints_of_parts_merge(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(4)
     w = [str(rng.randint(0, 10**6)) for _ in range(3000)]
     df = spark.createDataFrame([(" ".join(w[:1500]), " ".join(w[1496:]), " ".join(w), " ".join(w[100:300]))], "a string, b string, ab string, part string")
@@ -132,10 +132,35 @@ def test_fingerprints_of_odd_rows(odd, none):
     assert fingerprint.edited_fingerprints(odd.where("doc_id = 7")).collect()[0].near_next == 1.0
 
 
-def test_neighbours_across_gaps(spark):
-    ids = [3, 511, 512, 9_000, 600_000, 5_000_000]
-    got = fingerprint.with_next(spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")).collect()
-    assert {r.doc_id: r.next_text for r in got} == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+@pytest.mark.parametrize("lengths", [(1500, 1500, 0), (30, 34, 4), (20, 60, 4), (5, 5, 0), (3, 200, 0), (0, 40, 0)])
+@pytest.mark.parametrize("scale", [4, 64])
+def test_fingerprints_merge_exactly_at_any_length(spark, lengths, scale):
+    rng = random.Random(sum(lengths))
+    a, b, common = ([str(rng.randint(0, 10**9)) for _ in range(n)] for n in lengths)
+    texts = [" ".join(a + common), " ".join(common + b), " ".join(a + common + b)]
+    df = spark.createDataFrame([texts], "a string, b string, ab string")
+    s = {c: F.expr(c) for c in df.columns}
+    r = df.select(*[fingerprint.shingle_hashes(s[c]).alias(c) for c in s], fingerprint.merge(fingerprint.sketch(s["a"], scale), fingerprint.sketch(s["b"], scale), scale).alias("m")).collect()[0]
+    both = sorted({*r.a, *r.b})
+    assert r.m == [h for i, h in enumerate(both) if i < fingerprint.FLOOR or h < fingerprint.RANGE // scale]
+
+
+@pytest.mark.parametrize("run", [1, 2, 1024])
+def test_neighbours(spark, monkeypatch, run):
+    monkeypatch.setattr(fingerprint, "RUN", run)
+    rng = random.Random(5)
+    ids = sorted({3, 511, 512, 9_000, 600_000, 5_000_000, -7, 2**62, -(2**62), *(rng.randint(-(2**63), 2**63 - 1) for _ in range(40)), *range(100, 130)})
+    for rows, kind in (([(i, f"t{i}") for i in ids], "long"), (sorted((f"id '{i}\"\\", f"t{i}") for i in ids), "string")):
+        got = fingerprint.with_next(spark.createDataFrame(rng.sample(rows, len(rows)), f"doc_id {kind}, text string")).collect()
+        assert {r.doc_id: r.next_text for r in got} == {a[0]: b[1] for a, b in zip(rows, rows[1:] + rows[:1], strict=True)}
+    # many rows of one doc_id, or of none, make one ring with the others
+    rows = [(7, f"a{i}") for i in range(30)] + [(None, f"b{i}") for i in range(30)] + [(1, "first"), (9, "mid")]
+    after = {r.text: r.next_text for r in fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ring, at = [], "first"
+    while at not in ring:
+        ring.append(at)
+        at = after[at]
+    assert sorted(ring) == sorted(t for _, t in rows) and [t[0] for t in ring] == [*"f" + "a" * 30 + "m" + "b" * 30]
 
 
 def test_shards(spark, odd, none):
@@ -155,6 +180,53 @@ def test_shards(spark, odd, none):
     assert shards.shard_documents(none, empty).count() == 0
 
 
+def test_shards_keep_columns_of_any_name(spark, monkeypatch):
+    names = ["doc_id", "text", "run_id", "folder", "part", "shard", "arrival", "row", "_metadata", "file_path", "a.b", "version"]
+    rows = [tuple(f"{c}{i}" for c in names) for i in range(9)] + [(None,) * len(names)] * 2
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in names))
+    store = shards.ShardStore(spark, scratch_path(spark, "t"))
+    got = shards.shard_documents(df, store).collect()
+    assert Counter((r.doc_id, r.text_md5) for r in got) == Counter((r[0], r[1] and hashlib.md5(r[1].encode()).hexdigest()) for r in rows)
+    back = store.read()
+    assert back.columns == [*names, "run_id_", "shard_"]
+    assert Counter(tuple(r)[: len(names)] for r in back.collect()) == Counter(rows)
+
+
+def test_vacuum_keeps_readers_and_appends_safe(spark):
+    store = shards.ShardStore(spark, scratch_path(spark, "t"), fanout=3)
+    for i in range(5):
+        store.append(spark.range(i, i + 1))
+    before = store.version()
+    held = store.read(before)
+    assert store.compact() == before + 1
+    assert store.vacuum() == 0 and held.count() == 5  # the version before stays readable
+    pending = f"{store.root}/data/pending"
+    spark.range(3).write.parquet(pending)
+    store.append(spark.range(9, 10))
+    assert store.vacuum(versions=1) == 5
+    assert store.read().count() == 6 and spark.read.parquet(pending).count() == 3  # an append's files before its commit
+    with pytest.raises(Exception, match="(?i)exist|no such"):
+        store.read(before).count()
+    assert store.vacuum(versions=1, age=-5) == 1 and store.read().count() == 6
+
+
+def brute_tier(runs, fanout, alike, widest):
+    """The tier from the smallest run that starts one: all runs, up to widest, of at most alike times its size."""
+    for low in sorted(runs, key=lambda r: (r.bytes, r.run_id)):
+        near = sorted((r for r in runs if (r.bytes, r.run_id) >= (low.bytes, low.run_id) and r.bytes <= alike * max(low.bytes, 1)), key=lambda r: (r.bytes, r.run_id))
+        if len(near) >= fanout:
+            return near[:widest]
+    return []
+
+
+def test_tiers_against_brute_force(spark):
+    rng = random.Random(3)
+    for _ in range(200):
+        store = shards.ShardStore(spark, "unused", fanout=rng.randint(2, 5), alike=rng.choice([1.0, 1.5, 2.0, 4.0]), widest=rng.choice([5, 6, 64]))
+        runs = [shards.Run(i, str(i), 1, rng.choice([0, 1, 5, 100, rng.randint(1, 2000)]), 1) for i in range(rng.randint(0, 15))]
+        assert store.due(runs) == brute_tier(runs, store.fanout, store.alike, store.widest)
+
+
 def test_tiers(spark):
     store = shards.ShardStore(spark, "unused", fanout=3, alike=2.0)
     run = lambda i, size: shards.Run(i, str(i), 1, size, 1)
@@ -215,6 +287,56 @@ def test_mix_takes_what_was_allocated_without_unique_ids(spark, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["n_", "t_", "i_", "s", "row", "row_key", "taken", "rows", "some", "nth", "digest", "size", "p", "unit", "rate", "target", "a.b", "copies"]
+    rows = [(i, f"w{i} w", "ab"[i % 2], *(f"{c}{i}" for c in names)) for i in range(60)] + [(None, "same", "a", *names)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    got = mixing.mix(df)
+    assert got.columns == df.columns and set(map(tuple, got.collect())) <= set(rows)
+    copies = mixing.allocate(df).agg({"copies": "sum"}).collect()[0][0]
+    assert abs(got.count() - copies) <= 2
+
+
+def test_rows_of_one_id_fly_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FLIGHT", 50)
+    seen = []
+    made = mixing.flight
+
+    def spy(*how):
+        seen.append(how)
+        return made(*how)
+
+    monkeypatch.setattr(mixing, "flight", spy)
+    df = spark.createDataFrame([(None, "a" if i % 3 else "b", f"text {i} " + "w " * (i % 40)) for i in range(2000)], "doc_id long, source string, text string")
+    units = mixing.words_of(df).select(F.xxhash64(F.lit(""), "digest", F.lit(7)).alias("unit"))
+    groups = Counter(r.unit % 40 for r in units.collect())
+    assert len(groups) == 40 and max(groups.values()) < 100
+    got = mixing.allocate(df).collect()
+    assert len(got) == 2000 and sum(how[2] for how in seen) == 1
+
+
+def test_flight_moves_along_the_null_space_to_brute_force_bounds():
+    """Every step of three documents leaves both totals as they are and decides one; over many draws each is taken as often as its probability says."""
+    size, p = np.array([3, 10, 4, 7, 1, 20, 6, 6]), np.array([0.2, 0.5, 0.7, 0.4, 0.9, 0.3, 0.5, 0.5])
+    total = np.zeros(len(p))
+    for seed in range(4000):
+        out = mixing.fly(p, size, np.random.default_rng(seed))
+        assert out.sum() == pytest.approx(p.sum()) and out @ size == pytest.approx(p @ size)
+        assert ((out < 1e-9) | (out > 1 - 1e-9)).sum() >= len(p) - 2
+        total += out
+    assert np.abs(total / 4000 - p).max() < 0.04  # a flight is fair
+
+
+def test_landing_is_the_nearest_choice():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        size, p = rng.integers(1, 50, 8), rng.random(8)
+        out = mixing.land(p, size)
+        cost = lambda x: abs(x @ size - p @ size) + abs(x.sum() - p.sum()) * max(1.0, size.mean() / 100)
+        every = [np.array([(n >> i) & 1 for i in range(8)]) for n in range(256)]
+        assert cost(out) == pytest.approx(min(map(cost, every)))
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(1)
     size, p = rng.integers(1, 100, 400), np.full(400, 0.37)
@@ -275,7 +397,7 @@ def test_words_are_encoded_as_in_whole_texts():
 
     tok = Tokenizer.from_file(PATH)
     texts = ["á ́b  c\t d'S I'LL 12 3x <|endoftext|> ΟΔΟΣ ΟΣ. İx ẞ\x1cz\x85w", "", "  \n ", "don't it's x' y''s .. ,a a,,b, Ⅷ ª 한국어 Z_ ½ é, word<|endoftext|>,", None]
-    for text, ids in zip(texts, packing.encode_texts(PATH, texts), strict=True):
+    for text, ids in zip(texts, packing.encode_texts(PATH, pa.array(texts)), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text or "", add_special_tokens=False).ids
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from fractions import Fraction
 from math import log
 
 import numpy as np
@@ -15,7 +16,7 @@ from peakmill.llm import chat, langid, quality, queries, toxicity, url_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-BYTES = public_tokenizers.path("byte_bpe_50k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def base(text):
@@ -64,17 +65,60 @@ def test_language_forward_sum_is_exact():
     place = {p: i for i, p in enumerate(pieces) if p}
 
     def brute(word, k):
-        total = [1.0] + [0.0] * len(word)
+        total = [Fraction(1)] + [Fraction(0)] * len(word)
         for j in range(1, len(word) + 1):
             for i in range(j):
                 at = place.get(word[i:j], 0 if j == i + 1 else None)
                 if at is not None:
-                    total[j] += total[i] * model.prob[at, k]
-        return log(total[-1])
+                    total[j] += total[i] * Fraction(model.prob[at, k])
+        return log(total[-1].numerator) - log(total[-1].denominator)
 
     words = ["▁the", "▁reading", "▁x", "▁übergröße", "▁中文字", "▁" + "abcdefgh" * 9]
-    got = langid.word_scores(langid.Lattice(pieces), model.prob, words)
-    assert all(got[w][k] == pytest.approx(brute(w, k)) for w in words for k in (0, 1))
+    words += ["▁" + "\U0001f600" * 100, "▁" + "\ue000" * 40, ""]
+    got = langid.scored(langid.Lattice(pieces), model.prob, words)
+    assert all(got[i, k] == pytest.approx(brute(w, k)) for i, w in enumerate(words[:-1]) for k in (0, 1)) and not got[-1].any()
+    long = "ab\ue000c" * 3000
+    parts = [long[i : i + langid.SCORE_WORD] for i in range(0, len(long), langid.SCORE_WORD)]
+    got = langid.scored(langid.Lattice(pieces), model.prob, ["x", long, *parts])
+    assert np.allclose(got[1], got[2:].sum(0)) and np.isfinite(got).all()
+
+
+def test_language_expected_counts_are_exact():
+    pieces = langid.vocabulary(PIECES)
+    place = {p: i for i, p in enumerate(pieces) if p}
+    prior = langid.rank_prior(len(pieces))
+
+    def brute(word):
+        ahead, behind = [[Fraction(0)] * len(word) + [Fraction(0)] for _ in range(2)]
+        ahead[0] = behind[-1] = Fraction(1)
+        arcs = [(i, j, place.get(word[i:j], 0 if j == i + 1 else None)) for j in range(1, len(word) + 1) for i in range(j)]
+        arcs = [(i, j, p) for i, j, p in arcs if p is not None]
+        for i, j, p in arcs:
+            ahead[j] += ahead[i] * Fraction(prior[p])
+        for i, j, p in sorted(arcs, key=lambda x: -x[0]):
+            behind[i] += Fraction(prior[p]) * behind[j]
+        out = Counter()
+        for i, j, p in arcs:
+            out[p] += ahead[i] * Fraction(prior[p]) * behind[j] / ahead[-1]
+        return out
+
+    words = ["▁the", "▁reading", "▁x", "▁übergröße", "▁" + "\U0001f600" * 20, "▁" + "\ue000" * 63, "ab\ue000" * 15, "a"]
+    weights = np.array([3.0, 1, 2, 1, 4, 1, 2, 1])
+    want = Counter()
+    for w, n in zip(words, weights, strict=True):
+        for p, c in brute(w).items():
+            want[p] += float(c) * n
+    got = langid.expected_counts(langid.Lattice(pieces), prior, words, weights)
+    assert np.isfinite(got).all() and {p: got[p] for p in np.flatnonzero(got > 1e-12).tolist()} == pytest.approx({p: c for p, c in want.items() if c > 1e-12}, abs=1e-9)
+
+
+@pytest.mark.parametrize("odd_text", ["\U0001f600" * 45, "\ue000" * 40, "x" + "\ue000" * 5000, "\U00012000" * 64, "a\x85b\u3000c"])
+def test_unknown_runs_leave_the_model_sound(spark, odd_text):
+    rows = [(i, "the cat sat on the mat and the dog ran", "en") for i in range(20)] + [(20 + i, "der Hund lief und die Katze schlief auf der Matte", "de") for i in range(20)]
+    docs = spark.createDataFrame([*rows, (101, odd_text, "de"), (105, odd_text + " " + "y" * 20_000, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs, PIECES)).collect()}
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
 
 
 def test_language_held_out_accuracy(spark):
@@ -129,6 +173,50 @@ def test_no_spaced_word_across_words_or_of_marks():
     assert toxicity.units("- - - a b. then c, d") == {"then"}
 
 
+def test_long_words_come_in_windows():
+    long = "q" * 70 + "idiot" + "z" * 300_000
+    made = toxicity.units(long)
+    assert max(map(len, made)) == toxicity.LONG and any("idiot" in w for w in made)
+    landmarks = toxicity.Landmarks(["idiot"])
+    x = toxicity.likenesses(landmarks, "test", [long, "x" * 5_000_000, "an idiot", None, ""])
+    assert x[2, 0] > 0.99 and not x[[1, 3, 4]].any() and 0 <= x[0, 0] < 0.1
+
+
+def test_cache_turnover_changes_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(list("idotsu"), rng.integers(1, 8))) for _ in range(20)) for _ in range(60)]
+    landmarks = toxicity.Landmarks(["idiot", "stout"])
+    whole = toxicity.likenesses(landmarks, "whole", texts)
+    monkeypatch.setattr(toxicity, "CACHE", 30)
+    assert np.allclose(np.concatenate([toxicity.likenesses(landmarks, "few", texts[i : i + 3]) for i in range(0, 60, 3)]), whole)
+
+
+def test_svm_against_a_plain_minimiser():
+    rng = np.random.default_rng(7)
+    y = (rng.random(300) < 0.2).astype(float)
+    x = rng.normal(0, 1, (300, 3)) + y[:, None] * [1.5, 0, -0.5]
+    w = toxicity.fit_svm(x, y)
+    sign, cost = np.where(y > 0, 1.0, -1.0), np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+
+    def loss(w):
+        return (cost * np.maximum(0, 1 - sign * (x @ w[:3] + w[3])) ** 2).sum() + 1e-3 * (w[:3] ** 2).sum()
+
+    step = [loss(w + d * e) for e in np.eye(4) for d in (-1e-3, 1e-3)]
+    assert loss(w) <= min(step) + 1e-9
+    margin = x @ w[:3] + w[3]
+    slope, shift = toxicity.calibrate(margin, y)
+    p = 1 / (1 + np.exp(-(slope * margin + shift)))
+    assert slope > 0 and abs(p.mean() - y.mean()) < 0.02
+
+
+def test_repeated_doc_ids_are_learned_from_once(spark):
+    rows = [(i % 50, f"text {i % 50} " + ("you idiot" if i % 5 == 0 else "fine words here")) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(50)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(got) == 500 and all((r.predicted == 1) == (r.doc_id % 5 == 0) for r in got)
+
+
 def test_sixty_unlike_insults_are_all_landmarks():
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9, replace=False)) for _ in range(60)]
@@ -200,4 +288,21 @@ def test_chat_round_trip(spark):
         assert (r.n_turns, r.turns_sha256) == (len(own), sha("".join(f"{a}\n{b}\n" for _, a, b in own)))
         assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
     assert all("<|" not in t.replace("<|im_start|>", "").replace("<|im_sep|>", "").replace("<|im_end|>", "") for t in [r.formatted for r in made.collect()])
-    assert chat.digests(chat.format_conversations(df.limit(0), BYTES)).count() == 0
+    assert sorted(map(str, chat.formatted_digests(df, BYTES).collect())) == sorted(map(str, chat.digests(made).collect()))
+    assert chat.digests(chat.format_conversations(df.limit(0), BYTES)).count() == chat.formatted_digests(df.limit(0), BYTES).count() == 0
+
+
+def test_ids_and_offsets_are_those_of_another_library():
+    from tokenizers import AddedToken, Tokenizer, processors
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.post_processor = processors.ByteLevel(trim_offsets=False)
+    tok.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (chat.START, chat.SEP, chat.END)])
+    rng = np.random.default_rng(3)
+    letters = ["a", "B", " ", "\n", "é", "中", "😀", "<", "\\", "|", "'s", "0", chat.START, chat.SEP, chat.END, "\u0301", "  "]
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 80, 200)] + ["x" * 3000 + " " * 5000]
+    texts += [f"a{gap}{after}" for gap in (" " * 10_000, "\n \t" * 5000, " " * 9_999 + "\n") for after in ("", "b", ".", chat.END + " ", "\x1f")]
+    for text in texts:
+        ids, offsets = chat.encode(BYTES, text)
+        e = tok.encode(text, add_special_tokens=False)
+        assert ids.tolist() == e.ids and offsets.tolist() == [list(o) for o in e.offsets]
