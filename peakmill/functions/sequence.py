@@ -52,6 +52,36 @@ def kmers(seq: Column, k: int) -> Column:
     return F.coalesce(F.flatten(F.transform(chunks(seq, k), lambda c: substrings(c["part"], k))), F.array().cast("array<string>"))
 
 
+#: Letters in a number: up to so many as decimal digits, then as two bits each.
+DECIMAL, BITS = 18, 31
+
+
+def kmer_digits(seq: Column, k: int, both_strands: bool = False) -> Column:
+    """All length-k substrings of A, C, G and T, in order, as digits 1 to 4, which sort as the letters do.
+
+    One regular expression finds them in a single pass; substrings with any
+    other letter are left out. both_strands: each as the smaller of itself and
+    its reverse complement.
+    """
+    found = F.regexp_extract_all(F.translate(seq, "ACGT", "1234"), F.lit(f"(?=([1-4]{{{k}}}))"), F.lit(1))
+    if both_strands:
+        found = F.transform(found, lambda d: F.least(d, F.reverse(F.translate(d, "1234", "4321"))))
+    return found
+
+
+def pack(digits: Column, k: int) -> Column:
+    if k <= DECIMAL:
+        return digits.cast("bigint")
+    return F.conv(F.translate(digits, "1234", "0123"), 4, 10).cast("bigint") if k <= BITS else digits
+
+
+def unpack(code: Column, k: int) -> Column:
+    """The letters of a code."""
+    if DECIMAL < k <= BITS:
+        return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    return F.translate(code.cast("string"), "1234", "ACGT")
+
+
 def window_min(values: Column, k: int) -> Column:
     """Minimum of every length-k window of an array; empty if it is shorter."""
     at = F.sequence(F.lit(1), F.size(values) - F.lit(k - 1))

@@ -1,33 +1,45 @@
 """k-mer counting, control correction and thresholds; all DataFrame operators.
 
-Counting is a partial aggregate before the shuffle; frequent k-mers are summed
-map-side. Joins share the key (replicate, kmer).
+k-mers travel as numbers (see ``pack``). Counting is a partial aggregate
+before its shuffle; treatment and control are counted in the same one, side by
+side, so that correcting one by the other needs no join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakmill.functions.sequence import canonical, chunks, clamp_difference, fraction, half_even, reverse_complement, substrings
+from peakmill.functions.sequence import clamp_difference, fraction, half_even, pack, kmer_digits, reverse_complement, unpack
+
+
+def explode_codes(reads: DataFrame, k: int, *keys: str | Column, both_strands: bool = False) -> DataFrame:
+    """(keys, code): one row for each k-mer occurrence of reads(seq)."""
+    rows = reads.select(*keys, F.explode(kmer_digits(F.col("seq"), k, both_strands)).alias("code"))
+    return rows.withColumn("code", pack(F.col("code"), k))
 
 
 def explode_kmers(reads: DataFrame, k: int, *keys: str) -> DataFrame:
-    """One row for each k-mer occurrence, with the key columns. Long reads go part by part."""
-    parts = reads.select(*keys, F.explode(chunks(F.col("seq"), k)).alias("c"))
-    return parts.select(*keys, F.explode(substrings(F.col("c.part"), k)).alias("kmer"))
+    """One row for each k-mer occurrence, with the key columns."""
+    return explode_codes(reads, k, *keys).select(*keys, unpack(F.col("code"), k).alias("kmer"))
 
 
 def count_kmers(reads: DataFrame, k: int, *keys: str, both_strands: bool = False) -> DataFrame:
     """(keys, kmer, cnt); both_strands counts a k-mer with its reverse complement, under the smaller."""
-    rows = explode_kmers(reads, k, *keys)
-    if both_strands:
-        rows = rows.withColumn("kmer", canonical(F.col("kmer")))
-    return rows.groupBy(*keys, "kmer").agg(F.count("kmer").alias("cnt"))
+    rows = explode_codes(reads, k, *keys, both_strands=both_strands).groupBy(*keys, "code").agg(F.count("code").alias("cnt"))
+    return rows.select(*keys, unpack(F.col("code"), k).alias("kmer"), "cnt")
+
+
+def count_arms(reads: DataFrame, k: int, treated: Column, *keys: str, both_strands: bool = False) -> DataFrame:
+    """(keys, kmer, treat, ctrl): counts in the reads where treated holds and in the others, in one aggregate."""
+    rows = explode_codes(reads, k, *keys, treated.cast("int").alias("treated"), both_strands=both_strands)
+    one = F.col("treated").cast("bigint")
+    both = rows.groupBy(*keys, "code").agg(F.sum(one).alias("treat"), F.sum(1 - one).alias("ctrl"))
+    return both.select(*keys, unpack(F.col("code"), k).alias("kmer"), "treat", "ctrl")
 
 
 def distinct_kmers(reads: DataFrame, k: int, *keys: str) -> DataFrame:
-    return explode_kmers(reads, k, *keys).distinct()
+    return explode_codes(reads, k, *keys).distinct().select(*keys, unpack(F.col("code"), k).alias("kmer"))
 
 
 def count_subset(keys: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
@@ -37,8 +49,10 @@ def count_subset(keys: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame
 
 def count_listed(reads: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     """count_subset without counting anything else: the semi-join comes before the aggregate."""
-    rows = explode_kmers(reads, k).join(keys.select("kmer").distinct(), "kmer", "left_semi")
-    return count_subset(keys.select("kmer").distinct(), rows.groupBy("kmer").agg(F.count("kmer").alias("cnt")), ["kmer"])
+    listed = keys.select("kmer").distinct()
+    codes = listed.select(pack(F.translate("kmer", "ACGT", "1234"), k).alias("code"))
+    found = explode_codes(reads, k).join(codes, "code", "left_semi").groupBy("code").agg(F.count("code").alias("cnt"))
+    return count_subset(listed, found.select(unpack(F.col("code"), k).alias("kmer"), "cnt"), ["kmer"])
 
 
 def control_scale(treat: DataFrame, ctrl: DataFrame, *keys: str, factor: float = 0.99) -> DataFrame:
@@ -64,6 +78,16 @@ def subtract_control(treat: DataFrame, ctrl: DataFrame, *keys: str, factor: floa
     return out if keep_zero else out.where("cnt > 0")
 
 
+def corrected_arms(both: DataFrame, *keys: str, factor: float = 0.99, keep_zero: bool = False) -> DataFrame:
+    """subtract_control of count_arms' (keys, kmer, treat, ctrl), without a join of k-mers."""
+    treat = both.where("treat > 0")
+    scale = treat.groupBy(*keys).agg(F.try_divide(F.lit(factor) * F.sum("treat"), F.sum("ctrl")).alias("scale"))
+    rows = treat.join(F.broadcast(scale), list(keys)) if keys else treat.crossJoin(F.broadcast(scale))  # a row a replicate
+    scaled = F.coalesce(half_even(F.col("ctrl") * F.col("scale")), F.lit(0.0))
+    out = rows.select(*keys, "kmer", clamp_difference(F.col("treat").cast("double"), scaled).cast("bigint").alias("cnt"))
+    return out if keep_zero else out.where("cnt > 0")
+
+
 def low_abundance(counts: DataFrame, least: int) -> DataFrame:
     return counts.where((F.col("cnt") > 0) & (F.col("cnt") < least))
 

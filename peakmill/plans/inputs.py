@@ -22,15 +22,13 @@ READS_SQL = f"""reads AS (
   FROM documents)"""
 KMERS_SQL = f"""{READS_SQL},
 kmers AS (SELECT read_id, arm, replicate, substr(seq, i, {K}) AS kmer FROM reads, unnest(range(1, CAST(length(seq) AS BIGINT) - {K} + 2)) u(i)),
-counts AS (SELECT arm, replicate, kmer, count(*) AS cnt FROM kmers GROUP BY ALL),
-t AS (SELECT replicate, kmer, cnt FROM counts WHERE arm = 'treatment'),
-c AS (SELECT replicate, kmer, cnt FROM counts WHERE arm = 'control')"""
+arms AS MATERIALIZED (SELECT replicate, kmer, count(*) FILTER (arm = 'treatment') AS treat, count(*) FILTER (arm = 'control') AS ctrl FROM kmers GROUP BY ALL),
+t AS (SELECT replicate, kmer, treat AS cnt FROM arms WHERE treat > 0)"""
 CORRECTED_SQL = f"""{KMERS_SQL},
-known AS (SELECT c.* FROM c SEMI JOIN t USING (replicate, kmer)),
-scale AS (SELECT replicate, 0.99 * sum(t.cnt) / (SELECT sum(k.cnt) FROM known k WHERE k.replicate = t.replicate) AS scale FROM t GROUP BY replicate),
+scale AS (SELECT replicate, 0.99 * sum(treat) / sum(ctrl) AS scale FROM arms WHERE treat > 0 GROUP BY replicate),
 corrected AS (
-  SELECT t.replicate, t.kmer, CAST(greatest(t.cnt - round_even(coalesce(k.cnt, 0) * coalesce(s.scale, 0), 0), 0) AS BIGINT) AS cnt
-  FROM t LEFT JOIN known k USING (replicate, kmer) LEFT JOIN scale s USING (replicate))"""
+  SELECT replicate, kmer, CAST(greatest(treat - round_even(ctrl * coalesce(scale, 0), 0), 0) AS BIGINT) AS cnt
+  FROM arms JOIN scale USING (replicate) WHERE treat > 0)"""
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,13 +32,17 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_kmers(reads(spark, sf_dir), K, "arm", "replicate")
 
 
+def both_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(replicate, kmer, treat, ctrl)."""
+    return counts.count_arms(reads(spark, sf_dir), K, F.col("arm") == "treatment", "replicate")
+
+
 def corrected(spark: SparkSession, sf_dir: str, keep_zero: bool = False) -> DataFrame:
-    every = counted(spark, sf_dir)
-    return counts.subtract_control(arm(every, "treatment"), arm(every, "control"), "replicate", keep_zero=keep_zero)
+    return counts.corrected_arms(both_arms(spark, sf_dir), "replicate", keep_zero=keep_zero)
 
 
 # -- counting --
-@query("kmer_count", f"WITH {KMERS_SQL} SELECT arm, replicate, kmer, cnt FROM counts")
+@query("kmer_count", f"WITH {KMERS_SQL} SELECT arm, replicate, kmer, count(*) AS cnt FROM kmers GROUP BY ALL")
 def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(spark, sf_dir)
 
@@ -58,10 +62,9 @@ def kmer_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("control_scale", f"WITH {CORRECTED_SQL} SELECT replicate, round(scale, 6) AS scale FROM scale")
 def control_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = counted(spark, sf_dir)
-    t, c = arm(every, "treatment"), arm(every, "control")
-    known = c.join(t.select("replicate", "kmer"), ["replicate", "kmer"], "left_semi")
-    return counts.control_scale(t, known, "replicate").select("replicate", F.round("scale", 6).alias("scale"))
+    known = both_arms(spark, sf_dir).where("treat > 0")
+    side = lambda c: known.select("replicate", "kmer", F.col(c).alias("cnt"))
+    return counts.control_scale(side("treat"), side("ctrl"), "replicate").select("replicate", F.round("scale", 6).alias("scale"))
 
 
 @query("control_subtract", f"WITH {CORRECTED_SQL} SELECT replicate, kmer, cnt FROM corrected WHERE cnt > 0")
@@ -118,15 +121,13 @@ def min_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OUTER = f"""{KMERS_SQL},
-o AS (SELECT replicate, kmer, coalesce(t.cnt, 0) AS treat, coalesce(c.cnt, 0) AS ctrl FROM t FULL JOIN c USING (replicate, kmer)),
-s AS (SELECT replicate, 0.99 * sum(treat) / sum(ctrl) AS scale FROM o GROUP BY replicate),
-r AS (SELECT replicate, kmer, treat, ctrl * scale AS ctrl, greatest(treat - ctrl * scale, 0) AS recon FROM o JOIN s USING (replicate))"""
+s AS (SELECT replicate, 0.99 * sum(treat) / sum(ctrl) AS scale FROM arms GROUP BY replicate),
+r AS (SELECT replicate, kmer, treat, ctrl * scale AS ctrl, greatest(treat - ctrl * scale, 0) AS recon FROM arms JOIN s USING (replicate))"""
 
 
-@query("counts_outer", f"WITH {_OUTER} SELECT replicate, kmer, treat, ctrl FROM o")
+@query("counts_outer", f"WITH {KMERS_SQL} SELECT replicate, kmer, treat, ctrl FROM arms")
 def counts_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = counted(spark, sf_dir)
-    return counts.outer_counts(arm(every, "treatment"), arm(every, "control"), ["replicate", "kmer"])
+    return both_arms(spark, sf_dir)
 
 
 @query("kmer_reconstruction", f"WITH {_OUTER} SELECT replicate, kmer, treat, round(ctrl, 4) AS ctrl, round(recon, 4) AS reconstruction FROM r")
@@ -137,26 +138,27 @@ def kmer_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "kmer_fraction",
-    f"""WITH {_OUTER}, u AS (SELECT replicate, kmer, cnt AS used FROM t),
-    f AS (SELECT replicate, kmer, CASE WHEN recon = 0 AND used = 0 THEN 0 WHEN recon = 0 THEN 'Infinity'::DOUBLE ELSE used / recon + 0.01 END AS frac, treat FROM u JOIN r USING (replicate, kmer))
+    f"""WITH {_OUTER},
+    f AS (SELECT replicate, kmer, CASE WHEN recon = 0 THEN 'Infinity'::DOUBLE ELSE treat / recon + 0.01 END AS frac, treat FROM r WHERE treat > 0)
     SELECT replicate, kmer, round(frac, 4) AS frac, round(treat * frac, 4) AS treat_frac FROM f""",
 )
 def kmer_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = counts.reconstruction(counts_outer(spark, sf_dir), "replicate")
-    used = arm(counted(spark, sf_dir), "treatment").withColumnRenamed("cnt", "used")
+    every = materialize(both_arms(spark, sf_dir), "arms")
+    both = counts.reconstruction(every, "replicate")
+    used = every.where("treat > 0").select("replicate", "kmer", F.col("treat").alias("used"))
     parts = counts.kmer_fractions(used, both, ["replicate", "kmer"])
     return parts.select("replicate", "kmer", F.round("frac", 4).alias("frac"), F.round("treat_frac", 4).alias("treat_frac"))
 
 
 @query(
     "missing_neighbours",
-    f"""WITH {KMERS_SQL}, p AS (SELECT DISTINCT kmer FROM kmers WHERE arm = 'treatment'), b(b) AS (VALUES ('A'), ('C'), ('G'), ('T')),
+    f"""WITH {KMERS_SQL}, p AS MATERIALIZED (SELECT DISTINCT kmer FROM t), b(b) AS (VALUES ('A'), ('C'), ('G'), ('T')),
     n AS (SELECT substr(kmer, 2) || b AS kmer FROM p, b UNION SELECT b || substr(kmer, 1, {K} - 1) FROM p, b)
     SELECT kmer FROM n ANTI JOIN p USING (kmer)""",
 )
 def missing_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = reads(spark, sf_dir).where("arm = 'treatment'")
-    return counts.missing_neighbours(counts.distinct_kmers(t, K))
+    return counts.missing_neighbours(materialize(counts.distinct_kmers(t, K), "present"))
 
 
 # -- sequences --
@@ -434,11 +436,11 @@ def longest_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- graphs --
-_GRAPH = f"{CORRECTED_SQL}, p AS (SELECT DISTINCT kmer FROM corrected WHERE cnt >= 3)"
+_GRAPH = f"{CORRECTED_SQL}, p AS MATERIALIZED (SELECT DISTINCT kmer FROM corrected WHERE cnt >= 3)"
 
 
 def graph_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corrected(spark, sf_dir).where("cnt >= 3").select("kmer").distinct()
+    return materialize(corrected(spark, sf_dir).where("cnt >= 3").select("kmer").distinct(), "kmers")
 
 
 @query("debruijn_edges", f"WITH {_GRAPH} SELECT a.kmer AS src, b.kmer AS dst FROM p a JOIN p b ON substr(a.kmer, 2) = substr(b.kmer, 1, {K} - 1)")
