@@ -126,8 +126,13 @@ def decode_id(text: Column) -> Column:
 
 
 def pvalue_label(p: Column) -> Column:
-    """Seven decimals, or ``<1e-07`` below that."""
-    return F.when(p < 1e-7, "<1e-07").otherwise(F.round(p, 7).cast("string"))
+    """Seven decimals without trailing zeros (``1.23e-05`` below a ten-thousandth), or ``<1e-07`` below that."""
+    parts = F.round(p * 1e7).cast("bigint")
+    digits = parts.cast("string")
+    plain = F.regexp_replace(F.format_string("%.7f", F.round(p, 7)), "(\\.[0-9]+?)0+$", "$1")
+    tail = F.regexp_replace(F.substring(digits, 2, 10), "0+$", "")
+    short = F.concat(F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("e-0"), (8 - F.length(digits)).cast("string"))
+    return F.when(p < 1e-7, "<1e-07").when(parts < 1000, short).otherwise(plain)
 
 
 def pvalue_from_label(text: Column) -> Column:
@@ -198,7 +203,7 @@ def name_of(*parts: Column) -> Column:
 
 
 def merge_match(a: Column, b: Column, marks: Column) -> Column:
-    """Consensus of two gapped strings: matching places keep a, a gap takes the other's letter, a mismatch becomes X."""
+    """Consensus of two gapped strings: matching places keep a, a gap takes the other's letter, a mismatch becomes a full stop."""
     at = F.sequence(F.lit(1), F.length(marks))
     pick = lambda i: reduce(
         lambda rest, case: F.when(case[0], case[1]).otherwise(rest),
@@ -207,6 +212,6 @@ def merge_match(a: Column, b: Column, marks: Column) -> Column:
             (F.substring(a, i, F.lit(1)) == "-", F.substring(b, i, F.lit(1))),
             (F.substring(marks, i, F.lit(1)) == "|", F.substring(a, i, F.lit(1))),
         ],
-        F.lit("X"),
+        F.lit("."),
     )
     return F.array_join(F.transform(at, pick), "")

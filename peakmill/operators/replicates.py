@@ -84,6 +84,11 @@ def merge_replicate(visible: DataFrame, new: DataFrame, threshold: float = 0.1,
     return rows.select("seq", F.greatest("pvalue", "p_new").alias("pvalue"), F.array_sort(others).alias("variants"))
 
 
+def overview_rows(overview: DataFrame, alignments: DataFrame, row: str) -> DataFrame:
+    """overview with the alignments of its rows, by their number."""
+    return overview.join(alignments, row)
+
+
 def numbered(rows: DataFrame, name: str) -> DataFrame:
     """rows with a number by sequence; peaks are few, a replicate's fit one window."""
     lot = F.pmod(F.xxhash64("seq"), F.lit(64))
@@ -108,15 +113,20 @@ def reconcile(replicates: list[DataFrame], threshold: float = 0.1, widen: int =
 
 
 def tournament(replicates: list[DataFrame], threshold: float = 0.1, widen: int = 5) -> DataFrame:
-    """Like reconcile, but in pairs, level by level; an odd one out waits for the next level."""
+    """Like reconcile, but in pairs, level by level, longest peaks first; an odd one out waits for the next level.
+
+    (peak_i, pvalue, seq, variants, replicates): the last are the numbers, from
+    0, of the replicates that a peak was merged from.
+    """
     none = F.array().cast("array<string>")
-    level = [r.select("seq", "pvalue", none.alias("variants")) for r in replicates]
+    level = [(r.select("seq", "pvalue", none.alias("variants")), [i]) for i, r in enumerate(replicates)]
     while len(level) > 1:
-        pairs = [(level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
         merged = []
-        for a, b in pairs:
-            vis = materialize(numbered(a, "vis_i"), "visible")
+        for (a, of_a), (b, of_b) in zip(level[::2], level[1::2], strict=False):
+            vis = materialize(numbered(a, "vis_i").orderBy(F.length("seq").desc(), "seq"), "visible")
             fresh = materialize(numbered(b.select("seq", "pvalue"), "new_i"), "fresh")
-            merged.append(materialize(merge_replicate(vis, fresh, threshold, widen), "replicated"))
+            merged.append((materialize(merge_replicate(vis, fresh, threshold, widen), "replicated"), of_a + of_b))
         level = merged + ([level[-1]] if len(level) % 2 else [])
-    return numbered(level[0], "peak_i").select("peak_i", "pvalue", "seq", "variants")
+    made, of = level[0]
+    rows = numbered(made, "peak_i").select("peak_i", "pvalue", "seq", "variants")
+    return rows.withColumn("replicates", F.array(*map(F.lit, of)))

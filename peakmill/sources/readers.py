@@ -20,9 +20,11 @@ def experiment(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(read_id, header, seq, file): records may span lines. Records are cut by the reader, not collected."""
-    rows = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
-    header = F.trim(F.substring_index(F.regexp_replace("value", "\r", ""), "\n", 1))
+    """(read_id, header, seq, file): records may span lines. Files are cut by the reader at the lines that start with ``>``."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "\r", "").alias("value"), F.col("_metadata.file_path").alias("file"))
+    # the first piece of a file keeps its mark
+    rows = rows.where(F.trim("value") != "").withColumn("value", F.regexp_replace("value", "^\\s*>", ""))
+    header = F.trim(F.substring_index("value", "\n", 1))
     body = F.regexp_replace(F.expr("substr(value, length(substring_index(value, '\n', 1)) + 1)"), "\\s", "")
     return rows.select(F.substring_index(header, " ", 1).alias("read_id"), header.alias("header"), body.alias("seq"), "file")
 

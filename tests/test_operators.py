@@ -47,7 +47,8 @@ def test_scalars(spark):
     assert v(S.kmers(F.lit("AC"), 3)) == []
     assert v(S.overlap_join(F.array(F.lit("ACGT"), F.lit("GTA")), 3)) == "ACGTA"
     assert v(S.pvalue_label(F.lit(3e-8))) == "<1e-07"
-    assert v(S.pvalue_label(F.lit(0.0123456789))) == "0.0123457"
+    for x in (0.0123456789, 1.0, 0.5, 0.05, 0.0001, 0.00012, 0.00009999, 0.0000123, 0.00001, 0.0000102, 0.000002, 1e-7, 4.6e-7, 0.99999999):
+        assert v(S.pvalue_label(F.lit(x))) == str(round(x, 7))
     assert v(S.pvalue_from_label(F.lit("a__pvalues_<1e-07"))) == 1e-7
     assert v(S.decode_id(S.encode_id(F.lit(-7)))) == -7
     assert v(S.iupac(F.array(F.lit("G"), F.lit("A"), F.lit("-")))) == "R"
@@ -56,7 +57,7 @@ def test_scalars(spark):
     assert [tuple(x) for x in v(S.nonzero_fragments(F.array(*map(F.lit, [5, 0, 6, 7, 0])), F.lit("ACGTACC"), 3))] == [(0, "ACG", [5]), (2, "GTAC", [6, 7])]
     assert v(S.fraction(F.lit(0.0), F.lit(0.0))) == 0 and v(S.fraction(F.lit(1.0), F.lit(0.0))) == float("inf")
     assert v(S.half_even(F.lit(2.5))) == 2
-    assert v(S.merge_match(F.lit("AC-T"), F.lit("AGGT"), F.lit("|. |"))) == "AXGT"
+    assert v(S.merge_match(F.lit("AC-T"), F.lit("AGGT"), F.lit("|. |"))) == "A.GT"
     assert v(S.counts_from_text(S.counts_to_text(F.array(F.lit(3), F.lit(4))))) == [3, 4]
     assert len(v(S.name_of(F.lit("x")))) == 8
 
@@ -184,6 +185,9 @@ def test_peaks_and_replicates(spark):
 
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">r1 x\nACG\nTT\n>r2\nGG\n")
+    (tmp_path / "odd.fa").write_text(">r1 a>b > c\r\nAC\r\n\r\nGT\r\n>r2\n>r3>\nTT")
+    got = readers.reads(spark, str(tmp_path / "odd.fa")).collect()
+    assert sorted((r.read_id, r.header, r.seq) for r in got) == [("r1", "r1 a>b > c", "ACGT"), ("r2", "r2", ""), ("r3>", "r3>", "TT")]
     (tmp_path / "b.fastq").write_text("@q1\nACGT\n+\n@III\n@q2\nTT\n+\nII\n")
     assert sorted((r.read_id, r.seq) for r in readers.reads(spark, str(tmp_path / "a.fasta")).collect()) == [("r1", "ACGTT"), ("r2", "GG")]
     assert sorted((r.read_id, r.seq) for r in readers.reads(spark, str(tmp_path / "b.fastq")).collect()) == [("q1", "ACGT"), ("q2", "TT")]
