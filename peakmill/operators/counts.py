@@ -78,10 +78,14 @@ def subtract_control(treat: DataFrame, ctrl: DataFrame, *keys: str, factor: floa
     return out if keep_zero else out.where("cnt > 0")
 
 
-def corrected_arms(both: DataFrame, *keys: str, factor: float = 0.99, keep_zero: bool = False) -> DataFrame:
-    """subtract_control of count_arms' (keys, kmer, treat, ctrl), without a join of k-mers."""
+def corrected_arms(both: DataFrame, *keys: str, factor: float = 0.99, keep_zero: bool = False, listed: bool = False) -> DataFrame:
+    """subtract_control of count_arms' (keys, kmer, treat, ctrl), without a join of k-mers.
+
+    listed: the rows are a given list of k-mers, and control counts of all of
+    them enter the scale, not only of those that treatment has.
+    """
     treat = both.where("treat > 0")
-    scale = treat.groupBy(*keys).agg(F.try_divide(F.lit(factor) * F.sum("treat"), F.sum("ctrl")).alias("scale"))
+    scale = (both if listed else treat).groupBy(*keys).agg(F.try_divide(F.lit(factor) * F.sum("treat"), F.sum("ctrl")).alias("scale"))
     rows = treat.join(F.broadcast(scale), list(keys)) if keys else treat.crossJoin(F.broadcast(scale))  # a row a replicate
     scaled = F.coalesce(half_even(F.col("ctrl") * F.col("scale")), F.lit(0.0))
     out = rows.select(*keys, "kmer", clamp_difference(F.col("treat").cast("double"), scaled).cast("bigint").alias("cnt"))

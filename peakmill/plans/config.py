@@ -24,6 +24,7 @@ class Config:
     widen: int = 5
     store_low: bool = True
     compat: bool = False
+    unwrap: bool = False
 
     def __post_init__(self) -> None:
         if not 2 <= self.states <= 7:

@@ -10,7 +10,7 @@ from peakmill.functions import sequence as S
 from peakmill.operators import assembly, bubbles, counts, graph, mapping, peaks, replicates, windows
 from peakmill.operators.components import components
 from peakmill.plans.config import Config
-from peakmill.plans.pipeline import call_peaks
+from peakmill.plans.pipeline import call_peaks, draw, graph_and_counts
 from peakmill.sources import readers, writers
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -37,6 +37,49 @@ def test_count_and_control(spark):
     assert rows(counts.subtract_control(got, empty)) == rows(got)
 
 
+@pytest.mark.parametrize("k", [3, 11, 18, 19, 25, 31, 32, 40])
+def test_counts_in_any_length(spark, k):
+    rng = random.Random(k)
+    seqs = ["".join(rng.choice("ACGT" * 20 + "N") for _ in range(rng.randint(0, 300))) for _ in range(30)] + ["A" * 60, "", None]
+    arms = [i % 2 for i in range(len(seqs))]
+    df = spark.createDataFrame(list(zip(arms, seqs, strict=True)), "arm int, seq string")
+    pure = lambda s: [x for x in kmers(s or "", k) if "N" not in x]
+    assert dict(rows(counts.count_kmers(df, k))) == Counter(x for s in seqs for x in pure(s))
+    assert dict(rows(counts.count_kmers(df, k, both_strands=True))) == Counter(min(x, x.translate(TURN)[::-1]) for s in seqs for x in pure(s))
+    t, c = (Counter(x for a, s in zip(arms, seqs, strict=True) if a == n for x in pure(s)) for n in (1, 0))
+    both = counts.count_arms(df, k, F.col("arm") == 1)
+    assert rows(both) == sorted((x, t[x], c[x]) for x in {*t, *c})
+    joined = counts.outer_counts(*(counts.count_kmers(df.where(F.col("arm") == n), k) for n in (1, 0)), ["kmer"])
+    assert rows(joined) == rows(both)
+    split = [counts.count_kmers(df.where(F.col("arm") == n), k) for n in (1, 0)]
+    assert rows(counts.corrected_arms(both)) == rows(counts.subtract_control(*split))
+    listed = counts.distinct_kmers(df.limit(3), k)
+    assert dict(rows(counts.count_listed(df, listed, k))) == {x: t[x] + c[x] for (x,) in rows(listed)}
+
+
+def test_replicate_counts_by_strand(spark):
+    """FX3 and FX6 on hand: the graph's threshold, its k-mers' counts by strand, their correction by the control."""
+    treat = spark.createDataFrame([("ACGTT",)] * 6 + [("AACGT",)] * 2 + [("GGGGA",)] * 3, "seq string")
+    ctrl = spark.createDataFrame([("ACGTT",)] * 2 + [("TCCCC",)] * 50, "seq string")
+    least, vertices, _, arms, fixed = graph_and_counts(treat, ctrl, Config(k=5, min_abundance=2))
+    # canonical counts: AACGT 8 (2 and 6 turned), GGGGA 3 under TCCCC; 2 * 2 keeps the first, both ways
+    assert least == 2 and sorted(r.seq for r in vertices.collect()) == ["AACGT", "ACGTT"]
+    assert rows(arms) == [("AACGT", 2, 0), ("ACGTT", 6, 2)]
+    # scale 0.99 * 8 / 2 = 3.96; 6 - round(7.92) is below zero and goes
+    assert rows(fixed) == [("AACGT", 2)]
+    # unitigs of k-mers seen twice: means 8 and 3; the 50th percentile is 5.5
+    assert graph_and_counts(treat, ctrl, Config(k=5, percentile=50.0))[0] == 6
+
+
+def test_drawing(spark, tmp_path):
+    v = spark.createDataFrame([(1, "ACGT", [2, 4], 1), (2, "GTA", [9], 1)], "vid long, seq string, counts array<int>, comp_id long")
+    e = spark.createDataFrame([(1, 2)], "src long, dst long")
+    for unwrap, nodes, arcs in ((False, 2, 1), (True, 3, 2)):
+        draw(v, e, str(tmp_path / f"d{unwrap}"), 3, 2, unwrap)
+        lines = [r.value for r in spark.read.text(str(tmp_path / f"d{unwrap}")).collect()]
+        assert (sum("label" in x for x in lines), sum("->" in x for x in lines)) == (nodes, arcs)
+
+
 def test_scalars(spark):
     one = spark.range(1)
     v = lambda c: one.select(c.alias("x")).collect()[0][0]
