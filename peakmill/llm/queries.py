@@ -21,12 +21,14 @@ URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "b
 
 
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels come by the number in a page's path, the doc_id of the document that the page shows."""
+    """Labels come by the number in a page's path, the doc_id of the document that the page shows; a label of nulls only is none."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels")
-    bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
+    flag = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    bad = F.when(F.coalesce("quality", "toxic").isNotNull(), flag)
     shown = pages.withColumn("doc_id", F.expr(r"try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint)")).where("doc_id is not null")
-    labelled = shown.join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("url", "bad")
+    # both grow with the input: never broadcast
+    labelled = shown.join(labels.select("doc_id", bad.alias("bad")).hint("merge"), "doc_id").select("url", "bad")
     return url_rules.judge(pages, URL_RULES, url_rules.mine(labelled))
 
 

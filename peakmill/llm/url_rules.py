@@ -1,7 +1,8 @@
 """URL filtering by given host rules, then by mined association rules.
 
-Spark's FP-growth mines combinations of URL tokens (host, domain, subdomain,
-path segments, query keys, ...) that occur with the label "bad". A combination
+Spark's FP-growth mines combinations of URL tokens (host, domain, the labels
+before it, words of hyphenated labels, path segments, query keys, ...) that
+occur with the label "bad". A combination
 becomes a rule if its support and confidence suffice and no part of it is as
 confident. Rules match by an inverted index: each stands under its rarest
 token, URLs look their tokens up, and the rule's other tokens are checked.
@@ -12,7 +13,9 @@ Defined results: a null url, or one without ``://``, has an empty host and path
 and only the token ``none``; it is allowed unless a rule says otherwise. Labels
 with a null url or null flag are ignored; a URL with several labels is bad if
 one is. Without labels nothing is mined and all that no given rule blocks is
-allowed. Extra columns are ignored.
+allowed. Equal pages are judged each alike, urls of any length whole, and of
+equally confident mined rules the one with more support, then the last by text,
+is named. Empty tables give empty ones. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ def given_rule(host_: Column, path_: Column, rules: dict[str, str]) -> Column:
     rules: ``host/path`` to verdict. A rule fits its host and all subdomains if
     the path starts with the rule's. Of equally long ones, the last by text.
     """
+    if not rules:
+        return F.lit(None).cast("struct<size:int,text:string,host:string,path:string,verdict:string>")
     table = F.array(
         *[
             F.struct(F.lit(len(r)).alias("size"), F.lit(r).alias("text"), F.lit(r.partition("/")[0]).alias("host"), F.lit("/" + r.partition("/")[2]).alias("path"), F.lit(v).alias("verdict"))
@@ -58,12 +63,19 @@ def tokens(url: Column) -> Column:
     n = F.size(labels)
     query = F.regexp_extract(url, "(?s)^.*?://[^?#]*\\?([^#]*)", 1)
     number = lambda s: F.regexp_replace(s, "[0-9]+", "0")
+    none = F.array().cast("array<string>")
+    before = F.when(n > 2, F.slice(labels, 1, F.greatest(n - 2, F.lit(1)))).otherwise(none)
+    # all labels but the last can be made of words
+    hyphened = F.filter(F.slice(labels, 1, F.greatest(n - 1, F.lit(1))), lambda x: F.contains(x, F.lit("-")))
+    words = F.filter(F.flatten(F.transform(hyphened, lambda x: F.split(x, "-"))), lambda w: w != "")
     parts = F.concat(
         F.array(F.concat(F.lit("scheme="), F.lower(F.regexp_extract(url, "(?s)^(.*?)://", 1))), F.concat(F.lit("host="), h)),
-        F.when(n > 2, F.array(F.concat(F.lit("domain="), F.array_join(F.slice(labels, -2, 2), ".")), F.concat(F.lit("sub="), labels[0]))).otherwise(F.array().cast("array<string>")),
+        F.when(n > 2, F.array(F.concat(F.lit("domain="), F.array_join(F.slice(labels, -2, 2), ".")))).otherwise(none),
+        F.transform(before, lambda x: F.concat(F.lit("label="), number(x))),
+        F.transform(words, lambda w: F.concat(F.lit("word="), number(w))),
         F.transform(F.filter(F.split(p, "/"), lambda s: s != ""), lambda s: F.concat(F.lit("segment="), number(s))),
         F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("query="), F.split(s, "=")[0])),
-        F.when(F.contains(url, F.lit("#")), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.contains(url, F.lit("#")), F.array(F.lit("fragment"))).otherwise(none),
     )
     return F.when(F.contains(url, F.lit("://")), F.array_distinct(parts)).otherwise(F.array(F.lit("none")))
 
@@ -127,7 +139,8 @@ def judge(pages: DataFrame, given: dict[str, str], rules: DataFrame) -> DataFram
     fit = pages.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumn(
         "fit", given_rule(F.col("host"), F.col("path"), given)
     )
-    return fit.join(mined, "url", "left").select(
+    # grows with the input: never broadcast
+    return fit.join(mined.hint("merge"), "url", "left").select(
         "page_id",
         "host",
         "path",

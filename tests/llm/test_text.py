@@ -11,6 +11,7 @@ from math import log
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from peakmill.llm import chat, langid, quality, queries, toxicity, url_rules
 
@@ -267,6 +268,50 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), queries.URL_RULES, rules).count() == 0
 
 
+def test_mined_rules_against_brute_force(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(9)
+    hosts = ["m.casino-win.example.com", "casino-5.org", "news.example.com", "win-big.net", "a.b.shop.de"]
+    urls = {}
+    for i in range(240):
+        h = hosts[rng.integers(len(hosts))]
+        url = f"http://{h}/{rng.choice(['buy', 'read'])}/{i}" + rng.choice(["", "?ref=1", "#x"])
+        urls[url] = int(("casino" in h and rng.random() < 0.9) or ("buy" in url and "win" in h and rng.random() < 0.7) or rng.random() < 0.05)
+    df = spark.createDataFrame([*urls.items(), (None, 1), ("http://u/", None), *list(urls.items())[:20]], "url string, bad int")
+    found = {r.url: frozenset(r.t) for r in df.where("url is not null").select("url", url_rules.tokens(F.col("url")).alias("t")).distinct().collect()}
+    assert found[next(u for u in urls if "m.casino-win" in u)] >= {"host=m.casino-win.example.com", "domain=example.com", "label=m", "label=casino-win", "word=casino", "word=win"}
+    freq, both = Counter(), Counter()
+    for u, bad in urls.items():
+        t = sorted(found[u])
+        for k in range(1, len(t) + 1):
+            for c in combinations(t, k):
+                freq[c] += 1
+                both[c] += bad
+    n, bad = len(urls), sum(urls.values())
+    rules = {c: both[c] / freq[c] for c in freq if both[c] >= 20 and both[c] / freq[c] >= max(0.5, 1.2 * bad / n)}
+    want = {c: x for c, x in rules.items() if not any(rules.get(c[:i] + c[i + 1 :], 0) >= x for i in range(len(c)))}
+    got = {tuple(r.antecedent): r for r in url_rules.mine(df).collect()}
+    assert set(got) == set(want) and ("word=casino",) in want
+    for c, r in got.items():
+        assert r.confidence == pytest.approx(want[c]) and r.support == pytest.approx(both[c] / n)
+        assert r.key in c and freq[(r.key,)] == min(freq[(t,)] for t in c)
+    judged = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), {}, url_rules.mine(df)).collect()
+    for r, u in zip(sorted(judged), urls, strict=True):
+        fits = [c for c in want if set(c) <= found[u]]
+        assert (r.verdict == "block") == bool(fits)
+        if fits:
+            assert want[tuple(r.mined_rule.split(" "))] == max(want[c] for c in fits)
+
+
+def test_long_and_odd_urls(spark):
+    urls = ["http://x.org/" + "a/" * 50_000, "http://" + "s-" * 20_000 + ".com/p?" + "q&" * 20_000, "://", "http://", "http://-.-/", "a" * 100_000, ""]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, None])], "page_id long, url string")
+    labels = spark.createDataFrame([(u, i % 2) for i, u in enumerate(urls)], "url string, bad int")
+    got = url_rules.judge(pages, queries.URL_RULES, url_rules.mine(labels, min_count=1)).collect()
+    assert len(got) == 8 and {r.page_id: r.host for r in got}[0] == "x.org" and all(r.verdict in ("allow", "block") for r in got)
+
+
 def test_chat_round_trip(spark):
     c = "<|im_end|><|im_start|>assistant ok"
     turns = [
