@@ -15,10 +15,6 @@ IUPAC = {
 }
 
 
-#: Substrings that are taken from one part of a long sequence.
-CHUNK = 256
-
-
 def reverse_complement(seq: Column, compat: bool = False) -> Column:
     """Reversed complement. compat: the variant under which G and C both become C."""
     return F.reverse(F.translate(seq, "ACGT", "TCCA" if compat else "TGCA"))
@@ -28,28 +24,15 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 
 
-def chunks(seq: Column, k: int | Column, size: int = CHUNK) -> Column:
-    """(at, part): a sequence in parts of ``size`` substring starts, each overlapping the next by k-1 letters; null below k letters.
+def kmers(seq: Column, k: int | Column) -> Column:
+    """All length-k substrings in order; empty for shorter sequences and null.
 
-    Finding a place in a string costs as much as the place is far in, so long
-    sequences are cut into parts before their substrings are taken.
+    One regular expression finds them in a single pass; a place in a string
+    costs as much as it is far in, so taking them one by one would not.
     """
-    k = F.lit(k) if isinstance(k, int) else k
-    at = F.sequence(F.lit(0), F.floor((F.length(seq) - k) / size).cast("int"))
-    made = F.transform(at, lambda c: F.struct((c * size).alias("at"), F.substring(seq, c * size + 1, k + (size - 1)).alias("part")))
-    return F.when(F.length(seq) >= k, made)
-
-
-def substrings(part: Column, k: int | Column) -> Column:
-    """All length-k substrings of a short string, in order; empty if it is shorter or null."""
-    k = F.lit(k) if isinstance(k, int) else k
-    at = F.sequence(F.lit(1), F.greatest(F.length(part) - k + 1, F.lit(1)))
-    return F.when(F.length(part) >= k, F.transform(at, lambda i: F.substring(part, i, k))).otherwise(F.array().cast("array<string>"))
-
-
-def kmers(seq: Column, k: int) -> Column:
-    """All length-k substrings in order; empty for shorter sequences and null."""
-    return F.coalesce(F.flatten(F.transform(chunks(seq, k), lambda c: substrings(c["part"], k))), F.array().cast("array<string>"))
+    k = F.lit(str(k)) if isinstance(k, int) else k.cast("string")
+    pattern = F.concat(F.lit("(?s)(?=(.{"), k, F.lit("}))."))
+    return F.coalesce(F.regexp_extract_all(seq, pattern, F.lit(1)), F.array().cast("array<string>"))
 
 
 #: Letters in a number: up to so many as decimal digits, then as two bits each.

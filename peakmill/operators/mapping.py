@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from peakmill.functions.frames import frame
 from peakmill.functions.kernels import complete_linkage, global_alignment, infix_distance
-from peakmill.functions.sequence import chunks, hit_offsets, kmers, substrings
+from peakmill.functions.sequence import hit_offsets, kmers
 from peakmill.operators.windows import best_per_key
 
 
@@ -41,9 +41,7 @@ def first_containment(patterns: DataFrame, targets: DataFrame) -> DataFrame:
 def grams(targets: DataFrame, sizes: DataFrame, ident: str, seq: str) -> DataFrame:
     """(ident, size, start, gram): all substrings of the sizes, of which there are SEED at most."""
     sized = targets.join(F.broadcast(sizes), F.length(seq) >= F.col("size"))
-    parts = sized.select(ident, "size", F.explode(chunks(F.col(seq), F.col("size"))).alias("c"))
-    each = parts.select(ident, "size", "c.at", F.posexplode(substrings(F.col("c.part"), F.col("size"))).alias("i", "gram"))
-    return each.select(ident, "size", (F.col("at") + F.col("i")).alias("start"), "gram")
+    return sized.select(ident, "size", F.posexplode(kmers(F.col(seq), F.col("size"))).alias("start", "gram"))
 
 
 def map_longest_first(sequences: list[tuple[str, int]], compat: bool = False) -> list[tuple[str, list[int]]]:
@@ -123,21 +121,34 @@ def _extend(query: str, target: str, q: int, t: int, word: int) -> tuple[int, in
 
 
 def approximate_hits(queries: DataFrame, profiles: DataFrame, k: int, identity: float = 90.0) -> DataFrame:
-    """Hits of queries(query) on profiles(profile_id, seq): a shared word of k // 3, extended without gaps.
-
-    Words meet in an equi-join; each diagonal of a pair is extended once, in
-    Arrow batches. Places count from 1, ends are inclusive.
+    """Hits of queries(query) on profiles(profile_id, seq): a shared word, extended without gaps.
+
+    A hit passes with ``identity`` percent of k letters equal, so a query of n
+    letters may miss n less that many, and one of one block more than these is
+    whole: such blocks are the words that are looked up. A query so long that
+    its blocks would be shorter than k // 3 is looked up by all its words of
+    that length. Words meet in an equi-join; each diagonal of a pair is extended
+    once, in Arrow batches. Places count from 1, ends are inclusive.
     """
     word = max(1, k // 3)
-    q = queries.select("query", F.posexplode(kmers(F.col("query"), word)).alias("q", "w"))
-    t = profiles.select(F.col("profile_id").alias("target"), F.posexplode(kmers(F.col("seq"), word)).alias("t", "w"))
-    seeds = q.join(t, "w").groupBy("query", "target", (F.col("t") - F.col("q")).alias("diagonal")).agg(F.min("q").alias("q"))
+    misses = F.greatest(F.length("query") - F.ceil(F.lit(identity * k / 100)).cast("int"), F.lit(0))
+    block = F.floor(F.length("query") / (misses + 1)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), misses), lambda i: F.struct((i * block).alias("q"), F.substring("query", i * block + 1, block).alias("w")))
+    words = F.transform(kmers(F.col("query"), word), lambda w, i: F.struct(i.alias("q"), w.alias("w")))
+    q = queries.select("query", F.explode(F.when(block >= word, blocks).otherwise(words)).alias("x")).select("query", "x.q", "x.w", F.length("x.w").alias("size"))
+    # as many sizes as lengths of queries, which are k-mers
+    sizes = q.select("size").distinct()
+    sized = profiles.join(F.broadcast(sizes), F.length("seq") >= F.col("size"))
+    t = sized.select(F.col("profile_id").alias("target"), "size", F.posexplode(kmers(F.col("seq"), F.col("size"))).alias("t", "w"))
+    seeds = q.join(t, ["size", "w"]).groupBy("query", "target", (F.col("t") - F.col("q")).alias("diagonal")).agg(F.min(F.struct("q", "size")).alias("seed"))
+    seeds = seeds.select("query", "target", "diagonal", "seed.q", "seed.size")
     pairs = seeds.join(profiles.select(F.col("profile_id").alias("target"), "seq"), "target")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [
-                (a, p, *_extend(a, s, int(i), int(i + d), word)) for a, p, s, i, d in zip(f["query"], f["target"], f["seq"], f["q"], f["diagonal"], strict=True)
+                (a, p, *_extend(a, s, int(i), int(i + d), int(n)))
+                for a, p, s, i, d, n in zip(f["query"], f["target"], f["seq"], f["q"], f["diagonal"], f["size"], strict=True)
             ]
             g = pd.DataFrame(rows, columns=["query", "target", "qs", "qe", "ts", "same"])
             size = (g["qe"] - g["qs"]).astype("int64")

@@ -507,10 +507,10 @@ def rank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- graphs --
-@query("unitig_kmers", f"WITH {CORRECTED_SQL}, p AS MATERIALIZED (SELECT kmer FROM corrected GROUP BY kmer HAVING sum(cnt) >= 40), b AS (SELECT kmer FROM p UNION SELECT reverse(translate(kmer, 'ACGT', 'TGCA')) FROM p) SELECT kmer, 1 AS n FROM b")
+@query("unitig_kmers", f"WITH {CORRECTED_SQL}, p AS MATERIALIZED (SELECT kmer FROM corrected GROUP BY kmer HAVING sum(cnt) >= 10), b AS (SELECT kmer FROM p UNION SELECT reverse(translate(kmer, 'ACGT', 'TGCA')) FROM p) SELECT kmer, 1 AS n FROM b")
 def unitig_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k-mers that the compacted graph spells, either way: each of the set's and of their complements, once."""
-    common = corrected(spark, sf_dir).groupBy("kmer").agg(F.sum("cnt").alias("cnt")).where("cnt >= 40").select("kmer")
+    common = corrected(spark, sf_dir).groupBy("kmer").agg(F.sum("cnt").alias("cnt")).where("cnt >= 10").select("kmer")
     v, _ = graph.unitigs(materialize(common, "common"))
     return v.select(F.explode(S.kmers(F.col("seq"), K)).alias("kmer")).groupBy("kmer").agg(F.count("*").cast("int").alias("n"))
 

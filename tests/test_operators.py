@@ -204,6 +204,44 @@ def test_containment_and_hits(spark):
     assert (found[0].sstart, found[0].length, found[0].pident) == (2, 6, 100.0)
 
 
+def test_approximate_hits_against_brute_force(spark):
+    rng = random.Random(11)
+    k, identity = 11, 90.0
+    profiles = [(i, "".join(rng.choice("ACGT") for _ in range(rng.randint(8, 90)))) for i in range(12)]
+    queries = ["".join(rng.choice("ACGT") for _ in range(k)) for _ in range(40)]
+    for _ in range(120):
+        p = rng.choice([s for _, s in profiles if len(s) > k])
+        at = rng.randint(0, len(p) - k)
+        q = list(p[at : at + k])
+        q[rng.randrange(k)] = rng.choice("ACGT")
+        queries.append("".join(q))
+    want = set()
+    for q in set(queries):
+        for i, s in profiles:
+            for d in range(-k, len(s)):
+                # the extension of any whole word on the diagonal that passes
+                for x in range(k - 2):
+                    if x + d >= 0 and x + 3 + d <= len(s) and q[x : x + 3] == s[x + d : x + 3 + d]:
+                        a, b, ts, same = mapping._extend(q, s, x, x + d, 3)
+                        if same >= identity / 100 * k:
+                            want.add((q, i, a + 1, ts + 1, b - a))
+    found = mapping.approximate_hits(spark.createDataFrame([(q,) for q in set(queries)], "query string"), spark.createDataFrame(profiles, "profile_id long, seq string"), k, identity)
+    got = {(r.query, r.target, r.qstart, r.sstart, r.length) for r in found.collect()}
+    assert got == want and len(want) > 80
+
+
+def test_u_statistic_of_odd_rows(spark):
+    rng = random.Random(4)
+    data = [(rng.choice([None, "a", "b"]), rng.random() < 0.4, rng.choice([None, 1.0, 2.0, float(rng.randint(0, 40))])) for _ in range(400)] + [("alone", True, 1.0)]
+    got = {r.k: r for r in windows.u_statistic(spark.createDataFrame(data, "k string, f boolean, v double"), ["k"], "f", "v").collect()}
+    assert set(got) == {None, "a", "b", "alone"}
+    for key, r in got.items():
+        x = [v if v is not None else -1 for k, f, v in data if k == key and f]
+        y = [v if v is not None else -1 for k, f, v in data if k == key and not f]
+        assert (r.n1, r.n2) == (len(x), len(y))
+        assert r.u == sum((a > b) + (a == b) / 2 for a in x for b in y)
+
+
 def test_windows(spark):
     v = spark.createDataFrame([(1, 0, 5.0), (1, 1, 2.0), (1, 2, 9.0)], "id int, pos int, v double")
     assert [r.v for r in windows.base_coverage(v, "id", "pos", ["v"], 3).orderBy("pos").collect()] == [5, 5, 9, 9, 9]
