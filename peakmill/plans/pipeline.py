@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from peakmill.functions.sequence import reverse_complement
 from peakmill.operators import assembly, bubbles, counts, graph, mapping, peaks, replicates
 from peakmill.plans.config import Config
-from peakmill.runtime import materialize, session
+from peakmill.runtime import materialize, scratch, session
 from peakmill.sources import readers, writers
 
 
@@ -129,7 +129,8 @@ def main(argv: list[str] | None = None) -> None:
     rows = readers.experiment(spark, a.input_description).orderBy("replicate").collect()
     pairs = [(readers.reads(spark, f"{a.input_directory}/{r.treatment}"), readers.reads(spark, f"{a.input_directory}/{r.control}")) for r in rows]
     drawing = f"{a.working_dir}/drawing" if a.draw else None
-    writers.replicated(call_peaks(spark, pairs, config, drawing), f"{a.working_dir}/replicated_peaks")
+    with scratch(spark):
+        writers.replicated(call_peaks(spark, pairs, config, drawing), f"{a.working_dir}/replicated_peaks")
 
 
 if __name__ == "__main__":

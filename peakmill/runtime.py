@@ -9,9 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: What each open scope, the innermost last, has written and kept.
+_scopes: list[tuple[list[str], list[DataFrame]]] = []
+
 
 def session(name: str = "peakmill", cores: str = "*") -> SparkSession:
     """A local session for tests and the command line."""
@@ -46,10 +52,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: a cut in the lineage that survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1][0].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df kept on executors' disks for several uses; a lost executor's part is computed anew."""
+    if _scopes:
+        _scopes[-1][1].append(df)
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized and kept inside are removed at the end: write the result before."""
+    _scopes.append(([], []))
+    try:
+        yield
+    finally:
+        paths, frames = _scopes.pop()
+        for df in frames:
+            df.unpersist()
+        for path in paths:
+            discard(spark, path)
+
+
 def parts_for(rows: int, each: int) -> int:
     """Files for a table of that many rows; for coalesce(), so that a small table isn't strewn over hundreds."""
     return max(1, -(-rows // each))
