@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakmill.llm.words import Slots, Texts, chunks, mix
+from peakmill.llm.words import Slots, Texts, chunks, filtered, mix
 
 U = np.uint64
 LETTER = re.compile(r"[^\W\d_]")
@@ -402,11 +402,9 @@ def filter_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     """The rows of docs with an identified language of at least that posterior; all columns as they are."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                b = batch.slice(at, ROWS)
-                langs, scores = predict(held.value, b.column("text"))
-                yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+    def keep(texts: pa.Array) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), ROWS):
+            langs, scores = predict(held.value, texts.slice(at, ROWS))
+            yield np.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, keep)

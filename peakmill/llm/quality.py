@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakmill.llm.words import U, Texts, chain, mix, slices
+from peakmill.llm.words import U, Texts, chain, filtered, mix, slices
 from peakmill.runtime import materialize
 
 SYMBOLS = b"#*$%&|<>"
@@ -221,11 +221,9 @@ def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     post = learn_posteriors(quality_features(docs))
     good = np.array(sorted(k for k, v in post.items() if v >= threshold), np.int64)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = [
-                np.isin(votes(f), good) & ~base_failed(f) for _, _, t in slices(batch.column("text")) for f in [features(t)]
-            ]
-            yield batch.filter(pa.array(np.concatenate(mask))) if mask else batch
+    def keep(texts: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, t in slices(texts):
+            f = features(t)
+            yield np.isin(votes(f), good) & ~base_failed(f)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filtered(docs, keep)

@@ -8,10 +8,11 @@ its position, then mixed. No Python loop runs over words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -183,3 +184,16 @@ def shingle_sets(t: Texts, k: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, U))
     return out
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:
+    """The rows of docs that keep(texts) lets through, part by part; all columns as they are, whatever they are called."""
+    at = docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = [np.zeros(0, bool), *keep(b.column(at))]
+            yield b.filter(pa.array(np.concatenate(mask)))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
