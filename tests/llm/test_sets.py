@@ -68,6 +68,13 @@ def test_components_are_exact(spark, monkeypatch, k, percent, hot, frequent, blo
     assert {tuple(r) for r in got.collect()} == brute_components(rows, k, percent)
 
 
+def test_components_beyond_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FILTERED", 3)
+    rows = near_copies(5)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert {tuple(r) for r in got.collect()} == brute_components(rows, 3, 90)
+
+
 def test_components_of_odd_rows(odd, none):
     got = Counter(tuple(r) for r in jaccard.jaccard_components(odd, 3, 90).collect())
     assert got[(1, 0, 1)] == got[(2, 0, 2)] == got[(4, 1, 4)] == 1
@@ -416,3 +423,55 @@ def test_pipeline_stages(spark, docs):
         if name == "ngram_jaccard_join":
             comp = {i: c for i, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect() if r.doc_id in before], 5, 80)}
             assert set(after) == {i for i in before if comp[i] == i}
+
+
+def written(spark, df):
+    path = scratch_path(spark, "pipeline-input")
+    df.write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_pipeline_run_packs_what_the_stages_keep(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = written(spark, docs)
+    got = corpus_pipeline.run(spark, path).collect()
+    kept = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, path)
+    tok = Tokenizer.from_file(PATH)
+    want = Counter()
+    for r in kept.collect():
+        ids = [*tok.encode(r.text, add_special_tokens=False).ids, 0]
+        for j, at in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[at : at + 2048], "<u4")
+            want[(r.doc_id, j, at, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want and want
+
+
+def test_pipeline_run_on_odd_and_empty_tables(spark, odd, none):
+    got = corpus_pipeline.run(spark, written(spark, odd)).collect()
+    assert {r.doc_id for r in got} <= {4, 5, 6, 7, 8, 9, None}
+    assert corpus_pipeline.run(spark, written(spark, none)).count() == 0
+    names = ["n", "p", "unit", "row", "size", "digest", "bit", "sig", "lot", "rank", "taken", "component", "a.b", "word"]
+    text = lambda i: " ".join(f"the word{(i * 7 + j) % 50} and more of that number{j}" for j in range(20))
+    rows = [(i if i % 4 else None, text(i // 2), "en" if i % 2 else "de", "ab"[i % 2], 9, *(f"{c}{i}" for c in names)) for i in range(60)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    kept = clash
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "")
+        assert kept.columns == clash.columns
+    assert set(map(tuple, kept.collect())) <= set(rows)
+    assert corpus_pipeline.run(spark, written(spark, clash)).columns[:2] == ["doc_id", "piece"]
+
+
+def test_pipeline_leaves_no_scratch_but_its_result(spark, docs):
+    import os
+
+    from peakmill.runtime import shared_dir
+
+    here = f"{shared_dir(spark)}/peakmill"
+    path = written(spark, docs.limit(60))
+    before = set(os.listdir(here))
+    corpus_pipeline.run(spark, path).count()
+    assert [n.split("-")[0] for n in set(os.listdir(here)) - before] == ["best_fit_packing"]
