@@ -143,8 +143,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     edges = [r["low"] for r in lows[1:]]
     table = F.from_json(F.lit(f"[{','.join(edges)}]"), f"array<{rows.schema['place'].dataType.simpleString()}>")
     runs = len(edges) + 1
+    # never null: no filter before the exchange of one use that others don't have
     near = Window.partitionBy("run").orderBy("place", "text")
-    dealt = rows.withColumn("run", upto(table, len(edges), F.col("place"))).withColumns({"next_text": F.lead("text").over(near), "nth": F.row_number().over(near)})
+    dealt = rows.withColumn("run", F.coalesce(upto(table, len(edges), F.col("place")), F.lit(0))).withColumns({"next_text": F.lead("text").over(near), "nth": F.row_number().over(near)})
     # every run holds a row: the one that is its lower edge
     starts = dealt.where("nth = 1").select(F.pmod(F.col("run") - 1, F.lit(runs)).alias("run"), F.col("text").alias("next_text"))
     ends = dealt.where("next_text is null").select("place", "text", "run")

@@ -351,3 +351,40 @@ def test_ids_and_offsets_are_those_of_another_library():
         ids, offsets = chat.encode(BYTES, text)
         e = tok.encode(text, add_special_tokens=False)
         assert ids.tolist() == e.ids and offsets.tolist() == [list(o) for o in e.offsets]
+
+
+def test_em_against_plain_loops():
+    """Posteriors of vote patterns by the same model, worked out text by text."""
+    rng = np.random.default_rng(8)
+    n = len(quality.RULES)
+    weight = 3 ** np.arange(n - 1, -1, -1)
+    texts = []
+    for _ in range(400):
+        junk = rng.random() < 0.2
+        texts.append([0 if rng.random() < 0.3 else 1 if rng.random() < (0.5 if junk else 0.03) else 2 for _ in range(n)])
+    prior, strength = 0.85, 0.1
+    pi, rate, post = prior, [[0.4] * n, [0.02] * n], [prior] * len(texts)
+    for _ in range(200):
+        new = []
+        for t in texts:
+            like = [1 - pi, pi]
+            for r, v in enumerate(t):
+                for c in (0, 1):
+                    like[c] *= {0: 1, 1: rate[c][r], 2: 1 - rate[c][r]}[v]
+            new.append(like[1] / sum(like))
+        done = max(abs(a - b) for a, b in zip(new, post, strict=True)) < 1e-9
+        post = new
+        if done:
+            break
+        for c in (0, 1):
+            own = [p if c else 1 - p for p in post]
+            extra = strength * len(texts) * (prior if c else 1 - prior)
+            for r in range(n):
+                bad = sum(w for w, t in zip(own, texts, strict=True) if t[r] == 1)
+                votes = sum(w for w, t in zip(own, texts, strict=True) if t[r])
+                rate[c][r] = min(1 - 1e-6, max(1e-6, (bad + extra * (0.4, 0.02)[c]) / (votes + extra)))
+        pi = (sum(post) + strength * len(texts) * prior) / (len(texts) * (1 + strength))
+    codes = [int(weight @ t) for t in texts]
+    seen = Counter(codes)
+    got = quality.fit_em(np.array(sorted(seen)), np.array([seen[c] for c in sorted(seen)], float))
+    assert all(got[c] == pytest.approx(p, abs=1e-6) for c, p in zip(codes, post, strict=True))
