@@ -12,7 +12,9 @@ be undone.
 
 Defined results: null role or text is empty. Rows are ordered by turn (nulls
 first), then role, then text, so equal turns have one order. Rows with a null
-conv_id are one conversation. Extra columns are ignored. A conversation is the
+conv_id are one conversation. Texts of any length are encoded whole, white space
+of RUN characters or more by a way of its own with the same result; an empty
+table gives an empty one. Extra columns are ignored. A conversation is the
 unit that is rendered and encoded; rows stream in sorted order, and short
 conversations are encoded together, so a task holds GROUP_CHARS characters or
 one longer conversation, and never a whole partition.

@@ -16,7 +16,8 @@ Defined results: null text or text without a letter is ``und`` with score 0,
 and so is every text when there is nothing to learn from. Scores are finite
 and lie in 0 to 1 for any text. Ties go to the
 language that sorts first. Rows with null lang are not learned from; equal rows
-count each. Extra columns are ignored (and kept by ``filter_language``).
+count each. Texts of any length are scored whole; an empty table gives an empty
+one. Extra columns are ignored (and kept by ``filter_language``).
 """
 
 from __future__ import annotations

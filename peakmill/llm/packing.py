@@ -8,7 +8,11 @@ of slots, (length, ranks, sequences, offset); every piece then finds its place
 by its rank among the pieces of its length.
 
 Defined results: null text is empty and still holds its closing id. Rows with
-equal doc_id are packed each on its own. Extra columns are ignored.
+equal doc_id are packed each on its own. Texts of any length are encoded whole,
+in parts that are cut at white space. Pieces of one length are ranked by lot,
+doc_id, piece and checksum; equal ones may change places, which changes no
+column but sequence_id. An empty table gives an empty one. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
