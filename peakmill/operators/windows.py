@@ -108,6 +108,29 @@ def u_statistic(rows: DataFrame, keys: list[str], first: str, value: str) -> Dat
     )
 
 
+def median_gate(rows: DataFrame, keys: list[str], value: str, least: float) -> DataFrame:
+    """(keys, median) of the keys whose median value is least or more."""
+    return rows.groupBy(*keys).agg(F.median(value).alias("median")).where(F.col("median") >= least)
+
+
+def significant(tests: DataFrame, keys: list[str], p: str, alpha: float, replicates: int = 1, share: float = 0.5) -> DataFrame:
+    """(keys, pvalue) of the keys of which that share of the tests passes alpha, corrected for replicates; pvalue is the largest that passed."""
+    passed = F.col(p) <= alpha / replicates
+    rows = tests.groupBy(*keys).agg(F.count("*").alias("n_"), F.count_if(passed).alias("passed_"), F.max(F.when(passed, F.col(p))).alias("pvalue"))
+    return rows.where((F.col("passed_") >= share * F.col("n_")) & (F.col("passed_") > 0)).select(*keys, "pvalue")
+
+
+def offsets(rows: DataFrame, keys: list[str], order: list[str], size: str) -> DataFrame:
+    """rows with first: where each begins when the rows of a key stand one after another."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("first", F.coalesce(F.sum(size).over(before), F.lit(0)))
+
+
+def length_groups(sequences: DataFrame, seq: str) -> DataFrame:
+    """(size, n, distinct_n): sequences and different ones of each length."""
+    return sequences.groupBy(F.length(seq).alias("size")).agg(F.count("*").alias("n"), F.countDistinct(seq).alias("distinct_n"))
+
+
 def blurred_segments(rows: DataFrame, key: str, pos: str, covered: str, reach: int = 2) -> DataFrame:
     """(key, start, end) of runs of places with any cover within reach of them."""
     near = Window.partitionBy(key).orderBy(pos).rowsBetween(-reach, reach)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from peakmill.functions import kernels
 from peakmill.functions import sequence as S
-from peakmill.operators import assembly, bubbles, counts, graph, mapping, peaks, replicates
+from peakmill.operators import assembly, bubbles, counts, graph, mapping, peaks, replicates, windows
 from peakmill.plans.inputs import BASES, CORRECTED_SQL, K, LETTERS, READS_SQL, reads
 from peakmill.plans.registry import _BENCH, _VERT, corrected, passages, query, vertices
 from peakmill.runtime import materialize, scratch_path, table
@@ -506,6 +506,26 @@ def rank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(cases, "case_id long, x array<double>, y array<double>").mapInPandas(run, "case_id long, u double, p double")
 
 
+@query(
+    "significance_gate",
+    "SELECT l_orderkey, l_linenumber % 3 AS segment, max(l_discount) FILTER (l_discount <= 0.1 / 2) AS pvalue FROM lineitem GROUP BY ALL HAVING count(*) FILTER (l_discount <= 0.1 / 2) >= 0.5 * count(*)",
+)
+def significance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts as p-values of pairs of samples: half of a segment's pairs must pass."""
+    tests = table(spark, sf_dir, "lineitem").withColumn("segment", F.col("l_linenumber") % 3)
+    return windows.significant(tests, ["l_orderkey", "segment"], "l_discount", 0.1, 2)
+
+
+@query(
+    "cumulative_offsets",
+    "SELECT l_suppkey, l_orderkey, l_linenumber, coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM lineitem",
+)
+def cumulative_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "lineitem").withColumn("size", F.col("l_quantity").cast("bigint"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
+    return windows.offsets(sized, ["l_suppkey"], order, "size").select("l_suppkey", "l_orderkey", "l_linenumber", "first")
+
+
 # -- graphs --
 @query("unitig_kmers", f"WITH {CORRECTED_SQL}, p AS MATERIALIZED (SELECT kmer FROM corrected GROUP BY kmer HAVING sum(cnt) >= 10), b AS (SELECT kmer FROM p UNION SELECT reverse(translate(kmer, 'ACGT', 'TGCA')) FROM p) SELECT kmer, 1 AS n FROM b")
 def unitig_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,7 +314,7 @@ def blurred_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("segment_median", "SELECT user_id, event_type, round(median(value), 4) AS median FROM events GROUP BY ALL HAVING median(value) >= 10")
 def segment_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.median("value").alias("m")).where("m >= 10").select("user_id", "event_type", F.round("m", 4).alias("median"))
+    return windows.median_gate(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", 10).select("user_id", "event_type", F.round("median", 4).alias("median"))
 
 
 @query(
@@ -426,7 +426,7 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("length_groups", "SELECT CAST(length(text) AS INTEGER) AS size, count(*) AS n, count(DISTINCT text) AS distinct_n FROM documents GROUP BY ALL")
 def length_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.length("text").alias("size")).agg(F.count("*").alias("n"), F.countDistinct("text").alias("distinct_n"))
+    return windows.length_groups(table(spark, sf_dir, "documents"), "text")
 
 
 @query("longest_reads", f"WITH {READS_SQL} SELECT read_id, CAST(length(seq) AS BIGINT) AS size FROM reads ORDER BY size DESC, read_id LIMIT 20")
