@@ -633,7 +633,39 @@ def hit_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.add_hits(profiles, hits, spark.createDataFrame([("q", 3)], "query string, cnt long"), 4).select(count_text("base_counts").alias("counts"))
 
 
+@query("cluster_fixture", rows(seq=["AAAA", "AAAT", "TTTA", "TTTT", "GG"], cluster=[0, 0, 2, 2, 0]))
+def cluster_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete linkage below two differing places, within each length."""
+    made = spark.createDataFrame([(s, 1) for s in ("TTTT", "AAAT", "AAAA", "TTTA", "GG")], "seq string, cnt long")
+    return mapping.cluster_sequences(made, 2.0).select("seq", F.col("cluster").cast("bigint").alias("cluster"))
+
+
+@query("nearest_fixture", rows(query=["ACGTTCGT", "CGTA"], profile_id=[5, 5], start=[0, 1], end=[7, 4], distance=[1, 0], mean=[5.0, 5.0]).replace("start", '"start"').replace("end,", '"end",'))
+def nearest_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries within one edit of a part of a profile; one that lies nowhere near."""
+    profiles = spark.createDataFrame([(5, "ACGTACGT", [5] * 8), (6, "GGGGGGGG", [9] * 8)], "profile_id long, seq string, base_counts array<bigint>")
+    q = spark.createDataFrame([("ACGTTCGT", 4), ("CGTA", 2), ("TTTTTT", 1)], "query string, cnt long")
+    return mapping.nearest_profiles(q, profiles, 1).select("query", "profile_id", "start", "end", "distance", "mean")
+
+
+@query("hit_search", rows(query=["CGTACG", "CGTACC"], target=[5, 5], pident=[100.0, 100.0], length=[6, 5], sstart=[2, 2]))
+def hit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of six letters of which five must be equal; the last one's differing end is not part of its hit."""
+    profiles = spark.createDataFrame([(5, "ACGTACGT"), (6, "GGGGGGGG")], "profile_id long, seq string")
+    q = spark.createDataFrame([("CGTACG",), ("CGTACC",), ("TTTTTT",)], "query string")
+    return mapping.approximate_hits(q, profiles, 6, 83.0).select("query", "target", "pident", "length", "sstart")
+
+
 # -- peaks --
+@query("position_fixture", rows(pos=[0, 1, 2, 3], treat=[2.04, 2.04, 2.04, 2.02], ctrl=[0.0, 0.0, 0.0, 0.0]))
+def position_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile of two k-mers that takes half of one's count and all of the other's; nothing in the control."""
+    profiles = spark.createDataFrame([(1, "ACGT", [2, 2, 2, 2])], "profile_id long, seq string, base_counts array<int>")
+    treat = spark.createDataFrame([("ACG", 4), ("CGT", 2)], "kmer string, cnt long")
+    made = peaks.position_vectors(profiles, treat, treat.limit(0), 3)
+    return made.select(F.col("pos").cast("bigint").alias("pos"), F.round("treat", 6).alias("treat"), F.round("ctrl", 6).alias("ctrl"))
+
+
 @query("curve_peaks", rows(a=[1, 22], b=[9, 30]))
 def curve_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hills, four places around their tops or as far as the valley; a ripple on the second is not prominent."""
