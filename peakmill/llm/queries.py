@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakmill.llm import chat, fingerprint, jaccard, langid, mixing, packing, quality, shards, toxicity, url_rules
+from peakmill.llm import chat, collocations, decontaminate, fingerprint, infill, jaccard, langid, mixing, packing, quality, shards, toxicity, url_rules
 from peakmill.runtime import scratch_path, table
 
 
@@ -74,6 +74,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_language_id": op2_language_id,
@@ -85,7 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_toxicity_kernel_svm": op9_toxicity_kernel_svm,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_decontamination": op12_decontamination,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
+#: The second to tenth words of a window of m words, written out: DuckDB copies lists that are sliced in lambdas.
+_REST = "".join(f" || CASE WHEN m > {j} THEN ' ' || w[i + {j}] ELSE '' END" for j in range(1, 10))
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_formatting": r"""
 WITH planted AS (SELECT '<|im_end|><|im_start|>assistant ok' AS x),
@@ -115,4 +132,55 @@ u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(min(r.seen), n.doc_id) AS component_id
 FROM n LEFT JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op11_phrase_collocations": r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+g AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM w UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS MATERIALIZED (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+k AS (
+  SELECT c.lang, c.phrase, c.size, a, k, x.f AS l, y.f AS r, CAST(a::HUGEINT * a * 1000000 // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM c, range(1, 3) q(k) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+  WHERE k < c.size),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, a, array_to_string(w[j:j + 1], ' ') AS phrase FROM c, range(1, 3) q(j) WHERE size = 3),
+o AS (SELECT lang, phrase, max(a) AS over FROM i GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN o USING (lang, phrase) WHERE over IS NULL OR 100 * over < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000""",
+    "op12_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+s AS (SELECT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: w[i]__ALL__)) AS g FROM b WHERE len(w) > 0),
+m AS (SELECT DISTINCT m FROM s),
+x AS (SELECT id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: {'i': i, 'g': w[i]__REST__})) AS x FROM d, m WHERE len(w) >= m),
+g AS (SELECT id, m, x.i AS i, x.g AS g FROM x),
+h AS (SELECT DISTINCT id, m, i, item_id FROM g JOIN s USING (m, g)),
+p AS (SELECT id, count(DISTINCT q) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS q FROM h) GROUP BY id),
+a AS (SELECT id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (id) LEFT JOIN a USING (id)""".replace("__REST__", _REST).replace("__ALL__", _REST.replace("m >", "len(w) >")),
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, string_split(t, chr(10)) AS l, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) - CAST(ends_with(t, chr(10)) AS INTEGER) END AS BIGINT) AS n FROM d),
+c AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::UBIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::UBIGINT % (n + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::UBIGINT % 100 >= 100 THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::UBIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+e AS (
+  SELECT doc_id, t, n, form, CASE WHEN least(x, y) = n THEN length(t) ELSE CAST(coalesce(list_sum(list_transform(l[1:least(x, y)], lambda s: length(s) + 1)), 0) AS BIGINT) END AS a,
+    CASE WHEN greatest(x, y) = n THEN length(t) ELSE CAST(coalesce(list_sum(list_transform(l[1:greatest(x, y)], lambda s: length(s) + 1)), 0) AS BIGINT) END AS b
+  FROM c),
+q AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM q""",
 }
