@@ -143,12 +143,14 @@ g AS (
 f AS MATERIALIZED (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 10),
 n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
 c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+q AS (
+  SELECT lang, phrase, a, 1 AS k, w[1] AS u, array_to_string(w[2:], ' ') AS v FROM c
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE size = 3),
 k AS (
-  SELECT c.lang, c.phrase, c.size, a, k, x.f AS l, y.f AS r, CAST(a::HUGEINT * a * 1000000 // (x.f::HUGEINT * y.f) AS BIGINT) AS score
-  FROM c, range(1, 3) q(k) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
-  WHERE k < c.size),
+  SELECT q.lang, q.phrase, a, k, x.f AS l, y.f AS r, CAST(a::HUGEINT * a * 1000000 // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM q JOIN f x ON x.lang = q.lang AND x.phrase = u JOIN f y ON y.lang = q.lang AND y.phrase = v),
 b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
-i AS (SELECT lang, a, array_to_string(w[j:j + 1], ' ') AS phrase FROM c, range(1, 3) q(j) WHERE size = 3),
+i AS (SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM c WHERE size = 3 UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM c WHERE size = 3),
 o AS (SELECT lang, phrase, max(a) AS over FROM i GROUP BY ALL),
 z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN o USING (lang, phrase) WHERE over IS NULL OR 100 * over < 50 * a)
 SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000""",
