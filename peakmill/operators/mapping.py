@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakmill.functions.alignment import Scoring, banded_local
 from peakmill.functions.frames import frame
 from peakmill.functions.kernels import complete_linkage, global_alignment, infix_distance
 from peakmill.functions.sequence import hit_offsets, kmers
@@ -166,6 +168,62 @@ def approximate_hits(queries: DataFrame, profiles: DataFrame, k: int, identity:
     return passing_hits(hits, k, identity).dropDuplicates(["query", "target", "qstart", "sstart", "length"])
 
 
+def gapped_hits(queries: DataFrame, profiles: DataFrame, word: int, identity: float = 0.0, expect: float = 1e-6, half: int = 16, scoring: Scoring | None = None) -> DataFrame:
+    """Hits of queries(query) on profiles(profile_id, seq) with gaps: query, target, pident, length, mismatch, gapopen, qstart, qend, sstart, send, evalue, bitscore.
+
+    Pairs that share a word are aligned locally in a band of ``half`` places to
+    either side of where the shared words lie: seeds are gathered by stretches
+    of half // 2 diagonals, each of which is aligned once. Only the part of a
+    target that the band can reach goes to the tasks. A hit stays if chance
+    would give fewer than ``expect`` of its score among all letters of the
+    profiles, and if ``identity`` percent of its columns are equal. Places count
+    from 1, ends are inclusive; of hits on the same places one is returned.
+    Null or short sequences have no words. Equal profiles are hit each.
+    """
+    c = scoring or Scoring()
+    step = max(1, half // 2)
+    q = queries.select("query").where(F.length("query") >= word).distinct().select("query", F.posexplode(kmers(F.col("query"), word)).alias("q", "w"))
+    t = profiles.where(F.length("seq") >= word).select(F.col("profile_id").alias("target"), F.posexplode(kmers(F.col("seq"), word)).alias("t", "w"))
+    stretch = F.floor((F.col("t") - F.col("q")) / step).cast("bigint")
+    seeds = q.join(t, "w").select("query", "target", stretch.alias("stretch")).distinct()
+    middle = F.col("stretch") * step + step // 2
+    reach = half + step
+    first = F.greatest(middle - reach, F.lit(0))
+    pairs = seeds.join(profiles.select(F.col("profile_id").alias("target"), "seq"), "target").select(
+        "query", "target", first.alias("first"), (middle - first).alias("diagonal"), F.substring("seq", (first + 1).cast("int"), (middle + F.length("query") + reach - first).cast("int")).alias("part")
+    )
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            # texts of like length together; about as many cells a time, whatever the length
+            f = f.assign(size=f["query"].str.len()).sort_values("size", kind="stable")
+            lo = 0
+            while lo < len(f):
+                hi = lo + min(len(f) - lo, 2048)
+                g = f.iloc[lo:hi]
+                lo = hi
+                r = banded_local(g["query"].tolist(), g["part"].tolist(), g["diagonal"].to_numpy(), reach, c)
+                size = np.maximum(r["length"], 1)
+                made = pd.DataFrame(
+                    {
+                        "query": g["query"].to_numpy(), "target": g["target"].to_numpy(), "pident": 100.0 * r["same"] / size, "length": r["length"],
+                        "mismatch": r["length"] - r["gaps"] - r["same"], "gapopen": r["gapopen"], "qstart": r["qstart"] + 1, "qend": r["qend"],
+                        "sstart": r["sstart"] + 1 + g["first"].to_numpy(), "send": r["send"] + g["first"].to_numpy(), "score": r["score"],
+                    }
+                )
+                yield made[r["score"] > 0]
+
+    kind = profiles.schema["profile_id"].dataType.simpleString()
+    found = pairs.mapInPandas(
+        run, f"query string, target {kind}, pident double, length bigint, mismatch bigint, gapopen bigint, qstart bigint, qend bigint, sstart bigint, send bigint, score double"
+    ).dropDuplicates(["query", "target", "qstart", "qend", "sstart", "send"])
+    total = profiles.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("total"))  # one row
+    chance = F.lit(c.k) * F.length("query") * F.col("total") * F.exp(-F.lit(c.lam) * F.col("score"))
+    bits = (F.lit(c.lam) * F.col("score") - F.log(F.lit(c.k))) / F.log(F.lit(2.0))
+    rated = found.crossJoin(F.broadcast(total)).withColumn("evalue", chance).withColumn("bitscore", bits)
+    return rated.where((F.col("evalue") <= expect) & (F.col("pident") >= identity)).drop("total", "score")
+
+
 def passing_hits(hits: DataFrame, k: int, identity: float) -> DataFrame:
     return hits.where(F.col("pident") * F.col("length") / 100 >= F.lit(identity) / 100 * k)
 
