@@ -37,6 +37,8 @@ SHARD_BYTES = 8 << 20
 #: The filter has at most so many bits (as a power of two); a fuller one lets more through.
 MOST_BITS = 26
 PAIR = 2
+#: Parts in which a language's phrases are ranked before they are ranked together: SALTS * top rows a language at most.
+SALTS = 16
 #: Fixed by the contract: what ends a piece, and what ends a word within one.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -348,6 +350,9 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, top: int = 200
     cuts = cuts.join(held.select("lang", F.col("phrase").alias("right"), F.col("c").alias("r")), ["lang", "right"])
     scored = cuts.withColumn("score", F.expr("cast(a as decimal(16)) * cast(a as decimal(16)) * 1000000 div (cast(l as decimal(16)) * cast(r as decimal(16)))"))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.l", "b.r", "b.score")
-    line = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # a language's first ones are among the first of its parts
+    part = best.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    near = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top).drop("salt")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
