@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakmill.runtime import materialize, parts_for
+from peakmill.runtime import materialize, materialize_while, parts_for
 
 #: Rows of one file between rounds.
 ROWS = 200_000
@@ -22,25 +22,28 @@ def _trimmed(edges: DataFrame, parts: int) -> DataFrame:
     return edges
 
 
-def least_reaching(edges: DataFrame) -> DataFrame:
-    """(node, low): the smallest node from which each node of edges(src, dst) can be reached, itself included.
+def least_both_ways(edges: DataFrame) -> DataFrame:
+    """(node, low, back): the smallest node from which each node of edges(src, dst) can be reached, and the smallest it reaches, itself included.
 
-    A round takes the least of the tails' lows, aggregated before the shuffle,
-    and the low of its own low, as what reaches that reaches this one too:
-    stretches double where ids allow, and a round is at least one edge.
+    A round takes the least of the neighbours' lows, aggregated before the
+    shuffle, and the low of its own low, as what reaches that reaches this one
+    too: stretches double where ids allow, and a round is at least one edge.
+    Both ways go in the same rounds.
     """
+    ways = edges.select(F.lit(0).alias("way"), "src", "dst").unionByName(edges.select(F.lit(1).alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    cur = materialize(nodes.select("node", F.col("node").alias("low"), F.lit(True).alias("moved")), "lows")
-    parts = parts_for(cur.count(), ROWS)
-    while True:
-        # only lows that moved can move others
-        told = edges.join(cur.where("moved").select(F.col("node").alias("src"), F.col("low").alias("got")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("got").alias("got"))
-        above = cur.where("moved").select(F.col("node").alias("low"), F.col("low").alias("up"))
+    start = nodes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), "node", F.col("node").alias("low"), F.lit(True).alias("moved"))
+    cur = materialize(start, "lows")
+    parts, going = parts_for(cur.count(), ROWS), True
+    while going:
+        fresh = cur.where("moved")  # only lows that moved can move others
+        told = ways.join(fresh.select("way", F.col("node").alias("src"), F.col("low").alias("got")), ["way", "src"]).groupBy("way", F.col("dst").alias("node")).agg(F.min("got").alias("got"))
+        above = fresh.select("way", F.col("node").alias("low"), F.col("low").alias("up"))
         low = F.least("low", F.coalesce("got", "low"), F.coalesce("up", "low"))
-        nxt = cur.join(told, "node", "left").join(above, "low", "left").select("node", low.alias("low"), (low < F.col("low")).alias("moved"))
-        cur = materialize(nxt.coalesce(parts), "lows")
-        if not cur.where("moved").limit(1).count():
-            return cur.select("node", "low")
+        nxt = cur.join(told, ["way", "node"], "left").join(above, ["way", "low"], "left").select("way", "node", low.alias("low"), (low < F.col("low")).alias("moved"))
+        cur, going = materialize_while(nxt.coalesce(parts), "lows", "moved")
+    fore, back = (cur.where(F.col("way") == w).select("node", "low") for w in (0, 1))
+    return fore.join(back.withColumnRenamed("low", "back"), "node")
 
 
 def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -60,9 +63,7 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
     while n:
         parts = parts_for(n, ROWS)
         cur = _trimmed(cur, parts)
-        fore = least_reaching(cur)
-        back = least_reaching(cur.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("low", "back")
-        both = materialize(fore.join(back, "node").coalesce(parts), "colours")
+        both = materialize(least_both_ways(cur).coalesce(parts), "colours")
         settled.append(both.where("low = back").select("node", F.col("low").alias("component")))
         a = both.select(F.col("node").alias("src"), F.col("low").alias("l1"), F.col("back").alias("b1"))
         b = both.select(F.col("node").alias("dst"), F.col("low").alias("l2"), F.col("back").alias("b2"))
@@ -99,9 +100,8 @@ def longest_paths(costs: DataFrame, edges: DataFrame) -> DataFrame:
     n = held.count()
     parts = parts_for(n, ROWS)
     cur = held.select("node", F.lit(0).cast("bigint").alias("dist"), F.lit(0).alias("hops"), F.lit(True).alias("moved"))
-    cur = materialize(cur, "levels")
-    rounds = 0
-    while cur.where("moved").limit(1).count():
+    cur, rounds, going = materialize(cur, "levels"), 0, True
+    while going:
         rounds += 1
         if rounds > n:
             raise ValueError("the graph has a cycle")
@@ -109,7 +109,7 @@ def longest_paths(costs: DataFrame, edges: DataFrame) -> DataFrame:
         told = told.groupBy(F.col("dst").alias("node")).agg(F.max(F.col("dist") + F.col("cost")).alias("far"), F.max(F.col("hops") + 1).alias("deep"))
         far, deep = F.greatest("dist", F.coalesce("far", "dist")), F.greatest("hops", F.coalesce("deep", "hops"))
         nxt = cur.join(told, "node", "left").select("node", far.alias("dist"), deep.alias("hops"), ((far > F.col("dist")) | (deep > F.col("hops"))).alias("moved"))
-        cur = materialize(nxt.coalesce(parts), "levels")
+        cur, going = materialize_while(nxt.coalesce(parts), "levels", "moved")
     ends = cur.select("node", "dist")
     tails = ends.join(held, "node").select(F.col("node").alias("src"), F.col("dist").alias("from"), F.col("cost").alias("tail_cost"))
     tied = linked.join(tails, "src").join(ends.withColumnRenamed("node", "dst"), "dst").where(F.col("from") + F.col("cost") == F.col("dist"))

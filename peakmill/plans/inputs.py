@@ -20,17 +20,27 @@ READS_SQL = f"""reads AS (
   SELECT doc_id AS read_id, CASE WHEN doc_id % 2 = 0 THEN 'treatment' ELSE 'control' END AS arm, CAST((doc_id // 2) % 2 + 1 AS INTEGER) AS replicate,
     regexp_replace(translate(regexp_replace(text, '[^a-zA-Z]', '', 'g'), '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g') AS seq
   FROM documents)"""
-KMERS_SQL = f"""{READS_SQL},
-kmers AS (SELECT read_id, arm, replicate, substr(seq, i, {K}) AS kmer FROM reads, unnest(range(1, CAST(length(seq) AS BIGINT) - {K} + 2)) u(i)),
+
+
+def kmers_sql(k: int) -> str:
+    return f"""{READS_SQL},
+kmers AS (SELECT read_id, arm, replicate, substr(seq, i, {k}) AS kmer FROM reads, unnest(range(1, CAST(length(seq) AS BIGINT) - {k} + 2)) u(i)),
 arms AS MATERIALIZED (SELECT replicate, kmer, count(*) FILTER (arm = 'treatment') AS treat, count(*) FILTER (arm = 'control') AS ctrl FROM kmers GROUP BY ALL),
 t AS (SELECT replicate, kmer, treat AS cnt FROM arms WHERE treat > 0)"""
-CORRECTED_SQL = f"""{KMERS_SQL},
+
+
+def corrected_sql(k: int) -> str:
+    return f"""{kmers_sql(k)},
 scale AS (SELECT replicate, 0.99 * sum(treat) / sum(ctrl) AS scale FROM arms WHERE treat > 0 GROUP BY replicate),
 corrected AS (
   SELECT replicate, kmer, CAST(greatest(treat - round_even(ctrl * coalesce(scale, 0), 0), 0) AS BIGINT) AS cnt
   FROM arms JOIN scale USING (replicate) WHERE treat > 0)"""
 
 
+KMERS_SQL = kmers_sql(K)
+CORRECTED_SQL = corrected_sql(K)
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, arm, replicate, seq)."""
     docs = table(spark, sf_dir, "documents")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakmill.functions import sequence as S
-from peakmill.operators import assembly, bubbles, counts, graph, mapping, peaks, replicates, windows
+from peakmill.operators import counts, graph, mapping, peaks, replicates, windows
 from peakmill.operators.components import components
 from peakmill.plans.inputs import BASES, CORRECTED_SQL, K, KMERS_SQL, LETTERS, READS_SQL, arm, reads
 from peakmill.runtime import materialize, table
@@ -32,13 +32,13 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_kmers(reads(spark, sf_dir), K, "arm", "replicate")
 
 
-def both_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def both_arms(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """(replicate, kmer, treat, ctrl)."""
-    return counts.count_arms(reads(spark, sf_dir), K, F.col("arm") == "treatment", "replicate")
+    return counts.count_arms(reads(spark, sf_dir), k, F.col("arm") == "treatment", "replicate")
 
 
-def corrected(spark: SparkSession, sf_dir: str, keep_zero: bool = False) -> DataFrame:
-    return counts.corrected_arms(both_arms(spark, sf_dir), "replicate", keep_zero=keep_zero)
+def corrected(spark: SparkSession, sf_dir: str, keep_zero: bool = False, k: int = K) -> DataFrame:
+    return counts.corrected_arms(both_arms(spark, sf_dir, k), "replicate", keep_zero=keep_zero)
 
 
 # -- counting --
@@ -551,50 +551,29 @@ def forking_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- iterative and grouped kernels: rows only --
-#: k-mers of this summed count and above make the graph; those below are looked up on its profiles.
+#: k-mers of this summed count and above make the graph.
 MIN_ABUNDANCE = 3
 
 
-def _summed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def summed(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """(kmer, cnt): both replicates' corrected treatment together."""
-    return corrected(spark, sf_dir).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+    return corrected(spark, sf_dir, k=k).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 
 
-def _graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def graph_of(spark: SparkSession, sf_dir: str, k: int = K, least: int = MIN_ABUNDANCE) -> tuple[DataFrame, DataFrame]:
     """Unitigs of all k-mers of the minimal abundance in both replicates' corrected treatment, with counts and components."""
-    every = materialize(counts.abundant(_summed(spark, sf_dir), MIN_ABUNDANCE), "abundant")
+    every = materialize(counts.abundant(summed(spark, sf_dir, k), least), "abundant")
     v, e = graph.unitigs(every)
     turned = every.select(S.reverse_complement(F.col("kmer")).alias("kmer"), "cnt")
     both = every.unionByName(turned).groupBy("kmer").agg(F.max("cnt").alias("cnt"))
-    linked = graph.linked_counts(v.select("vid", "seq"), both, K).select("vid", "seq", "counts")
+    linked = graph.linked_counts(v.select("vid", "seq"), both, k).select("vid", "seq", "counts")
     e = materialize(e, "edges")
     return materialize(graph.with_components(linked, e), "components"), e
 
 
 @query("unitigs")
 def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph_of(spark, sf_dir)[0]
-
-
-@query("bubbles")
-def bubbles_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, e = _graph_of(spark, sf_dir)
-    return bubbles.correct_components(v, e, K)
-
-
-@query("assemble")
-def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.assemble_components(*_graph_of(spark, sf_dir), K)
-
-
-@query("cycles")
-def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.cycle_report(*_graph_of(spark, sf_dir))
-
-
-@query("exact_profiles")
-def exact_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.exact_profiles(assemble(spark, sf_dir), "comp_id")
+    return graph_of(spark, sf_dir)[0]
 
 
 @query("infix_match")
@@ -648,28 +627,3 @@ def first_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("seq"))
     targets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target_id"), F.col("text").alias("seq"))
     return mapping.first_containment(patterns, targets).select("target_id", "pattern_id", F.col("start").cast("bigint").alias("start"))
-
-
-@query("approximate_hits")
-def approximate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All k-mers below the graph's threshold on the profiles of those above, best hit each."""
-    profiles = materialize(exact_profiles(spark, sf_dir).where(F.length("seq") >= K).select(F.xxhash64("comp_id", "profile_id", "seq").alias("profile_id"), "seq"), "profiles")
-    low = materialize(counts.low_abundance(_summed(spark, sf_dir), MIN_ABUNDANCE).withColumnRenamed("kmer", "query"), "low")
-    return mapping.best_hits(mapping.approximate_hits(low, profiles, K, 90.0), "target", "sstart")
-
-
-@query("position_vectors")
-def position_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both samples' coverage of the profiles, by base."""
-    profiles = exact_profiles(spark, sf_dir).where(F.length("seq") >= K).select(F.xxhash64("comp_id", "profile_id", "seq").alias("profile_id"), "seq", "base_counts")
-    every = counts.count_kmers(reads(spark, sf_dir), K, "arm")
-    return peaks.position_vectors(materialize(profiles, "profiles"), arm(every, "treatment"), arm(every, "control"), K)
-
-
-@query("called_peaks")
-def called_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Significant stretches of the profiles."""
-    profiles = materialize(exact_profiles(spark, sf_dir).where(F.length("seq") >= K).select(F.xxhash64("comp_id", "profile_id", "seq").alias("profile_id"), "seq", "base_counts"), "profiles")
-    every = counts.count_kmers(reads(spark, sf_dir), K, "arm")
-    positions = peaks.position_vectors(profiles, arm(every, "treatment"), arm(every, "control"), K)
-    return peaks.call_peaks(positions, profiles, K, 0.05)

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: What each open scope, the innermost last, has written and kept.
 _scopes: list[tuple[list[str], list[DataFrame]]] = []
@@ -58,6 +59,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_while(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, bool]:
+    """materialize(), and whether the flag column holds in any row, seen while writing: a round of an iteration in one job."""
+    seen = Observation()
+    path = scratch_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1][0].append(path)
+    df.observe(seen, F.count_if(flag).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), bool(seen.get["n"])
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df kept on executors' disks for several uses; a lost executor's part is computed anew."""
     if _scopes:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from peakmill.plans import planted, registry  # noqa: F401  (registers its queries)
+from peakmill.plans import planted, registry, whole  # noqa: F401  (they register their queries)
 
 
 def normal(df):
