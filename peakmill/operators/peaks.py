@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from peakmill.functions.frames import frame
 from peakmill.functions.kernels import gaussian_hmm, mann_whitney_greater, peak_ranges, rolling_mean
+from peakmill.functions.normal import rank_test_p
 from peakmill.functions.sequence import kmers, window_min
 from peakmill.operators.counts import kmer_fractions, outer_counts, reconstruction
-from peakmill.operators.windows import base_coverage
+from peakmill.operators.windows import base_coverage, median_gate, significant, u_statistic
+from peakmill.runtime import materialize
 
 
 def long_enough(profiles: DataFrame, k: int, fraction: float | None) -> DataFrame:
@@ -87,6 +89,26 @@ def call_peaks(positions: DataFrame, profiles: DataFrame, k: int, alpha: float,
     )
 
 
+def tested_segments(segments_: DataFrame, samples: DataFrame, alpha: float, replicates: int = 1, share: float = 0.5, least: float = 10.0) -> DataFrame:
+    """(profile_id, start, end, pvalue) of segments(profile_id, start, end) in which treatment is above control.
+
+    samples(profile_id, pos, sample, treated, value). A segment is tested once
+    for each pair of a treatment and a control sample, as joins and aggregates:
+    ranks within segment and pair, U, its p-value as a column. It passes if that
+    share of the pairs passes alpha, corrected for replicates, and the median
+    of its treatment values is ``least`` or more. Samples are few, as replicates.
+    """
+    rows = samples.join(segments_.select("profile_id", "start", "end"), "profile_id").where("pos >= start and pos < end")
+    names = materialize(samples.select("sample", "treated").distinct(), "samples")
+    pairs = names.where("treated").select(F.col("sample").alias("t")).crossJoin(names.where("not treated").select(F.col("sample").alias("c")))  # a row a pair of replicates
+    each = rows.join(pairs, ((F.col("sample") == F.col("t")) & F.col("treated")) | ((F.col("sample") == F.col("c")) & ~F.col("treated")))
+    keys = ["profile_id", "start", "end"]
+    tests = u_statistic(each, [*keys, "t", "c"], "treated", "value")
+    rated = tests.withColumn("p", rank_test_p(F.col("u"), F.col("n1"), F.col("n2"), F.col("tie")))
+    high = median_gate(rows.where("treated"), keys, "value", least).select(*keys)
+    return significant(rated, keys, "p", alpha, replicates, share).join(high, keys, "left_semi")
+
+
 def segment_profiles(positions: DataFrame, k: int, states: int = 5) -> DataFrame:
     """(profile_id, start, end, state, median) of the model's segments."""
     kind = positions.schema["profile_id"].dataType.simpleString()

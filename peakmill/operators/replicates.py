@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,27 +61,40 @@ def best_partners(visible: DataFrame, new: DataFrame, threshold: float = 0.1, co
     return best_per_key(scored, ["new_i"], [F.col("score"), F.col("vis_i"), F.col("strand")])
 
 
-def merge_replicate(visible: DataFrame, new: DataFrame, threshold: float = 0.1, widen: int = 5, compat: bool = False) -> DataFrame:
-    """(seq, pvalue, variants) of visible(vis_i, seq, pvalue, variants) that new(new_i, seq, pvalue) supports.
+def merge_replicate(visible: DataFrame, new: DataFrame, threshold: float = 0.1, widen: int = 5, compat: bool = False, traced: bool = False) -> DataFrame:
+    """(seq, pvalue, variants) of visible(vis_i, seq, pvalue, variants) that new(new_i, seq, pvalue) supports; traced: and vis_i and sources.
 
     The replicated sequence is the target's stretch that the query lies on,
     widened; the query is a variant if it differs. Several new peaks on one
     visible: the shortest stretch stays, the others become variants, p is the
-    largest.
+    largest. sources(side, i, start, end) are the peaks of either side that it
+    was merged from: ``vis`` or ``new``, by their number, and the stretch of each, ends
+    exclusive, that lies under the other.
     """
-    hit = best_partners(visible, new, threshold, compat).join(new.select("new_i", F.col("pvalue").alias("p_new")), "new_i")
+    hit = best_partners(visible, new, threshold, compat).join(new.select("new_i", F.col("pvalue").alias("p_new"), F.col("seq").alias("new_seq")), "new_i")
     first = F.greatest(F.col("start") - widen, F.lit(0))
     last = F.least(F.col("end") + widen, F.length("target"))
     hit = hit.withColumn("part", F.substring(F.col("target"), (first + 1).cast("int"), (last - first).cast("int"))).withColumn("variant", F.when(F.col("distance") > 0, F.col("query")))
+    # the visible one is the target: the query lies on a stretch of it; or it is the query, and lies whole on a stretch of the new one
+    held = F.length("query") == F.length("new_seq")
     rows = hit.groupBy("vis_i").agg(
         F.min_by("part", F.struct(F.length("part"), "part")).alias("seq"),
         F.collect_set("part").alias("parts"),
         F.array_compact(F.collect_set("variant")).alias("found"),
         F.max("p_new").alias("p_new"),
+        *([F.collect_set(_stretch("vis", "vis_i", held)).alias("of_vis"), F.collect_set(_stretch("new", "new_i", ~held)).alias("of_new")] if traced else []),
     )
     rows = rows.join(visible.select("vis_i", "pvalue", "variants"), "vis_i")
     others = F.array_remove(F.array_union(F.array_union("variants", "found"), F.col("parts")), F.col("seq"))
-    return rows.select("seq", F.greatest("pvalue", "p_new").alias("pvalue"), F.array_sort(others).alias("variants"))
+    of = [F.col("vis_i"), F.array_sort(F.array_union("of_vis", "of_new")).alias("sources")] if traced else []
+    return rows.select("seq", F.greatest("pvalue", "p_new").alias("pvalue"), F.array_sort(others).alias("variants"), *of)
+
+
+def _stretch(side: str, ident: str, is_target: Column) -> Column:
+    """One source of a merge: the whole query, or what it lies on in the target."""
+    whole = F.length("query").cast("bigint")
+    start, end = F.when(is_target, F.col("start")).otherwise(F.lit(0)), F.when(is_target, F.col("end") + 1).otherwise(whole)
+    return F.struct(F.lit(side).alias("side"), F.col(ident).alias("i"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
 
 
 def overview_rows(overview: DataFrame, alignments: DataFrame, row: str) -> DataFrame:
@@ -113,20 +126,36 @@ def reconcile(replicates: list[DataFrame], threshold: float = 0.1, widen: int =
 
 
 def tournament(replicates: list[DataFrame], threshold: float = 0.1, widen: int = 5) -> DataFrame:
-    """Like reconcile, but in pairs, level by level, longest peaks first; an odd one out waits for the next level.
+    """Like reconcile, but in pairs, level by level; an odd one out waits for the next level.
 
-    (peak_i, pvalue, seq, variants, replicates): the last are the numbers, from
-    0, of the replicates that a peak was merged from.
+    (peak_i, pvalue, seq, variants, sources): sources(replicate, peak, start,
+    end) are all peaks of the replicates, from 0, that a peak was merged from,
+    by their own sequence, each with its stretch under its partner in its own
+    first merge. They come from one list of merges, (level, result, side, peak),
+    that is followed upwards level by level.
     """
     none = F.array().cast("array<string>")
-    level = [(r.select("seq", "pvalue", none.alias("variants")), [i]) for i, r in enumerate(replicates)]
+    kind = "array<struct<replicate:int,peak:string,start:bigint,end:bigint>>"
+
+    def leaf(r: DataFrame, i: int) -> DataFrame:
+        own = F.struct(F.lit(i).cast("int").alias("replicate"), F.col("seq").alias("peak"), F.lit(0).cast("bigint").alias("start"), F.length("seq").cast("bigint").alias("end"))
+        return r.select("seq", "pvalue", none.alias("variants"), F.array(own).cast(kind).alias("sources"), F.lit(True).alias("fresh"))
+
+    level = [leaf(r, i) for i, r in enumerate(replicates)]
     while len(level) > 1:
         merged = []
-        for (a, of_a), (b, of_b) in zip(level[::2], level[1::2], strict=False):
-            vis = materialize(numbered(a, "vis_i").orderBy(F.length("seq").desc(), "seq"), "visible")
-            fresh = materialize(numbered(b.select("seq", "pvalue"), "new_i"), "fresh")
-            merged.append((materialize(merge_replicate(vis, fresh, threshold, widen), "replicated"), of_a + of_b))
+        for a, b in zip(level[::2], level[1::2], strict=False):
+            vis = materialize(numbered(a, "vis_i"), "visible")
+            new = materialize(numbered(b, "new_i"), "fresh")
+            made = materialize(merge_replicate(vis.select("vis_i", "seq", "pvalue", "variants"), new.select("new_i", "seq", "pvalue"), threshold, widen, traced=True), "replicated")
+            # up the list of merges: what either side was merged from
+            edges = made.select("seq", "pvalue", "variants", F.explode("sources").alias("x"))
+            edges = materialize(edges.select("seq", "pvalue", "variants", "x.side", "x.i", F.col("x.start").alias("s"), F.col("x.end").alias("e")), "merges")
+            sides = vis.select(F.lit("vis").alias("side"), F.col("vis_i").alias("i"), "sources", "fresh").unionByName(new.select(F.lit("new").alias("side"), F.col("new_i").alias("i"), "sources", "fresh"))
+            below = edges.join(sides, ["side", "i"]).select("seq", "pvalue", "variants", "s", "e", "fresh", F.explode("sources").alias("o"))
+            kept = lambda own, new_: F.when(F.col("fresh"), F.col(new_)).otherwise(F.col(own))
+            of = F.struct(F.col("o.replicate").alias("replicate"), F.col("o.peak").alias("peak"), kept("o.start", "s").alias("start"), kept("o.end", "e").alias("end"))
+            up = below.groupBy("seq", "pvalue", "variants").agg(F.array_sort(F.collect_set(of)).cast(kind).alias("sources"))
+            merged.append(materialize(up.withColumn("fresh", F.lit(False)), "level"))
         level = merged + ([level[-1]] if len(level) % 2 else [])
-    made, of = level[0]
-    rows = numbered(made, "peak_i").select("peak_i", "pvalue", "seq", "variants")
-    return rows.withColumn("replicates", F.array(*map(F.lit, of)))
+    return numbered(level[0], "peak_i").select("peak_i", "pvalue", "seq", "variants", "sources")

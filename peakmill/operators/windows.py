@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from peakmill.runtime import materialize
 
 
+#: Up to so many different values, of all keys together, are ranked in one window a key.
+ONE_WINDOW = 1 << 20
+
+
 def base_coverage(kmer_values: DataFrame, key: str, pos: str, values: list[str], k: int) -> DataFrame:
     """(key, pos, values): each base takes the largest value of the k-mers over it.
 
@@ -78,33 +82,38 @@ def average_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def u_statistic(rows: DataFrame, keys: list[str], first: str, value: str) -> DataFrame:
     """(keys, n1, n2, u, tie): Mann-Whitney U of the rows where the flag column holds against the others, and the tie factor.
 
-    Equal values are counted before they are ranked; ranks are counted within
-    ranges of values and carried on from the ranges before, so that a key with
-    most of the rows is many tasks' work. Null values rank first.
+    Equal values are counted before they are ranked. Up to ONE_WINDOW different
+    values are ranked in a window of each key; beyond that, within ranges of
+    values, and carried on from the ranges before, so that a key with most of
+    the rows is many tasks' work. Null values rank first.
     """
     spark = rows.sparkSession
     flag = F.coalesce(F.col(first).cast("boolean"), F.lit(False)).cast("bigint")
-    each = rows.groupBy(*keys, F.col(value).alias("value_")).agg(F.count("*").alias("n_"), F.sum(flag).alias("n1_"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(each.repartitionByRange(parts, *keys, "value_").withColumn("part_", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*keys, "part_").agg(F.sum("n_").alias("in_"))  # a row a key and range
-    base = sums.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], F.col("part_").alias("p_"), F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("base_"))
-    same = F.col("part_") == F.col("p_")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"k{i}_"))
-    lower = Window.partitionBy(*keys, "part_").orderBy("value_").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n_").over(lower), F.lit(0))
-    ranked = dealt.withColumn("below_", below).join(base, same).withColumn("rank_", F.col("base_") + F.col("below_") + (F.col("n_") + 1) / 2)
+    each = materialize(rows.groupBy(*keys, F.col(value).alias("value_")).agg(F.count("*").alias("n_"), F.sum(flag).alias("n1_")), "values")
+    if each.count() <= ONE_WINDOW:
+        upto = Window.partitionBy(*keys).orderBy("value_").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = each.withColumn("rank_", F.coalesce(F.sum("n_").over(upto), F.lit(0)) + (F.col("n_") + 1) / 2)
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = materialize(each.repartitionByRange(parts, *keys, "value_").withColumn("part_", F.spark_partition_id()), "ranges")
+        before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+        sums = dealt.groupBy(*keys, "part_").agg(F.sum("n_").alias("in_"))  # a row a key and range
+        base = sums.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], F.col("part_").alias("p_"), F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("base_"))
+        same = F.col("part_") == F.col("p_")
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"k{i}_"))
+        lower = Window.partitionBy(*keys, "part_").orderBy("value_").rowsBetween(Window.unboundedPreceding, -1)
+        below = F.coalesce(F.sum("n_").over(lower), F.lit(0))
+        ranked = dealt.withColumn("below_", below).join(base, same).withColumn("rank_", F.col("base_") + F.col("below_") + (F.col("n_") + 1) / 2)
     out = ranked.groupBy(*keys).agg(
         F.sum("n1_").alias("n1"),
         F.sum(F.col("n_") - F.col("n1_")).alias("n2"),
-        F.sum(F.col("rank_") * F.col("n1_")).alias("r"),
-        F.sum(F.col("n_") * (F.col("n_") * F.col("n_") - 1)).alias("t"),
+        F.sum(F.col("rank_") * F.col("n1_")).alias("r_"),
+        F.sum(F.col("n_") * (F.col("n_") * F.col("n_") - 1)).alias("t_"),
     )
     n = F.col("n1") + F.col("n2")
     return out.select(
-        *keys, "n1", "n2", (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), (1 - F.try_divide(F.col("t").cast("double"), n * n * n - n)).alias("tie")
+        *keys, "n1", "n2", (F.col("r_") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), (1 - F.try_divide(F.col("t_").cast("double"), n * n * n - n)).alias("tie")
     )
 
 

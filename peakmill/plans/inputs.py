@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakmill.runtime import table
+from peakmill.runtime import spread, table
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGT" * 13
@@ -43,7 +43,7 @@ CORRECTED_SQL = corrected_sql(K)
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, arm, replicate, seq)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     seq = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]", ""), LETTERS, BASES)
     return docs.select(
         F.col("doc_id").alias("read_id"),

@@ -152,9 +152,10 @@ def kmer_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "missing_neighbours",
-    f"""WITH {KMERS_SQL}, p AS MATERIALIZED (SELECT DISTINCT kmer FROM t), b(b) AS (VALUES ('A'), ('C'), ('G'), ('T')),
-    n AS (SELECT substr(kmer, 2) || b AS kmer FROM p, b UNION SELECT b || substr(kmer, 1, {K} - 1) FROM p, b)
-    SELECT kmer FROM n ANTI JOIN p USING (kmer)""",
+    f"""WITH {KMERS_SQL},
+    p AS MATERIALIZED (SELECT DISTINCT {" + ".join(f"(strpos('ACGT', substr(kmer, {i + 1}, 1)) - 1) * {4 ** (K - 1 - i)}" for i in range(K))} AS code FROM t),
+    n AS (SELECT (code * 4 + b) % {4 ** K} AS code FROM p, range(0, 4) r(b) UNION SELECT code // 4 + b * {4 ** (K - 1)} FROM p, range(0, 4) r(b))
+    SELECT {" || ".join(f"substr('ACGT', CAST(code // {4 ** (K - 1 - i)} % 4 + 1 AS BIGINT), 1)" for i in range(K))} AS kmer FROM n ANTI JOIN p USING (code)""",
 )
 def missing_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = reads(spark, sf_dir).where("arm = 'treatment'")

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peakmill.functions import normal
 from peakmill.functions import sequence as S
 from peakmill.functions.alignment import Scoring, banded_local
-from peakmill.operators import assembly, bubbles, counts, graph, mapping, peaks, strong, windows
+from peakmill.operators import assembly, bubbles, counts, graph, mapping, peaks, replicates, strong, windows
 from peakmill.plans.inputs import BASES, LETTERS, READS_SQL, arm, corrected_sql, kmers_sql, reads
 from peakmill.plans.registry import graph_of, passages, query, summed
 from peakmill.runtime import materialize, table
@@ -293,3 +294,74 @@ def gapped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = distinct_passages(spark, sf_dir)
     found = mapping.gapped_hits(p.select(F.col("seq").alias("query")), reads(spark, sf_dir).select(F.col("read_id").alias("profile_id"), "seq"), LONG // 2)
     return windows.best_per_key(found, ["query"], [F.desc("bitscore"), F.col("target"), F.col("sstart")])
+
+
+# -- tests by segment, and replicates --
+def _p_sql(u: str, n1: str, n2: str, tie: str) -> str:
+    """Upper tail by the error function's series in logarithms; DuckDB has no error function."""
+    z = f"(({u} - {n1}::DOUBLE * {n2} / 2 - 0.5) / sqrt({tie} * {n1}::DOUBLE * {n2} * ({n1} + {n2} + 1) / 12) / sqrt(2.0))"
+    series = "list_sum(list_transform(range(0, 300), lambda i: exp(i * ln(4 * y * y) + lgamma(i + 1) - lgamma(2 * i + 2))))"
+    return f"(SELECT CASE WHEN y > 6 THEN 0 WHEN y < -6 THEN 1 WHEN y = 0 THEN 0.5 ELSE 0.5 * (1 - 2 / sqrt(pi()) * y * exp(-y * y) * {series}) END FROM (SELECT {z} AS y))"
+
+
+_TESTED = """s AS (SELECT event_type, user_id // 50 * 50 AS lo, user_id % 4 AS sample, value FROM events),
+x AS (SELECT event_type, lo, t, c, sample = t AS f, value FROM s JOIN (VALUES (0, 2), (0, 3), (1, 2), (1, 3)) p(t, c) ON sample = t OR sample = c),
+r AS (SELECT *, rank() OVER (PARTITION BY event_type, lo, t, c ORDER BY value) + (count(*) OVER (PARTITION BY event_type, lo, t, c, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY event_type, lo, t, c, value) AS ties FROM x),
+a AS (SELECT event_type, lo, t, c, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, coalesce(sum(rk) FILTER (f), 0) AS r, sum(ties * ties - 1) AS q FROM r GROUP BY ALL),
+u AS (SELECT event_type, lo, t, c, n1, n2, r - n1 * (n1 + 1) / 2.0 AS u, 1 - CAST(q AS DOUBLE) / (CAST(n1 + n2 AS DOUBLE) ** 3 - (n1 + n2)) AS tie FROM a)"""
+
+
+def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples of profiles: types, users as places, four samples of which two are treated."""
+    sample = F.col("user_id") % 4
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("profile_id"), F.col("user_id").alias("pos"), sample.alias("sample"), (sample < 2).alias("treated"), "value")
+
+
+@query("rank_test_pvalues", f"WITH {_TESTED} SELECT event_type, lo, t, c, round({_p_sql('u', 'n1', 'n2', 'tie')}, 9) AS p FROM u WHERE n1 > 0 AND n2 > 0 AND tie > 0")
+def rank_test_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One test for each type, stretch of users and pair of samples."""
+    s = event_samples(spark, sf_dir).withColumn("lo", F.floor(F.col("pos") / 50) * 50)
+    pairs = spark.createDataFrame([(t, c) for t in (0, 1) for c in (2, 3)], "t bigint, c bigint")
+    rows = s.join(F.broadcast(pairs), (F.col("sample") == F.col("t")) | (F.col("sample") == F.col("c")))
+    tests = windows.u_statistic(rows, ["profile_id", "lo", "t", "c"], "treated", "value").where("n1 > 0 and n2 > 0 and tie > 0")
+    p = normal.rank_test_p(F.col("u"), F.col("n1"), F.col("n2"), F.col("tie"))
+    return tests.select(F.col("profile_id").alias("event_type"), F.col("lo").cast("bigint").alias("lo"), "t", "c", F.round(p, 9).alias("p"))
+
+
+@query(
+    "tested_segments",
+    f"""WITH {_TESTED}, p AS (SELECT event_type, lo, CASE WHEN n1 > 0 AND n2 > 0 AND tie > 0 THEN {_p_sql('u', 'n1', 'n2', 'tie')} ELSE 1 END AS p FROM u),
+    m AS (SELECT event_type, lo FROM s WHERE sample < 2 GROUP BY ALL HAVING median(value) >= 10)
+    SELECT event_type, lo, round(max(p) FILTER (p <= 0.4 / 2), 9) AS pvalue FROM p SEMI JOIN m USING (event_type, lo) GROUP BY ALL HAVING count(*) FILTER (p <= 0.4 / 2) >= 0.5 * count(*)""",
+)
+def tested_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches in which half of the pairs of samples pass."""
+    s = event_samples(spark, sf_dir)
+    stretches = s.select("profile_id", (F.floor(F.col("pos") / 50) * 50).cast("bigint").alias("start")).distinct().withColumn("end", F.col("start") + 50)
+    found = peaks.tested_segments(stretches, s, 0.4, 2)
+    return found.select(F.col("profile_id").alias("event_type"), F.col("start").alias("lo"), F.round("pvalue", 9).alias("pvalue"))
+
+
+def passage_peaks(spark: SparkSession, sf_dir: str, cut: int) -> DataFrame:
+    """Passages as peaks, with as many letters cut off at either end."""
+    return distinct_passages(spark, sf_dir).select(F.expr(f"substr(seq, {cut + 1}, length(seq) - {2 * cut})").alias("seq"), (0.01 + cut / 1000 + F.col("item_id") % 3 / 1000).alias("pvalue"))
+
+
+@query("replicate_passages", f"WITH {_P} SELECT substr(seq, 1, length(seq) - 1) AS seq, round(0.015 + item_id % 3 / 1000, 6) AS pvalue, '' AS variants FROM u")
+def replicate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicates' peaks: the passages, and what is left of them without five letters at either end."""
+    made = replicates.reconcile([passage_peaks(spark, sf_dir, 0), passage_peaks(spark, sf_dir, 5)])
+    return made.select("seq", F.round("pvalue", 6).alias("pvalue"), F.array_join("variants", ",").alias("variants"))
+
+
+@query(
+    "merged_sources",
+    f"""WITH {_P}, l AS (SELECT *, CAST(length(seq) AS BIGINT) AS n FROM u), x AS (
+      SELECT item_id, 0 AS replicate, seq AS peak, CAST(5 AS BIGINT) AS "start", n - 5 AS "end" FROM l UNION ALL SELECT item_id, 1, substr(seq, 6, n - 10), 0, n - 10 FROM l
+      UNION ALL SELECT item_id, 2, substr(seq, 9, n - 16), 0, n - 16 FROM l)
+    SELECT substr(u.seq, 4, length(u.seq) - 7) AS seq, replicate, peak, "start", "end" FROM x JOIN u USING (item_id)""",
+)
+def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three replicates' peaks merged in pairs: all peaks that each result came from, and where they lay under their partner."""
+    made = replicates.tournament([passage_peaks(spark, sf_dir, c) for c in (0, 5, 8)])
+    return made.select("seq", F.explode("sources").alias("x")).select("seq", "x.replicate", "x.peak", "x.start", "x.end")

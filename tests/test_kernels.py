@@ -82,3 +82,25 @@ def test_complete_linkage():
     d = np.abs(np.subtract.outer([0, 1, 10, 11, 12.0], [0, 1, 10, 11, 12.0]))
     labels = N.complete_linkage(d, 2.5)
     assert labels[0] == labels[1] != labels[2] == labels[3] == labels[4]
+
+
+def test_error_function_and_p_as_columns(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from peakmill.functions.normal import erfc, rank_test_p
+
+    xs = [x / 50 for x in range(-600, 600)]
+    for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("y")).collect():
+        assert math.isclose(r.y, math.erfc(r.x), rel_tol=1e-11, abs_tol=1e-300)
+    rng = random.Random(2)
+    from peakmill.functions.kernels import mann_whitney_greater
+    from peakmill.operators import windows
+
+    rows = [(g, rng.random() < 0.4, float(rng.randint(0, 9 * g + 1))) for g in range(6) for _ in range(60)]
+    tests = windows.u_statistic(spark.createDataFrame(rows, "g int, f boolean, v double"), ["g"], "f", "v")
+    for r in tests.withColumn("p", rank_test_p(F.col("u"), F.col("n1"), F.col("n2"), F.col("tie"))).collect():
+        u, p = mann_whitney_greater([v for g, f, v in rows if g == r.g and f], [v for g, f, v in rows if g == r.g and not f])
+        assert (r.u, round(r.p, 12)) == (u, round(p, 12))

@@ -230,7 +230,9 @@ def test_approximate_hits_against_brute_force(spark):
     assert got == want and len(want) > 80
 
 
-def test_u_statistic_of_odd_rows(spark):
+@pytest.mark.parametrize("one_window", [1 << 20, 0])
+def test_u_statistic_of_odd_rows(spark, monkeypatch, one_window):
+    monkeypatch.setattr(windows, "ONE_WINDOW", one_window)
     rng = random.Random(4)
     data = [(rng.choice([None, "a", "b"]), rng.random() < 0.4, rng.choice([None, 1.0, 2.0, float(rng.randint(0, 40))])) for _ in range(400)] + [("alone", True, 1.0)]
     got = {r.k: r for r in windows.u_statistic(spark.createDataFrame(data, "k string, f boolean, v double"), ["k"], "f", "v").collect()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 from peakmill.plans import planted, registry, whole  # noqa: F401  (they register their queries)
+from peakmill.plans.inputs import corrected_sql
+from tests.planted import FIXTURES
 
 
 def normal(df):
@@ -40,21 +42,33 @@ def test_entry_imports_without_the_corpus_parts():
 
 
 def test_graph_and_lookups_cover_all_corrected_kmers(spark, small, oracle, monkeypatch):
-    """The graph holds every k-mer of summed count 3 and above; all others are looked up, none is both."""
-    rows = oracle.sql(f"WITH {registry.CORRECTED_SQL} SELECT kmer, sum(cnt) AS cnt FROM corrected WHERE cnt > 0 GROUP BY kmer").fetchall()
-    assert any(3 <= c < 10 for _, c in rows)
+    """The graph holds every k-mer of the minimal summed count; all others are looked up, none is both."""
+    rows = oracle.sql(f"WITH {corrected_sql(whole.LONG)} SELECT kmer, sum(cnt) AS cnt FROM corrected WHERE cnt > 0 GROUP BY kmer").fetchall()
     turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    vertices, _ = registry._graph_of(spark, small)
+    vertices, _ = whole.long_graph(spark, small)
     seqs = [r["seq"] for r in vertices.select("seq").collect()]
-    held = {s[i : i + registry.K] for t in seqs for s in (t, turned(t)) for i in range(len(s) - registry.K + 1)}
-    high = {k for k, c in rows if c >= 3}
+    held = {s[i : i + whole.LONG] for t in seqs for s in (t, turned(t)) for i in range(len(s) - whole.LONG + 1)}
+    high = {k for k, c in rows if c >= whole.LEAST}
     assert held == high | {turned(k) for k in high}
 
     seen = {}
     # the profiles don't matter here
-    none = spark.createDataFrame([], "comp_id bigint, profile_id bigint, seq string, base_counts array<bigint>")
-    monkeypatch.setattr(registry, "exact_profiles", lambda *_: none)
-    real = registry.mapping.approximate_hits
-    monkeypatch.setattr(registry.mapping, "approximate_hits", lambda q, *a: seen.update({r["query"]: r["cnt"] for r in q.collect()}) or real(q, *a))
+    none = spark.createDataFrame([], "profile_id bigint, seq string, base_counts array<bigint>")
+    monkeypatch.setattr(whole, "profiles_of", lambda *_: none)
+    real = whole.mapping.gapped_hits
+    monkeypatch.setattr(whole.mapping, "gapped_hits", lambda q, *a: seen.update({r["query"]: r["cnt"] for r in q.collect()}) or real(q, *a))
     registry.QUERIES["approximate_hits"](spark, small)
-    assert seen == {k: c for k, c in rows if c < 3}
+    assert seen == {k: c for k, c in rows if c < whole.LEAST}
+
+
+@pytest.mark.parametrize("name", ["cycles", "exact_profiles", "approximate_hits", "position_vectors", "called_peaks", "bubbles", "gapped_hits"])
+def test_graph_queries_end(spark, small, name):
+    registry.QUERIES[name](spark, small).count()
+
+
+@pytest.mark.parametrize("name", sorted(FIXTURES))
+def test_planted(spark, small, oracle, name):
+    f, sql = FIXTURES[name]
+    got, want = normal(f(spark, small).toPandas()), normal(oracle.sql(sql).df())
+    assert list(got.columns) == list(want.columns)
+    assert got.equals(want)
