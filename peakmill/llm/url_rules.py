@@ -7,7 +7,9 @@ becomes a rule if its support and confidence suffice and no part of it is as
 confident. Rules match by an inverted index: each stands under its rarest
 token, URLs look their tokens up, and the rule's other tokens are checked.
 
-Mining and matching run over distinct URLs, so repeated pages weigh once.
+Mining and matching run over distinct URLs, so repeated pages weigh once. Tokens
+that stand in the very same labelled URLs are mined as one, and a rule on it is
+one on each of them.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and only the token ``none``; it is allowed unless a rule says otherwise. Labels
@@ -90,16 +92,21 @@ def mine(
     of bad ones, or if a rule on fewer of its tokens is as confident.
     """
     spark = labels.sparkSession
-    seen = labels.where("url is not null and bad is not null").groupBy("url").agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    items = materialize(
-        seen.select(F.concat(tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"), "bad"),
-        "baskets",
+    seen = materialize(
+        labels.where("url is not null and bad is not null").groupBy("url").agg(F.max(F.col("bad").cast("int")).alias("bad")), "labelled"
     )
-    n, bad = items.agg(F.count("bad"), F.coalesce(F.sum("bad"), F.lit(0))).collect()[0]
+    n, bad = seen.agg(F.count("bad"), F.coalesce(F.sum("bad"), F.lit(0))).collect()[0]
     schema = "rule string, antecedent array<string>, support double, confidence double, key string"
     if not n or not bad:
         return spark.createDataFrame([], schema)
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=1.0).fit(items).freqItemsets
+    support = min(1.0, max(min_support, min_count / n))
+    known = materialize(token_classes(seen, int(support * n)), "classes")
+    # baskets of classes, by their first tokens; every labelled URL has one, as supports are shares of all
+    held = seen.select("url", F.explode(tokens(F.col("url"))).alias("rep")).join(known.select("rep"), "rep").groupBy("url").agg(F.collect_list("rep").alias("reps"))
+    none = F.array().cast("array<string>")
+    mark = F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(none)
+    items = materialize(seen.join(held, "url", "left").select(F.concat(F.coalesce("reps", none), mark).alias("items"), "bad"), "baskets")
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(items).freqItemsets
     sets = materialize(found.select(F.sort_array("items").alias("items"), "freq"), "itemsets")
     hit = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("both"))
     conf = F.col("both") / F.col("freq")
@@ -114,10 +121,28 @@ def mine(
     )
     redundant = smaller.join(rules.select("rule", "confidence"), "rule").where("confidence >= own").select(F.col("larger").alias("rule")).distinct()
     rules = rules.join(redundant, "rule", "left_anti")
+    # any token of a class stands for it: one rule for each choice
+    members = rules.select("rule", F.explode("items").alias("rep")).join(known, "rep").groupBy("rule").agg(F.collect_list("members").alias("members"))
+    grow = lambda sofar, more: F.flatten(F.transform(sofar, lambda x: F.transform(more, lambda m: F.array_append(x, m))))
+    choices = F.aggregate("members", F.array(none), grow)
+    each = rules.join(members, "rule").select("support", "confidence", F.explode(choices).alias("antecedent")).select(F.sort_array("antecedent").alias("antecedent"), "support", "confidence")
+    named = materialize(each.withColumn("rule", F.array_join("antecedent", " ")), "rules")
     # the rarest token of a rule is its place in the index
-    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("key"), F.col("freq").alias("n"))
-    placed = rules.select("rule", F.explode("items").alias("key")).join(single, "key").groupBy("rule").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
-    return rules.join(placed, "rule").select("rule", F.col("items").alias("antecedent"), "support", "confidence", "key")
+    single = known.select(F.explode("members").alias("key"), "n")
+    placed = named.select("rule", F.explode("antecedent").alias("key")).join(single, "key").groupBy("rule").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+    return named.join(placed, "rule").select("rule", "antecedent", "support", "confidence", "key")
+
+
+def token_classes(urls: DataFrame, least: int) -> DataFrame:
+    """(rep, members, n): tokens of the distinct urls(url) that stand in the very same ones, and in ``least`` of them or more.
+
+    Such tokens are one item to the miner, or a long path that many URLs share
+    would make as many itemsets as it has subsets. Sets of URLs are told apart
+    by their number and 128 bits.
+    """
+    each = urls.select(F.xxhash64("url").alias("a"), F.xxhash64("url", F.lit(1)).alias("b"), F.explode(tokens(F.col("url"))).alias("token"))
+    of = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).where(F.col("n") >= least)
+    return of.groupBy("n", "a", "b").agg(F.min("token").alias("rep"), F.sort_array(F.collect_list("token")).alias("members")).select("rep", "members", "n")
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -304,6 +304,15 @@ def test_mined_rules_against_brute_force(spark):
             assert want[tuple(r.mined_rule.split(" "))] == max(want[c] for c in fits)
 
 
+def test_shared_template_of_many_segments(spark):
+    """Thirty segments that all bad URLs share are thirty rules, not 2**30 itemsets."""
+    template = "/".join(f"part-{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(30))
+    rows = [(f"http://h{'abc'[i % 3]}.org/{template}/{'q' * (i + 1)}", 1) for i in range(40)] + [(f"http://h{'abc'[i % 3]}.org/other/{'q' * (i + 1)}", 0) for i in range(60)]
+    got = url_rules.mine(spark.createDataFrame(rows, "url string, bad int")).collect()
+    assert {tuple(r.antecedent) for r in got} >= {(f"segment=part-{chr(97 + i % 26)}{'x' * (i // 26)}",) for i in range(30)}
+    assert all(len(r.antecedent) == 1 and r.confidence == 1 for r in got if "part-" in r.rule)
+
+
 def test_long_and_odd_urls(spark):
     urls = ["http://x.org/" + "a/" * 50_000, "http://" + "s-" * 20_000 + ".com/p?" + "q&" * 20_000, "://", "http://", "http://-.-/", "a" * 100_000, ""]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, None])], "page_id long, url string")
