@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakmill.functions.sequence import clamp_difference, fraction, half_even, pack, kmer_digits, reverse_complement, unpack
+from peakmill.operators.windows import exact_quantile
 
 
 def explode_codes(reads: DataFrame, k: int, *keys: str | Column, both_strands: bool = False) -> DataFrame:
@@ -107,7 +108,7 @@ def present_kmers(low: DataFrame, high: DataFrame) -> DataFrame:
 
 def minimal_abundance(unitigs: DataFrame, percentile: float = 95.0, *keys: str) -> DataFrame:
     """(keys, min_abundance): the mean abundances' percentile, interpolated, rounded up."""
-    return unitigs.groupBy(*keys).agg(F.ceil(F.percentile("km", F.lit(percentile / 100))).cast("bigint").alias("min_abundance"))
+    return exact_quantile(unitigs, list(keys), "km", percentile / 100).select(*keys, F.ceil("quantile").cast("bigint").alias("min_abundance"))
 
 
 def outer_counts(treat: DataFrame, ctrl: DataFrame, on: list[str]) -> DataFrame:

@@ -79,32 +79,36 @@ def average_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.withColumn("ties", ties).withColumn("rank", F.rank().over(w) + (F.col("ties") - 1) / 2)
 
 
-def u_statistic(rows: DataFrame, keys: list[str], first: str, value: str) -> DataFrame:
-    """(keys, n1, n2, u, tie): Mann-Whitney U of the rows where the flag column holds against the others, and the tie factor.
+def counted_in_order(rows: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
+    """(keys, value_, n_, more, below_): each key's different values, how often they come, and how many of the key's rows are less.
 
-    Equal values are counted before they are ranked. Up to ONE_WINDOW different
-    values are ranked in a window of each key; beyond that, within ranges of
-    values, and carried on from the ranges before, so that a key with most of
-    the rows is many tasks' work. Null values rank first.
+    Up to ONE_WINDOW different values of all keys are summed in a window of each
+    key; beyond that, within ranges of values, and carried on from the ranges
+    before, so that a key with most of the rows is many tasks' work. Null values
+    come first.
     """
     spark = rows.sparkSession
-    flag = F.coalesce(F.col(first).cast("boolean"), F.lit(False)).cast("bigint")
-    each = materialize(rows.groupBy(*keys, F.col(value).alias("value_")).agg(F.count("*").alias("n_"), F.sum(flag).alias("n1_")), "values")
+    each = materialize(rows.groupBy(*keys, F.col(value).alias("value_")).agg(F.count("*").alias("n_"), *more), "values")
     if each.count() <= ONE_WINDOW:
         upto = Window.partitionBy(*keys).orderBy("value_").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = each.withColumn("rank_", F.coalesce(F.sum("n_").over(upto), F.lit(0)) + (F.col("n_") + 1) / 2)
-    else:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = materialize(each.repartitionByRange(parts, *keys, "value_").withColumn("part_", F.spark_partition_id()), "ranges")
-        before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-        sums = dealt.groupBy(*keys, "part_").agg(F.sum("n_").alias("in_"))  # a row a key and range
-        base = sums.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], F.col("part_").alias("p_"), F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("base_"))
-        same = F.col("part_") == F.col("p_")
-        for i, k in enumerate(keys):
-            same &= F.col(k).eqNullSafe(F.col(f"k{i}_"))
-        lower = Window.partitionBy(*keys, "part_").orderBy("value_").rowsBetween(Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum("n_").over(lower), F.lit(0))
-        ranked = dealt.withColumn("below_", below).join(base, same).withColumn("rank_", F.col("base_") + F.col("below_") + (F.col("n_") + 1) / 2)
+        return each.withColumn("below_", F.coalesce(F.sum("n_").over(upto), F.lit(0)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(each.repartitionByRange(parts, *keys, "value_").withColumn("part_", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "part_").agg(F.sum("n_").alias("in_"))  # a row a key and range
+    base = sums.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], F.col("part_").alias("p_"), F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("base_"))
+    same = F.col("part_") == F.col("p_")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"k{i}_"))
+    lower = Window.partitionBy(*keys, "part_").orderBy("value_").rowsBetween(Window.unboundedPreceding, -1)
+    near = dealt.withColumn("within_", F.coalesce(F.sum("n_").over(lower), F.lit(0)))
+    return near.join(base, same).withColumn("below_", F.col("base_") + F.col("within_")).select(*each.columns, "below_")
+
+
+def u_statistic(rows: DataFrame, keys: list[str], first: str, value: str) -> DataFrame:
+    """(keys, n1, n2, u, tie): Mann-Whitney U of the rows where the flag column holds against the others, and the tie factor. Null values rank first."""
+    flag = F.coalesce(F.col(first).cast("boolean"), F.lit(False)).cast("bigint")
+    ranked = counted_in_order(rows, keys, value, F.sum(flag).alias("n1_")).withColumn("rank_", F.col("below_") + (F.col("n_") + 1) / 2)
     out = ranked.groupBy(*keys).agg(
         F.sum("n1_").alias("n1"),
         F.sum(F.col("n_") - F.col("n1_")).alias("n2"),
@@ -117,9 +121,25 @@ def u_statistic(rows: DataFrame, keys: list[str], first: str, value: str) -> Dat
     )
 
 
+def exact_quantile(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """(keys, quantile): the value at that share of each key's rows in order, interpolated; nulls are left out, a key of nulls only goes.
+
+    Found by counts, so no task holds a key's values.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v_"))
+    ordered = counted_in_order(known, keys, "v_")
+    total = ordered.groupBy(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)]).agg(F.sum("n_").alias("all_"))
+    same = [F.col(k).eqNullSafe(F.col(f"k{i}_")) for i, k in enumerate(keys)]
+    place = (F.col("all_") - 1) * F.lit(share)
+    both = ordered.join(total, same) if keys else ordered.crossJoin(F.broadcast(total))  # one row
+    at = lambda p: F.max(F.when((F.col("below_") <= p) & (p < F.col("below_") + F.col("n_")), F.col("value_")))
+    found = both.groupBy(*keys).agg(at(F.floor(place)).alias("lo_"), at(F.ceil(place)).alias("hi_"), F.first(place - F.floor(place)).alias("part_"))
+    return found.where("lo_ is not null").select(*keys, (F.col("lo_") + (F.col("hi_") - F.col("lo_")) * F.col("part_")).alias("quantile"))
+
+
 def median_gate(rows: DataFrame, keys: list[str], value: str, least: float) -> DataFrame:
     """(keys, median) of the keys whose median value is least or more."""
-    return rows.groupBy(*keys).agg(F.median(value).alias("median")).where(F.col("median") >= least)
+    return exact_quantile(rows, keys, value, 0.5).withColumnRenamed("quantile", "median").where(F.col("median") >= least)
 
 
 def significant(tests: DataFrame, keys: list[str], p: str, alpha: float, replicates: int = 1, share: float = 0.5) -> DataFrame:

@@ -24,7 +24,8 @@ def least_abundance(raw: DataFrame, k: int, percentile: float) -> int:
     """The percentile of the mean abundances of the unitigs of all k-mers that occur twice, either strand counted."""
     vertices, _ = graph.unitigs(raw.where("cnt >= 2").select("kmer"))
     linked = graph.linked_counts(vertices.where("vid > 0").select("vid", "seq"), both_strands(raw), k)
-    return counts.minimal_abundance(linked.select("km"), percentile).collect()[0][0] or 1
+    found = counts.minimal_abundance(linked.select("km"), percentile).collect()  # one row, or none of an empty graph
+    return found[0][0] if found else 1
 
 
 def graph_and_counts(treat: DataFrame, ctrl: DataFrame, config: Config) -> tuple[int, DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -305,3 +305,21 @@ def test_planted_region_is_found(spark):
     for r in got:
         at = max(genome.find(r.seq), genome.find(r.seq.translate(TURN)[::-1]))
         assert 780 <= at and at + len(r.seq) <= 970
+
+
+@pytest.mark.parametrize("one_window", [1 << 20, 0])
+def test_exact_quantile(spark, monkeypatch, one_window):
+    import numpy as np
+
+    monkeypatch.setattr(windows, "ONE_WINDOW", one_window)
+    rng = random.Random(7)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(9))])) for _ in range(300)] + [("one", 4.5), ("null", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    for share in (0.0, 0.37, 0.5, 0.95, 1.0):
+        got = {r.k: r.quantile for r in windows.exact_quantile(df, ["k"], "v", share).collect()}
+        by = {k: [v for q, v in data if q == k and v is not None] for k, _ in data}
+        want = {str(k): float(np.quantile(v, share)) for k, v in by.items() if v}
+        assert {str(k): v for k, v in got.items()} == pytest.approx(want)
+        every = [v for _, v in data if v is not None]
+        assert windows.exact_quantile(df, [], "v", share).collect()[0].quantile == pytest.approx(float(np.quantile(every, share)))
+    assert windows.exact_quantile(df.limit(0), [], "v", 0.5).count() == 0
