@@ -33,7 +33,7 @@ from peakmill.llm.words import Texts, U, chain, mix
 from peakmill.runtime import materialize
 
 #: Bytes of text that are one shard, about.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: The filter has at most so many bits (as a power of two); a fuller one lets more through.
 MOST_BITS = 26
 PAIR = 2
