@@ -15,6 +15,7 @@ class Config:
     control_scale: float = 0.99
     min_abundance_mapping: int = 10
     identity: float = 90.0
+    expect: float = 1e-6
     max_bubble: int | None = None
     states: int = 5
     pvalue: float = 0.1

@@ -66,7 +66,8 @@ def replicate_peaks(treat: DataFrame, ctrl: DataFrame, config: Config, alpha: fl
     profiles = materialize(profiles.select("profile_id", "seq", "base_counts"), "profiles")
     if config.store_low:
         queries = materialize(low.where(F.col("cnt") >= config.min_abundance_mapping).select(F.col("kmer").alias("query"), "cnt"), "queries")
-        hits = mapping.best_hits(mapping.approximate_hits(queries, profiles, k, config.identity), "target", "sstart")
+        found = mapping.gapped_hits(queries, profiles, max(1, k // 3), config.identity, config.expect)
+        hits = mapping.best_hits(mapping.passing_hits(found, k, config.identity), "target", "sstart")
         profiles = materialize(mapping.add_hits(profiles, hits, queries, k), "profiles")
     profiles = peaks.long_enough(profiles, k, config.filtering_fraction)
     side = lambda c: arms.select("kmer", F.col(c).alias("cnt"))

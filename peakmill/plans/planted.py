@@ -361,12 +361,13 @@ def expanded_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "path_spelling",
-    f"WITH p AS (SELECT {_BENCH} AS seq, item_id FROM benchmark) SELECT item_id, substr(seq, 1, 40) AS seq FROM p",
+    f"WITH p AS (SELECT {_BENCH} AS seq, item_id FROM benchmark) SELECT item_id, seq FROM p",
 )
 def path_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages cut into parts that overlap by seven letters, and put together again."""
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(33), F.length("seq") - 7)), F.lit(8)), lambda i: F.substring(F.substring("seq", 1, 40), i, F.lit(15)))
-    return passages(spark, sf_dir).select("item_id", F.substring(S.overlap_join(parts, 8), 1, 40).alias("seq"))
+    """Whole passages cut into parts that overlap by seven letters, and put together again."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq") - 7), F.lit(8))
+    parts = F.transform(starts, lambda i: F.substring("seq", i, F.lit(15)))
+    return passages(spark, sf_dir).select("item_id", S.overlap_join(parts, 8).alias("seq"))
 
 
 @query("hashed_names", "SELECT s_suppkey, substr(sha256(s_name || '|' || s_nationkey), 1, 8) AS name FROM supplier")

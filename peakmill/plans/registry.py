@@ -11,7 +11,7 @@ from peakmill.functions import sequence as S
 from peakmill.operators import counts, graph, mapping, peaks, replicates, windows
 from peakmill.operators.components import components
 from peakmill.plans.inputs import BASES, CORRECTED_SQL, K, KMERS_SQL, LETTERS, READS_SQL, arm, reads
-from peakmill.runtime import materialize, table
+from peakmill.runtime import materialize, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -401,7 +401,7 @@ def proportional_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exact_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("seq"))
-    targets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target_id"), F.col("text").alias("seq"))
+    targets = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target_id"), F.col("text").alias("seq")))
     return mapping.containment(patterns, targets).groupBy("pattern_id", "target_id").agg(F.count("start").alias("places"))
 
 
@@ -626,5 +626,5 @@ def gapped_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def first_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("seq"))
-    targets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target_id"), F.col("text").alias("seq"))
+    targets = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target_id"), F.col("text").alias("seq")))
     return mapping.first_containment(patterns, targets).select("target_id", "pattern_id", F.col("start").cast("bigint").alias("start"))
