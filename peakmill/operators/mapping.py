@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from peakmill.functions.alignment import Scoring, banded_local
+from peakmill.functions.distances import infix_distances, near_pairs, sparse_linkage
 from peakmill.functions.frames import frame
-from peakmill.functions.kernels import complete_linkage, global_alignment, infix_distance
-from peakmill.functions.sequence import hit_offsets, kmers
+from peakmill.functions.kernels import global_alignment
+from peakmill.functions.sequence import hamming, hit_offsets, kmers
+from peakmill.operators.components import components
 from peakmill.operators.windows import best_per_key
+from peakmill.runtime import materialize
 
 
 #: Letters by which a sequence is looked up before it is compared.
@@ -54,27 +60,43 @@ def map_longest_first(sequences: list[tuple[str, int]], compat: bool = False) ->
     place takes the whole count, several share it in proportion to their mean
     coverage, half-even, in descending weight; the last share takes what is
     left. compat: what rounding leaves over is lost if the last share is less.
-    Sequences without a place become profiles after their round.
+    Sequences without a place become profiles after their round. One automaton
+    of all shorter sequences finds the places of every length while it reads a
+    profile once, when that is made. Sequences without letters lie nowhere and
+    become profiles last.
     """
     by: dict[int, list[tuple[str, int]]] = {}
     for s, c in sequences:
         by.setdefault(len(s), []).append((s, c))
+    sizes = sorted(by, reverse=True)
+    shorter = ahocorasick.Automaton()
+    for size in sizes[1:]:
+        for s, _ in by[size]:
+            if s:
+                shorter.add_word(s, s)
+    if len(shorter):
+        shorter.make_automaton()
     profiles: list[tuple[str, list[int]]] = []
-    for nth, size in enumerate(sorted(by, reverse=True)):
+    places: dict[str, list[tuple[int, int]]] = {}
+
+    def make(rows: list[tuple[str, int]]) -> None:
+        for seq, c in sorted(rows):
+            if len(shorter):
+                for end, s in shorter.iter(seq):
+                    if len(s) < len(seq):
+                        places.setdefault(s, []).append((len(profiles), end + 1 - len(s)))
+            profiles.append((seq, [c] * len(seq)))
+
+    for nth, size in enumerate(sizes):
         if not nth:
-            profiles = [(s, [c] * size) for s, c in sorted(by[size])]
+            make(by[size])
             continue
         wanted: dict[str, int] = {}
         for s, c in by[size]:
             wanted[s] = wanted.get(s, 0) + c
-        places: dict[str, list[tuple[int, int]]] = {}
-        for p, (seq, _) in enumerate(profiles):
-            for at in range(len(seq) - size + 1):
-                if (gram := seq[at : at + size]) in wanted:
-                    places.setdefault(gram, []).append((p, at))
-        for s in sorted(places):
+        for s in sorted(wanted.keys() & places.keys()):
             count = wanted.pop(s)
-            found = [(sum(profiles[p][1][at : at + size]) / size, p, at) for p, at in places[s]]
+            found = [(sum(profiles[p][1][at : at + size]) / size, p, at) for p, at in places.pop(s)]
             found.sort(key=lambda x: -x[0])
             total, left = sum(w for w, _, _ in found), count
             for i, (w, p, at) in enumerate(found):
@@ -85,7 +107,7 @@ def map_longest_first(sequences: list[tuple[str, int]], compat: bool = False) ->
                 left -= share
                 for x in range(at, at + size):
                     profiles[p][1][x] += share
-        profiles += [(s, [c] * size) for s, c in sorted(wanted.items())]
+        make(list(wanted.items()))
     return profiles
 
 
@@ -271,13 +293,11 @@ def nearest_profiles(queries: DataFrame, profiles: DataFrame, bound: int) -> Dat
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for a, c, p, s, counts in zip(f["query"], f["cnt"], f["profile_id"], f["seq"], f["base_counts"], strict=True):
-                d, start, end = infix_distance(a, s, bound)
-                if d >= 0:
-                    part = counts[start : end + 1]
-                    rows.append((a, int(c), p, start, end, d, float(sum(part)) / max(len(part), 1)))
-            yield pd.DataFrame(rows, columns=["query", "cnt", "profile_id", "start", "end", "distance", "mean"])
+            d, start, end = infix_distances(f["query"].tolist(), f["seq"].tolist(), bound)
+            f = f.assign(start=start, end=end, distance=d)[d >= 0]
+            parts = [counts[a : b + 1] for counts, a, b in zip(f["base_counts"], f["start"], f["end"], strict=True)]
+            f = f.assign(mean=np.array([float(sum(x)) / max(len(x), 1) for x in parts], float))
+            yield f[["query", "cnt", "profile_id", "start", "end", "distance", "mean"]]
 
     kind = profiles.schema["profile_id"].dataType.simpleString()
     found = pairs.select("query", "cnt", "profile_id", "seq", "base_counts").mapInPandas(run, f"query string, cnt bigint, profile_id {kind}, start bigint, end bigint, distance bigint, mean double")
@@ -296,20 +316,57 @@ def contributions(nearest: DataFrame, how: str = "scaled") -> DataFrame:
     raise ValueError(f"unknown way to contribute: {how}")
 
 
+def numbered_by_length(sequences: DataFrame, key: str) -> DataFrame:
+    """(seq, key, nth) of each different one of sequences(seq): its length, and how many rows of that length come before it in order.
+
+    Ranges of (length, sequence) are counted each by itself, then raised by what
+    the ranges before hold: no length needs to fit into one task, and copies are
+    counted before they are shuffled.
+    """
+    n = sequences.sparkSession.sparkContext.defaultParallelism
+    each = sequences.where("seq is not null").groupBy("seq").agg(F.count("*").alias("n_")).withColumn(key, F.length("seq"))
+    ranged = materialize(each.repartitionByRange(n, key, "seq").withColumn("range_", F.spark_partition_id()), "ranged")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    held = ranged.groupBy("range_", key).agg(F.sum("n_").alias("m_"))  # a row a range and length
+    held = held.select("range_", key, F.sum("m_").over(earlier(key).orderBy("range_")).alias("before_"))
+    within = F.sum("n_").over(earlier("range_", key).orderBy("seq"))
+    zero = F.lit(0).cast("bigint")
+    return ranged.withColumn("within_", within).join(held, ["range_", key]).select("seq", key, (F.coalesce("within_", zero) + F.coalesce("before_", zero)).alias("nth"))
+
+
 def cluster_sequences(sequences: DataFrame, threshold: float, key: str = "size") -> DataFrame:
-    """sequences(seq, cnt) with cluster: complete linkage on differing places, within each length."""
+    """sequences(seq, cnt) with cluster: complete linkage on differing places, within each length.
+
+    A cluster is named by how many rows of its length come before its first
+    sequence. Only pairs nearer than the threshold matter: each has one of as
+    many blocks as the threshold in common, so blocks meet in an equi-join that
+    compares what meets and lets only near pairs out. What these connect is one
+    group of linkage, whose memory is that of its near pairs. Equal sequences
+    share a cluster, and so do all of a length below the threshold, which are
+    near each other. Null sequences are left out.
+    """
+    sequences = sequences.select("seq", "cnt")
+    most = max(0, math.ceil(threshold) - 1)
+    numbers = materialize(numbered_by_length(sequences, key), "numbered")
+    cut = lambda b: F.floor(F.col(key) * b / (most + 1)).cast("int")
+    blocks = F.array(*(F.struct(F.lit(b).alias("b"), F.substring("seq", cut(b) + 1, cut(b + 1) - cut(b)).alias("w")) for b in range(most + 1)))
+    parts = numbers.where(F.col(key) > most).select(key, "nth", "seq", F.explode(blocks).alias("x")).select(key, "nth", "seq", "x.b", "x.w")
+    other = parts.select(key, "b", "w", F.col("nth").alias("other"), F.col("seq").alias("other_seq"))
+    far = hamming(F.col("seq"), F.col("other_seq"))
+    near = parts.join(other, [key, "b", "w"]).where((F.col("nth") < F.col("other")) & (far <= most))
+    pairs = materialize(near.select(key, "nth", "other", far.alias("distance")).distinct(), "near")
+    node = lambda c: F.struct(F.col(key), F.col(c).alias("nth"))
+    group = components(pairs.select(node("nth").alias("src"), node("other").alias("dst")))
+    grouped = pairs.join(group.select(F.col(f"node.{key}").alias(key), F.col("node.nth").alias("nth"), F.col("component.nth").alias("group")), [key, "nth"])
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("seq", kind="stable").reset_index(drop=True)
-        import numpy as np
+        label = sparse_linkage(zip(g["nth"].tolist(), g["other"].tolist(), g["distance"].tolist(), strict=True), threshold)
+        return frame({key: [g[key].iloc[0]] * len(label), "nth": list(label), "cluster": list(label.values())})
 
-        x = np.array([np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in g["seq"]])
-        far = (x[:, None, :] != x[None, :, :]).sum(2) if len(g) and len(g["seq"].iloc[0]) else np.zeros((len(g), len(g)))
-        g["cluster"] = complete_linkage(far, threshold)
-        return g[["seq", "cnt", key, "cluster"]]
-
-    sized = sequences.select("seq", "cnt", F.length("seq").alias(key))
-    return sized.groupBy(key).applyInPandas(work, f"seq string, cnt bigint, {key} int, cluster int")
+    labels = grouped.groupBy(key, "group").applyInPandas(work, f"{key} int, nth bigint, cluster bigint")
+    alone = F.when(F.col(key) <= most, F.lit(0)).otherwise(F.col("nth"))
+    named = numbers.join(labels, [key, "nth"], "left").select("seq", key, F.coalesce("cluster", alone).cast("int").alias("cluster"))
+    return sequences.join(named, "seq").select("seq", "cnt", key, "cluster")
 
 
 def base_profile(sequences: DataFrame, key: str) -> DataFrame:
@@ -363,21 +420,22 @@ def approximate_profiles(sequences: list[tuple[str, int]], misses: int, clusters
     by: dict[int, list[tuple[str, int]]] = {}
     for s, c in sequences:
         by.setdefault(len(s), []).append((s, c))
-    import numpy as np
-
     profiles: list[GappedProfile] = []
     for size in sorted(by, reverse=True):
         rest = []
+        texts = [p.consensus().replace("-", "") for p in profiles]
         for s, c in sorted(by[size], key=lambda x: (-x[1], x[0])):
-            found = [(infix_distance(s, p.consensus().replace("-", ""), misses)[0], i) for i, p in enumerate(profiles)]
-            found = [x for x in found if x[0] >= 0]
+            far = infix_distances([s] * len(texts), texts, misses)[0]
+            found = [(int(d), i) for i, d in enumerate(far) if d >= 0]
             if found:
-                profiles[min(found)[1]].add(s, c)
+                nearest = min(found)[1]
+                profiles[nearest].add(s, c)
+                texts[nearest] = profiles[nearest].consensus().replace("-", "")
             else:
                 rest.append((s, c))
         if rest:
-            x = np.array([np.frombuffer(s.encode("utf-32-le"), np.uint32) for s, _ in rest])
-            labels = complete_linkage((x[:, None] != x[None]).sum(2), clusters_within)
+            linked = sparse_linkage(near_pairs([s for s, _ in rest], math.ceil(clusters_within) - 1), clusters_within)
+            labels = [linked.get(i, i) for i in range(len(rest))]
             for label in dict.fromkeys(labels):
                 members = [m for m, own in zip(rest, labels, strict=True) if own == label]
                 made = GappedProfile(*members[0])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peakmill.functions.kernels import infix_distance
+from peakmill.functions.distances import infix_distances
 from peakmill.functions.sequence import query_and_target, reverse_complement
 from peakmill.operators.mapping import SEED, grams
 from peakmill.operators.windows import best_per_key
@@ -49,8 +49,8 @@ def best_partners(visible: DataFrame, new: DataFrame, threshold: float = 0.1, co
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [infix_distance(q, t, int(b)) for q, t, b in zip(f["query"], f["target"], f["bound"], strict=True)]
-            f = f.assign(distance=[x[0] for x in found], start=[x[1] for x in found], end=[x[2] for x in found])
+            distance, start, end = infix_distances(f["query"].tolist(), f["target"].tolist(), f["bound"].to_numpy(dtype="int64"))
+            f = f.assign(distance=distance, start=start, end=end)
             yield f[f["distance"] >= 0].drop(columns="bound")
 
     pairs = candidate_pairs(visible, new, threshold, compat)

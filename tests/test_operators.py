@@ -189,6 +189,71 @@ def test_longest_first_mapping():
     assert made == {"AAACCC": [14, 14, 14, 17, 16, 13], "GGG": [2, 2, 2]}
 
 
+def test_longest_first_mapping_against_a_scan_a_length():
+    """The automaton finds what reading all profiles again for each length finds."""
+    import random
+
+    def plain(sequences, compat):
+        by = {}
+        for s, c in sequences:
+            by.setdefault(len(s), []).append((s, c))
+        made = []
+        for nth, size in enumerate(sorted(by, reverse=True)):
+            wanted = {}
+            for s, c in by[size]:
+                wanted[s] = wanted.get(s, 0) + c
+            if not nth:
+                made = [(s, [c] * size) for s, c in sorted(by[size])]
+                continue
+            new = []
+            for s, c in sorted(wanted.items()):
+                at = [(p, i) for p, (t, _) in enumerate(made) for i in range(len(t) - size + 1) if t[i : i + size] == s]
+                if not at:
+                    new.append((s, [c] * size))
+                    continue
+                weigh = sorted(((sum(made[p][1][i : i + size]) / size, p, i) for p, i in at), key=lambda x: -x[0])
+                total, left = sum(w for w, _, _ in weigh), c
+                for n, (w, p, i) in enumerate(weigh):
+                    share = round(w * c / total) if total else 0
+                    if len(weigh) == 1 or n == len(weigh) - 1 and (share >= left or not compat):
+                        share = left
+                    share = min(share, left)
+                    left -= share
+                    for x in range(i, i + size):
+                        made[p][1][x] += share
+            made += new
+        return made
+
+    rng = random.Random(5)
+    for _ in range(300):
+        rows = [("".join(rng.choices("AC", k=rng.randint(1, 9))), rng.randint(1, 9)) for _ in range(rng.randint(0, 12))]
+        for compat in (False, True):
+            assert mapping.map_longest_first(rows, compat) == plain(rows, compat)
+    assert mapping.map_longest_first([("AC", 2), ("", 3)]) == [("AC", [2, 2]), ("", [])]
+
+
+def test_clusters_are_those_of_dense_linkage(spark):
+    """Within each length, copies and texts below the threshold included; tables without rows or texts give none."""
+    import random
+
+    import numpy as np
+
+    from peakmill.functions.kernels import complete_linkage
+
+    rng = random.Random(3)
+    made = ["".join(rng.choices("ACGT" if n > 4 else "AC", k=n)) for n in [0, 2, 4, 4, 4, 6, 6, 6, 9, 9] * 12]
+    made += ["".join(c if rng.random() > 0.15 else "T" for c in s) for s in made]
+    table = spark.createDataFrame([(s, 1, "x") for s in made] + [(None, 1, "x")], "seq string, cnt long, nth string")
+    for threshold in (1.0, 2.5, 4.0):
+        want = []
+        for n in {len(s) for s in made}:
+            each = sorted(s for s in made if len(s) == n)
+            far = np.array([[sum(a != b for a, b in zip(s, t, strict=True)) for t in each] for s in each])
+            want += [(s, 1, n, c) for s, c in zip(each, complete_linkage(far, threshold), strict=True)]
+        assert rows(mapping.cluster_sequences(table, threshold)) == sorted(want)
+    assert mapping.cluster_sequences(table.where("seq is null"), 3.0).count() == 0
+
+
 def test_containment_and_hits(spark):
     p = spark.createDataFrame([(1, "ACG"), (2, "A" * 20), (3, "")], "pattern_id long, seq string")
     t = spark.createDataFrame([(1, "ACGACG"), (2, "C" + "A" * 21)], "target_id long, seq string")
