@@ -334,27 +334,35 @@ def numbered_by_length(sequences: DataFrame, key: str) -> DataFrame:
     return ranged.withColumn("within_", within).join(held, ["range_", key]).select("seq", key, (F.coalesce("within_", zero) + F.coalesce("before_", zero)).alias("nth"))
 
 
-def cluster_sequences(sequences: DataFrame, threshold: float, key: str = "size") -> DataFrame:
-    """sequences(seq, cnt) with cluster: complete linkage on differing places, within each length.
+def near_sequences(numbers: DataFrame, most: int, key: str) -> DataFrame:
+    """(key, nth, other, distance): pairs of different sequences of one length, of numbers(seq, key, nth), with ``most`` differing places or fewer.
 
-    A cluster is named by how many rows of its length come before its first
-    sequence. Only pairs nearer than the threshold matter: each has one of as
-    many blocks as the threshold in common, so blocks meet in an equi-join that
-    compares what meets and lets only near pairs out. What these connect is one
-    group of linkage, whose memory is that of its near pairs. Equal sequences
-    share a cluster, and so do all of a length below the threshold, which are
-    near each other. Null sequences are left out.
+    Such a pair has one of most + 1 blocks in common, so blocks meet in an
+    equi-join that compares what meets and lets only near pairs out. Sequences
+    of ``most`` letters or fewer, which are all near each other, are left out.
     """
-    sequences = sequences.select("seq", "cnt")
-    most = max(0, math.ceil(threshold) - 1)
-    numbers = materialize(numbered_by_length(sequences, key), "numbered")
     cut = lambda b: F.floor(F.col(key) * b / (most + 1)).cast("int")
     blocks = F.array(*(F.struct(F.lit(b).alias("b"), F.substring("seq", cut(b) + 1, cut(b + 1) - cut(b)).alias("w")) for b in range(most + 1)))
     parts = numbers.where(F.col(key) > most).select(key, "nth", "seq", F.explode(blocks).alias("x")).select(key, "nth", "seq", "x.b", "x.w")
     other = parts.select(key, "b", "w", F.col("nth").alias("other"), F.col("seq").alias("other_seq"))
     far = hamming(F.col("seq"), F.col("other_seq"))
     near = parts.join(other, [key, "b", "w"]).where((F.col("nth") < F.col("other")) & (far <= most))
-    pairs = materialize(near.select(key, "nth", "other", far.alias("distance")).distinct(), "near")
+    return near.select(key, "nth", "other", far.alias("distance")).distinct()
+
+
+def cluster_sequences(sequences: DataFrame, threshold: float, key: str = "size") -> DataFrame:
+    """sequences(seq, cnt) with cluster: complete linkage on differing places, within each length.
+
+    A cluster is named by how many rows of its length come before its first
+    sequence. Only pairs nearer than the threshold matter; what these connect is
+    one group of linkage, whose memory is that of its near pairs. Equal
+    sequences share a cluster, and so do all of a length below the threshold,
+    which are near each other. Null sequences are left out.
+    """
+    sequences = sequences.select("seq", "cnt")
+    most = max(0, math.ceil(threshold) - 1)
+    numbers = materialize(numbered_by_length(sequences, key), "numbered")
+    pairs = materialize(near_sequences(numbers, most, key), "near")
     node = lambda c: F.struct(F.col(key), F.col(c).alias("nth"))
     group = components(pairs.select(node("nth").alias("src"), node("other").alias("dst")))
     grouped = pairs.join(group.select(F.col(f"node.{key}").alias(key), F.col("node.nth").alias("nth"), F.col("component.nth").alias("group")), [key, "nth"])
@@ -383,14 +391,20 @@ def consensus(profile: DataFrame, key: str) -> DataFrame:
 
 
 class GappedProfile:
-    """Base weights A, C, G, T, gap by column, to which gapped sequences are added one by one."""
+    """Base weights A, C, G, T, gap by column, to which gapped sequences are added one by one.
+
+    ``rows`` holds each sequence, its count and the columns of its letters by
+    names that stay when columns open between them; ``places`` turns these into
+    numbers at the end.
+    """
 
     ALPHABET = "ACGT-"
 
     def __init__(self, seq: str, cnt: int):
         self.columns = [[cnt if b == a else 0 for a in self.ALPHABET] for b in seq]
+        self.names = list(range(len(seq)))
         self.total = cnt
-        self.rows = [(seq, list(range(len(seq))))]
+        self.rows = [(seq, cnt, list(self.names))]
 
     def consensus(self) -> str:
         return "".join(self.ALPHABET[max(range(5), key=lambda i: (c[i], -i))] for c in self.columns)
@@ -403,16 +417,21 @@ class GappedProfile:
         for op in ops:
             if op == "I":
                 self.columns.insert(i, [0, 0, 0, 0, self.total])
-                self.rows = [(s, [p + (p >= i) for p in places]) for s, places in self.rows]
+                self.names.insert(i, len(self.names))
             if op == "D":
                 self.columns[i][4] += cnt
             else:
                 self.columns[i][self.ALPHABET.find(seq[j])] += cnt
-                at.append(i)
+                at.append(self.names[i])
                 j += 1
             i += 1
         self.total += cnt
-        self.rows.append((seq, at))
+        self.rows.append((seq, cnt, at))
+
+    def places(self) -> list[tuple[str, int, list[int]]]:
+        """Each sequence with its count and the column, from 0, of each of its letters."""
+        now = {name: i for i, name in enumerate(self.names)}
+        return [(seq, cnt, [now[x] for x in at]) for seq, cnt, at in self.rows]
 
 
 def approximate_profiles(sequences: list[tuple[str, int]], misses: int, clusters_within: float) -> list[GappedProfile]:
@@ -455,3 +474,15 @@ def gapped_profiles(sequences: DataFrame, misses: int = 5, clusters_within: floa
         return frame(dict(zip([key, "profile_id", "pos", "base", "weight"], zip(*rows, strict=True) if rows else [[]] * 5, strict=True)))
 
     return sequences.groupBy(key).applyInPandas(work, f"{key} {kind}, profile_id bigint, pos bigint, base string, weight bigint")
+
+
+def gapped_alignments(sequences: DataFrame, misses: int = 5, clusters_within: float = 5.0, key: str = "comp_id") -> DataFrame:
+    """(key, profile_id, seq, cnt, places): the column of each letter of each sequence in the profile of gapped_profiles() that took it."""
+    kind = sequences.schema[key].dataType.simpleString()
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        made = approximate_profiles([(s, int(c)) for s, c in zip(g["seq"], g["cnt"], strict=True)], misses, clusters_within)
+        rows = [(g[key].iloc[0], i, *x) for i, p in enumerate(made) for x in p.places()]
+        return frame(dict(zip([key, "profile_id", "seq", "cnt", "places"], zip(*rows, strict=True) if rows else [[]] * 5, strict=True)))
+
+    return sequences.groupBy(key).applyInPandas(work, f"{key} {kind}, profile_id bigint, seq string, cnt bigint, places array<int>")

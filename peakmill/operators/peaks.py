@@ -159,6 +159,43 @@ def captured(sequences: DataFrame, ranges: DataFrame, min_size: int = 0, max_siz
     return kept.select("profile_id", "peak_i", F.expr("substr(seq, cast(start as int) + 1, cast(size as int))").alias("seq"), value.alias("cnt"))
 
 
+def profile_columns(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, columns): by place of a gapped profile's consensus, its column; of weights(keys, pos, base, weight). Columns where gaps weigh most have no place."""
+    place = F.array_position(F.array(*map(F.lit, "ACGT-")), F.col("base"))
+    best = weights.groupBy(*keys, "pos").agg(F.max_by("base", F.struct("weight", -place)).alias("base"))
+    return best.where("base <> '-'").groupBy(*keys).agg(F.array_sort(F.collect_list("pos")).alias("columns"))
+
+
+def gapped_ranges(ranges: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, peak_i, start, end): ranges(keys, peak_i, start, end) of consensus places as ranges of columns, ends exclusive.
+
+    A range takes the gap columns between its places; one that hangs over the
+    consensus is cut there, one that lies beyond it or is empty is left out.
+    """
+    at = ranges.select(*keys, "peak_i", "start", "end").join(columns.select(*keys, "columns"), keys)
+    a, z = F.greatest(F.col("start"), F.lit(0)).cast("int"), F.least(F.col("end"), F.size("columns")).cast("int")
+    return at.where(a < z).select(*keys, "peak_i", F.get("columns", a).alias("start"), (F.get("columns", z - 1) + 1).alias("end"))
+
+
+def captured_gapped(
+    alignments: DataFrame, ranges: DataFrame, keys: list[str], min_size: int = 0, max_size: int | None = None, how: str = "min"
+) -> DataFrame:
+    """(keys, peak_i, seq, cnt): what of each alignment lies in each of ranges(keys, peak_i, start, end) of columns, gaps left out, with its least (or mean) count.
+
+    alignments(keys, seq, counts, places) name the column of each letter, in
+    ascending order, so the letters in a range are those from as many as lie
+    before its start to as many as lie before its end. Parts have more than
+    min_size letters and fewer than max_size; null texts or places give none.
+    """
+    before = lambda c: F.size(F.filter("places", lambda p: p < F.col(c)))
+    rows = alignments.select(*keys, "seq", "counts", "places").join(ranges.select(*keys, "peak_i", "start", "end"), keys)
+    rows = rows.withColumn("first_", before("start")).withColumn("size_", before("end") - F.col("first_"))
+    kept = rows.where((F.col("size_") > max(min_size, 0)) & (F.lit(True) if max_size is None else F.col("size_") < max_size))
+    part = F.slice("counts", F.col("first_") + 1, F.col("size_"))
+    value = F.array_min(part) if how == "min" else F.aggregate(part, F.lit(0.0), lambda a, c: a + c) / F.size(part)
+    return kept.select(*keys, "peak_i", F.expr("substr(seq, first_ + 1, size_)").alias("seq"), value.alias("cnt"))
+
+
 def replicated_rows(sequences: DataFrame) -> DataFrame:
     """Each sequence as many times as its count, for tools that take no weights."""
     return sequences.where("cnt >= 1").select("profile_id", "seq", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int"))).alias("copy"))

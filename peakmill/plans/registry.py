@@ -577,7 +577,20 @@ def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_of(spark, sf_dir)[0]
 
 
-@query("infix_match")
+@query(
+    "infix_match",
+    f"""WITH {READS_SQL},
+    q AS (SELECT DISTINCT translate(regexp_replace(text, '[^a-zA-Z]', '', 'g'), '{LETTERS}', '{BASES}') AS query FROM benchmark),
+    b AS (SELECT query, b * (length(query) // 3) AS o, least({mapping.SEED}, length(query) // 3) AS size FROM q, unnest(range(0, 3)) u(b) WHERE length(query) > 2),
+    s AS MATERIALIZED (SELECT query, o, size, substr(query, o + 1, size) AS gram FROM b),
+    g AS MATERIALIZED (SELECT read_id, size, i - 1 AS t, substr(seq, i, size) AS gram FROM reads, (SELECT DISTINCT size FROM s), unnest(range(1, CAST(length(seq) AS BIGINT) - size + 2)) u(i)),
+    d AS MATERIALIZED (SELECT DISTINCT query, read_id, t - o AS off FROM s JOIN g USING (size, gram)),
+    c AS MATERIALIZED (SELECT DISTINCT query, read_id, off + x AS a, length(query) + y AS n FROM d, unnest(range(-2, 3)) v(x), unnest(range(-2, 3)) w(y)),
+    e AS (SELECT query, read_id, a, a + n - 1 AS z, levenshtein(query, substr(seq, a + 1, n)) AS distance FROM c JOIN reads USING (read_id) WHERE a >= 0 AND a + n <= length(seq)),
+    m AS (SELECT query, read_id, a, z, distance FROM e WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY query, read_id ORDER BY distance, z, a DESC) = 1)
+    SELECT query, CAST(1 AS BIGINT) AS cnt, read_id AS profile_id, CAST(a AS BIGINT) AS "start", CAST(z AS BIGINT) AS "end", CAST(distance AS BIGINT) AS distance, CAST(1 AS DOUBLE) AS mean
+    FROM m QUALIFY distance = min(distance) OVER (PARTITION BY query)""",
+)
 def infix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as queries on whole reads, within two edits."""
     q = passages(spark, sf_dir).where("length(seq) > 2").select(F.col("seq").alias("query"), F.lit(1).cast("bigint").alias("cnt")).distinct()

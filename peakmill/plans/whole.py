@@ -297,6 +297,71 @@ def gapped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.best_per_key(found, ["query"], [F.desc("bitscore"), F.col("target"), F.col("sstart")])
 
 
+@query(
+    "near_windows",
+    f"""WITH {_P}, w AS (SELECT DISTINCT substr(seq, i, {LONG}) AS seq FROM u, unnest(range(1, CAST(length(seq) AS BIGINT) - {LONG} + 2)) q(i))
+    SELECT a.seq, b.seq AS other, CAST(hamming(a.seq, b.seq) AS INTEGER) AS distance FROM w a JOIN w b ON a.seq < b.seq AND hamming(a.seq, b.seq) <= 8""",
+)
+def near_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the passages' windows with at most 8 differing places, those that linkage starts from."""
+    w = distinct_passages(spark, sf_dir).select(F.explode(S.kmers(F.col("seq"), LONG)).alias("seq"))
+    numbers = materialize(mapping.numbered_by_length(w, "size"), "numbered")
+    a, b = numbers.select("nth", "seq"), numbers.select(F.col("nth").alias("other"), F.col("seq").alias("other_seq"))
+    return mapping.near_sequences(numbers, 8, "size").join(a, "nth").join(b, "other").select("seq", F.col("other_seq").alias("other"), "distance")
+
+
+@query("window_clusters", f"WITH {_P} SELECT substr(seq, i, {LONG}) AS seq, count(*) AS n, true AS within FROM u, unnest(range(1, CAST(length(seq) AS BIGINT) - {LONG} + 2)) q(i) GROUP BY 1")
+def window_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages' windows, clustered: each is in one cluster, whose first is one of those that near it."""
+    w = distinct_passages(spark, sf_dir).select(F.explode(S.kmers(F.col("seq"), LONG)).alias("seq")).groupBy("seq").agg(F.count("*").alias("cnt"))
+    made = materialize(mapping.cluster_sequences(w, 9.0), "clusters")
+    first = made.groupBy("cluster").agg(F.min("seq").alias("first"))
+    return made.join(first, "cluster").select("seq", F.col("cnt").alias("n"), (S.hamming(F.col("seq"), F.col("first")) < 9).alias("within"))
+
+
+def gapped_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, seq, cnt): passages as they are, without their 21st letter, with one more after the 15th, with another one as the 26th."""
+    p = distinct_passages(spark, sf_dir).where("length(seq) > 60")
+    c = F.col("seq")
+    cut = lambda a, z=None: F.substring(c, F.lit(a + 1), F.lit(z - a) if z else F.length(c))
+    other = F.when(F.substring(c, 26, 1) == "A", "C").otherwise("A")
+    versions = [(c, 5), (F.concat(cut(0, 20), cut(21)), 2), (F.concat(cut(0, 15), F.lit("G"), cut(15)), 1), (F.concat(cut(0, 25), other, cut(26)), 3)]
+    return p.select("item_id", F.explode(F.array(*(F.struct(v.alias("seq"), F.lit(n).cast("bigint").alias("cnt")) for v, n in versions))).alias("x")).select("item_id", "x.seq", "x.cnt")
+
+
+_VERSIONS = f"""{_P}, v AS (SELECT item_id, seq AS whole, unnest([5, 2, 1, 3]) AS cnt FROM u WHERE length(seq) > 60),
+    g AS (SELECT item_id, whole, cnt, CASE cnt WHEN 5 THEN whole WHEN 2 THEN whole[:20] || whole[22:] WHEN 1 THEN whole[:15] || 'G' || whole[16:]
+      ELSE whole[:25] || CASE WHEN whole[26] = 'A' THEN 'C' ELSE 'A' END || whole[27:] END AS seq FROM v)"""
+
+
+@query("gapped_capture", f"WITH {_VERSIONS} SELECT item_id, seq, CAST(cnt AS BIGINT) AS cnt FROM g")
+def gapped_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages' versions in gapped profiles, captured by ranges that cover all columns and glued again: each as it was."""
+    keys = ["item_id", "profile_id"]
+    made = materialize(mapping.gapped_alignments(gapped_versions(spark, sf_dir), key="item_id"), "alignments")
+    width = made.groupBy(*keys).agg(F.max(F.array_max("places")).alias("width"))
+    tiles = width.select(*keys, F.explode(F.sequence(F.lit(0), F.floor(F.col("width") / 10).cast("int"))).alias("peak_i"))
+    tiles = tiles.select(*keys, "peak_i", (F.col("peak_i") * 10).alias("start"), (F.col("peak_i") * 10 + 10).alias("end"))
+    parts = peaks.captured_gapped(made.withColumn("counts", F.array_repeat("cnt", F.length("seq"))), tiles, keys)
+    glued = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("peak_i", "seq"))), lambda x: x["seq"]), "")
+    return parts.groupBy("item_id", "profile_id", "cnt").agg(glued.alias("seq")).select("item_id", "seq", "cnt")
+
+
+@query(
+    "gapped_capture_means",
+    f"WITH {_VERSIONS} SELECT item_id, seq[11:30 + n] AS seq, cnt + 19.5 + n / 2 AS mean FROM (SELECT *, CAST(length(seq) AS BIGINT) - length(whole) AS n FROM g)",
+)
+def gapped_capture_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places 10 to 30 of each profile's consensus, as columns, captured from all versions with the mean of counts that rise by the letter."""
+    keys = ["item_id", "profile_id"]
+    versions = materialize(gapped_versions(spark, sf_dir), "versions")
+    columns = peaks.profile_columns(mapping.gapped_profiles(versions, key="item_id"), keys)
+    ranges = columns.select(*keys, F.lit(0).alias("peak_i"), F.lit(10).alias("start"), F.lit(30).alias("end"))
+    rising = F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.col("cnt") + i)
+    made = mapping.gapped_alignments(versions, key="item_id").withColumn("counts", rising)
+    return peaks.captured_gapped(made, peaks.gapped_ranges(ranges, columns, keys), keys, how="mean").select("item_id", "seq", F.col("cnt").alias("mean"))
+
+
 # -- tests by segment, and replicates --
 def _p_sql(u: str, n1: str, n2: str, tie: str) -> str:
     """Upper tail by the error function's series in logarithms; DuckDB has no error function."""
