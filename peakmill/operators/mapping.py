@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,8 @@ from peakmill.runtime import materialize
 
 #: Letters by which a sequence is looked up before it is compared.
 SEED = 14
+#: Letters of a block that is rare enough to be looked up alone.
+LONG_BLOCK = 8
 
 
 def containment(patterns: DataFrame, targets: DataFrame) -> DataFrame:
@@ -337,16 +339,29 @@ def numbered_by_length(sequences: DataFrame, key: str) -> DataFrame:
 def near_sequences(numbers: DataFrame, most: int, key: str) -> DataFrame:
     """(key, nth, other, distance): pairs of different sequences of one length, of numbers(seq, key, nth), with ``most`` differing places or fewer.
 
-    Such a pair has one of most + 1 blocks in common, so blocks meet in an
-    equi-join that compares what meets and lets only near pairs out. Sequences
-    of ``most`` letters or fewer, which are all near each other, are left out.
+    Such a pair has one of most + 1 blocks in common, and two of most + 2:
+    single blocks where these have LONG_BLOCK letters, else pairs of blocks, as
+    short ones are common, meet in an equi-join that compares what meets and
+    lets only near pairs out. Sequences of ``most`` letters or fewer, which are
+    all near each other, are left out.
     """
-    cut = lambda b: F.floor(F.col(key) * b / (most + 1)).cast("int")
-    blocks = F.array(*(F.struct(F.lit(b).alias("b"), F.substring("seq", cut(b) + 1, cut(b + 1) - cut(b)).alias("w")) for b in range(most + 1)))
-    parts = numbers.where(F.col(key) > most).select(key, "nth", "seq", F.explode(blocks).alias("x")).select(key, "nth", "seq", "x.b", "x.w")
+
+    def block(n: int, b: Column) -> Column:
+        a, z = F.floor(F.col(key) * b / n).cast("int"), F.floor(F.col(key) * (b + 1) / n).cast("int")
+        return F.substring("seq", a + 1, z - a)
+
+    ones, twos = most + 1, most + 2
+    at = F.sequence(F.lit(0), F.lit(twos - 1))
+    single = F.transform(F.sequence(F.lit(0), F.lit(ones - 1)), lambda b: F.struct(b.alias("b"), block(ones, b).alias("w")))
+    two = lambda i, j: F.struct((i * twos + j).alias("b"), F.concat(block(twos, i), block(twos, j)).alias("w"))
+    double = F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda j: j > i), lambda j: two(i, j))))
+    keyed = F.when(F.col(key) >= ones * LONG_BLOCK, single).otherwise(double)
+    parts = numbers.where(F.col(key) > most).select(key, "nth", "seq", F.explode(keyed).alias("x")).select(key, "nth", "seq", "x.b", "x.w")
     other = parts.select(key, "b", "w", F.col("nth").alias("other"), F.col("seq").alias("other_seq"))
     far = hamming(F.col("seq"), F.col("other_seq"))
-    near = parts.join(other, [key, "b", "w"]).where((F.col("nth") < F.col("other")) & (far <= most))
+    # edits are at most the differing places, and are bounded in compiled code: few pairs are compared letter by letter
+    maybe = F.levenshtein("seq", "other_seq", most) >= 0
+    near = parts.join(other, [key, "b", "w"]).where((F.col("nth") < F.col("other")) & maybe & (far <= most))
     return near.select(key, "nth", "other", far.alias("distance")).distinct()
 
 

@@ -170,11 +170,13 @@ def gapped_ranges(ranges: DataFrame, columns: DataFrame, keys: list[str]) -> Dat
     """(keys, peak_i, start, end): ranges(keys, peak_i, start, end) of consensus places as ranges of columns, ends exclusive.
 
     A range takes the gap columns between its places; one that hangs over the
-    consensus is cut there, one that lies beyond it or is empty is left out.
+    consensus is cut there, one that lies beyond it, is empty or has no start or
+    end is left out.
     """
     at = ranges.select(*keys, "peak_i", "start", "end").join(columns.select(*keys, "columns"), keys)
     a, z = F.greatest(F.col("start"), F.lit(0)).cast("int"), F.least(F.col("end"), F.size("columns")).cast("int")
-    return at.where(a < z).select(*keys, "peak_i", F.get("columns", a).alias("start"), (F.get("columns", z - 1) + 1).alias("end"))
+    whole = F.col("start").isNotNull() & F.col("end").isNotNull()
+    return at.where(whole & (a < z)).select(*keys, "peak_i", F.get("columns", a).alias("start"), (F.get("columns", z - 1) + 1).alias("end"))
 
 
 def captured_gapped(

@@ -241,7 +241,7 @@ def test_clusters_are_those_of_dense_linkage(spark):
     from peakmill.functions.kernels import complete_linkage
 
     rng = random.Random(3)
-    made = ["".join(rng.choices("ACGT" if n > 4 else "AC", k=n)) for n in [0, 2, 4, 4, 4, 6, 6, 6, 9, 9] * 12]
+    made = ["".join(rng.choices("ACGT" if n > 4 else "AC", k=n)) for n in [0, 2, 4, 4, 4, 6, 6, 6, 9, 9, 40] * 12]
     made += ["".join(c if rng.random() > 0.15 else "T" for c in s) for s in made]
     table = spark.createDataFrame([(s, 1, "x") for s in made] + [(None, 1, "x")], "seq string, cnt long, nth string")
     for threshold in (1.0, 2.5, 4.0):
@@ -254,6 +254,46 @@ def test_clusters_are_those_of_dense_linkage(spark):
     assert mapping.cluster_sequences(table.where("seq is null"), 3.0).count() == 0
 
 
+def test_capture_on_gapped_alignments(spark):
+    """Ranges of a consensus become columns; letters in gap columns go with their range; odd ranges and null rows give none."""
+    weights = spark.createDataFrame([(1, i, b, w) for i, c in enumerate(["A3", "C3", "-2G1", "T3", "A3"]) for b, w in zip(c[::2], map(int, c[1::2]), strict=True)], "p int, pos int, base string, weight int")
+    columns = peaks.profile_columns(weights, ["p"])
+    assert rows(columns.selectExpr("p", "cast(columns as string)")) == [(1, "[0, 1, 3, 4]")]
+    ranges = spark.createDataFrame([(1, 0, 1, 3), (1, 1, 3, 99), (1, 2, 2, 2), (1, 3, 7, 9), (1, 4, None, 2), (2, 5, 0, 1)], "p int, peak_i int, start int, end int")
+    wide = peaks.gapped_ranges(ranges, columns, ["p"])
+    assert rows(wide) == [(1, 0, 1, 4), (1, 1, 4, 5)]
+    made = [(1, "ACTA", [4, 3, 2, 1], [0, 1, 3, 4], 7), (1, "ACGTA", [5, 6, 7, 8, 9], [0, 1, 2, 3, 4], 7), (1, "A", [2], [0], 7), (1, None, None, None, 7), (1, "", [], [], 7)]
+    table = spark.createDataFrame(made, "p int, seq string, counts array<int>, places array<int>, end int")
+    assert rows(peaks.captured_gapped(table, wide, ["p"])) == [(1, 0, "CGT", 6), (1, 0, "CT", 2), (1, 1, "A", 1), (1, 1, "A", 9)]
+    assert rows(peaks.captured_gapped(table, wide, ["p"], 1, 3, "mean")) == [(1, 0, "CT", 2.5)]
+    assert peaks.captured_gapped(table.limit(0), wide, ["p"]).count() == 0
+
+
+def test_columns_of_gapped_profiles():
+    """A profile's columns add up to what its alignments say, letter by letter and gap by gap, however many columns open."""
+    import random
+
+    rng = random.Random(8)
+    for _ in range(60):
+        base = "".join(rng.choices("ACGT", k=24))
+        made = [(base, 9)]
+        for _ in range(8):
+            s = list(base)
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(s))
+                s[i : i + rng.randint(0, 1)] = rng.choice(["", "A", "CG"])
+            made.append(("".join(s), rng.randint(1, 3)))
+        got = mapping.approximate_profiles(made, 6, 4.0)
+        assert sorted((s, c) for p in got for s, c, _ in p.places()) == sorted(made)
+        for p in got:
+            for i, column in enumerate(p.columns):
+                want = dict.fromkeys("ACGT-", 0)
+                for s, c, at in p.places():
+                    assert at == sorted(set(at)) and len(at) == len(s)
+                    want[s[at.index(i)] if i in at else "-"] += c
+                assert column == [want[b] for b in "ACGT-"]
+
+
 def test_containment_and_hits(spark):
     p = spark.createDataFrame([(1, "ACG"), (2, "A" * 20), (3, "")], "pattern_id long, seq string")
     t = spark.createDataFrame([(1, "ACGACG"), (2, "C" + "A" * 21)], "target_id long, seq string")
