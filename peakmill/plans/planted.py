@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakmill.functions import kernels
+from peakmill.functions import distances, kernels
 from peakmill.functions import sequence as S
 from peakmill.operators import counts, graph, mapping, peaks, replicates, windows
 from peakmill.plans.inputs import CORRECTED_SQL, K, READS_SQL, reads
@@ -422,7 +422,7 @@ def infix_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            f["distance"] = [kernels.infix_distance(a, b)[0] for a, b in zip(f["r_name"], f["n_name"], strict=True)]
+            f["distance"] = distances.infix_distances(f["r_name"].tolist(), f["n_name"].tolist())[0]
             yield f[["r_regionkey", "n_nationkey", "distance"]]
 
     pairs = table(spark, sf_dir, "region").crossJoin(table(spark, sf_dir, "nation"))  # 5 by 25 rows
