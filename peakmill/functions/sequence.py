@@ -112,7 +112,8 @@ def pvalue_label(p: Column) -> Column:
     """Seven decimals without trailing zeros (``1.23e-05`` below a ten-thousandth), or ``<1e-07`` below that."""
     parts = F.round(p * 1e7).cast("bigint")
     digits = parts.cast("string")
-    plain = F.regexp_replace(F.format_string("%.7f", F.round(p, 7)), "(\\.[0-9]+?)0+$", "$1")
+    # both spellings come from the same whole number, rounded once; rounding p's own decimals differs beside a half
+    plain = F.regexp_replace(F.format_string("%.7f", parts / 1e7), "(\\.[0-9]+?)0+$", "$1")
     tail = F.regexp_replace(F.substring(digits, 2, 10), "0+$", "")
     short = F.concat(F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("e-0"), (8 - F.length(digits)).cast("string"))
     return F.when(p < 1e-7, "<1e-07").when(parts < 1000, short).otherwise(plain)

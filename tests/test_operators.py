@@ -57,6 +57,12 @@ def test_counts_in_any_length(spark, k):
     assert dict(rows(counts.count_listed(df, listed, k))) == {x: t[x] + c[x] for (x,) in rows(listed)}
 
 
+def test_label_beside_a_half(spark):
+    """Labels above and below a ten-thousandth round the same number, as does the SQL of pvalue_digits; before: 0.0001149."""
+    df = spark.createDataFrame([(0.00011494999999999999,), (0.5,), (3.25e-05,), (None,)], "p double")
+    assert [r[0] for r in df.select(S.pvalue_label(F.col("p"))).collect()][:3] == ["0.000115", "0.5", "3.25e-05"]
+
+
 def test_replicate_counts_by_strand(spark):
     """FX3 and FX6 on hand: the graph's threshold, its k-mers' counts by strand, their correction by the control."""
     treat = spark.createDataFrame([("ACGTT",)] * 6 + [("AACGT",)] * 2 + [("GGGGA",)] * 3, "seq string")
