@@ -3,9 +3,12 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from peakmill.functions import codes
 from peakmill.functions import sequence as S
 from peakmill.operators import assembly, bubbles, counts, graph, mapping, peaks, replicates, windows
 from peakmill.operators.components import components
@@ -57,6 +60,23 @@ def test_counts_in_any_length(spark, k):
     assert dict(rows(counts.count_listed(df, listed, k))) == {x: t[x] + c[x] for (x,) in rows(listed)}
 
 
+def test_counts_across_pieces(monkeypatch):
+    """Reads are cut into pieces and blocks of letters; windows over the cuts count once, none spans two reads."""
+    rng = random.Random(5)
+    seqs = ["".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 90))) for _ in range(40)]
+    for name, n in (("PIECE", 50), ("BLOCK", 8), ("HELD", 400)):
+        monkeypatch.setattr(codes, name, n)
+    dealt = pa.schema([("side", pa.int32()), ("lot", pa.int32()), ("codes", pa.binary()), ("n", pa.binary())])
+    result = pa.schema([("kmer", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+    for k in (1, 2, 3, 4, 7, 17):
+        sides = [i % 2 for i in range(len(seqs))]
+        text = pa.RecordBatch.from_arrays([pa.array(sides, pa.int32()), pa.array(seqs)], names=["side", "seq"])
+        made = codes.merged(pa.Table.from_batches(codes.tallies(iter([text]), k, False, 5, dealt), dealt), k, 2, False, result)
+        a, b = (Counter(x for s, n in zip(seqs, sides, strict=True) if n == side for x in kmers(s, k) if "N" not in x) for side in (0, 1))
+        assert sorted(zip(*(c.to_pylist() for c in made.columns), strict=True)) == sorted((x, a[x], b[x]) for x in {*a, *b})
+    assert len(codes.window_codes(np.zeros(2, np.uint8), 3)) == 0
+
+
 def test_label_beside_a_half(spark):
     """Labels above and below a ten-thousandth round the same number, as does the SQL of pvalue_digits; before: 0.0001149."""
     df = spark.createDataFrame([(0.00011494999999999999,), (0.5,), (3.25e-05,), (None,)], "p double")
