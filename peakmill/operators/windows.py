@@ -51,8 +51,13 @@ def smooth_blocks(blocks: DataFrame, key: str, state: str, longest: int) -> Data
     return blocks.withColumn(state, new)
 
 
+#: Parts that a part of the input is dealt over, where they are sorted.
+SHARES = 8
+
+
 def merged_ranges(ranges: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, start, end): overlapping or touching ranges of a key as one."""
+    """(key, start, end): overlapping or touching ranges of a key as one. Each part of the input is dealt over so many that a task sorts a small share of it, however large the input."""
+    ranges = ranges.repartition(SHARES * max(1, ranges.rdd.getNumPartitions()), key)
     order = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("new_", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
