@@ -475,3 +475,15 @@ def test_pipeline_leaves_no_scratch_but_its_result(spark, docs):
     before = set(os.listdir(here))
     corpus_pipeline.run(spark, path).count()
     assert [n.split("-")[0] for n in set(os.listdir(here)) - before] == ["best_fit_packing"]
+
+
+def test_sets_are_dealt_once(spark):
+    """Whole sets are shuffled by class once: a join of pairs with them moves the pairs alone; before, each join moved all sets again."""
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i}") for i in range(9)], "doc_id long, text string")
+    sets = jaccard.dealt_sets(docs, docs.select(F.col("doc_id").alias("rep")), 3)
+    assert sets.count() == 9
+    a, b = sets.select("sig", "n").limit(2).collect()
+    links = jaccard.verified_pairs(spark.createDataFrame([(*a, *b)], "a_sig long, a_n long, b_sig long, b_n long"), sets, 51)
+    assert links.count() == 1 and links.collect()
+    final = links._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("Exchange hashpartitioning(" in x and "ENSURE_REQUIREMENTS" in x for x in final.splitlines()) == 2, final
