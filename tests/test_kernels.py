@@ -4,11 +4,13 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from peakmill.functions import kernels as N
+from peakmill.functions.frames import whole_groups
 
 DNA = st.text("ACGT", max_size=12)
 
@@ -104,3 +106,28 @@ def test_error_function_and_p_as_columns(spark):
     for r in tests.withColumn("p", rank_test_p(F.col("u"), F.col("n1"), F.col("n2"), F.col("tie"))).collect():
         u, p = mann_whitney_greater([v for g, f, v in rows if g == r.g and f], [v for g, f, v in rows if g == r.g and not f])
         assert (r.u, round(r.p, 12)) == (u, round(p, 12))
+
+
+def test_models_fitted_together_are_those_of_each_alone():
+    rng = np.random.default_rng(3)
+    ys = [np.stack([rng.poisson(4 + 25 * (np.arange(n) // 30 % 2)), rng.poisson(5, n)], 1).astype(float) for n in (200, 7, 90, 200, 3)]
+    ys += [np.zeros((40, 2)), np.full((5, 2), np.nan)]
+    alone = [N.gaussian_hmm(y, 4) for y in ys]
+    for a, b in zip(alone, N.gaussian_hmms(ys, 4), strict=True):
+        assert (a is None) == (b is None)
+        assert a is None or a.tolist() == b.tolist()
+    assert alone[4] is None and alone[6] is None
+    # the means of this one are far apart, so its states are the stretches that were drawn
+    far = np.stack([100.0 * (np.arange(90) // 30 % 2) + np.arange(90) % 3, np.arange(90) % 3], 1)
+    low, high = (set(N.gaussian_hmms([far, ys[0]], 2)[0][a:b].tolist()) for a, b in ((0, 30), (30, 60)))
+    assert len(low) == len(high) == 1 and low != high
+
+
+def test_groups_come_whole_however_frames_are_cut():
+    keys = [1, 1, 1, 2, 3, 3, 3, 3, 3, None]
+    rows = pd.DataFrame({"k": pd.Series(keys, dtype="Int64"), "x": range(10)})
+    for cut in (1, 2, 3, 7, 10):
+        for rows_ in (1, 3, 100):
+            made = [g for groups in whole_groups((rows.iloc[i : i + cut] for i in range(0, 10, cut)), "k", rows_) for g in groups]
+            assert [g["x"].tolist() for g in made] == [[0, 1, 2], [3], [4, 5, 6, 7, 8], [9]]
+    assert list(whole_groups(iter([rows.iloc[:0]]), "k", 3)) == []
