@@ -1,4 +1,8 @@
-"""Strongly connected components and longest paths of graphs that no one task could hold, in rounds of joins."""
+"""Strongly connected components and longest paths of graphs that no one task could hold, in rounds of joins.
+
+Components are found by merge joins at every size: what is broadcast goes
+through the driver in each of many rounds.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ def _trimmed(edges: DataFrame, parts: int) -> DataFrame:
     """Edges whose tail has a way in and whose head a way out, TRIM times over: what is cut off is on no cycle."""
     for _ in range(TRIM):
         heads, tails = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges = edges.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst")
+        edges = edges.join(heads.hint("merge"), "src", "left_semi").join(tails.hint("merge"), "dst", "left_semi").select("src", "dst")
         edges = materialize(edges.coalesce(parts), "trimmed")
     return edges
 
@@ -37,13 +41,13 @@ def least_both_ways(edges: DataFrame) -> DataFrame:
     parts, going = parts_for(cur.count(), ROWS), True
     while going:
         fresh = cur.where("moved")  # only lows that moved can move others
-        told = ways.join(fresh.select("way", F.col("node").alias("src"), F.col("low").alias("got")), ["way", "src"]).groupBy("way", F.col("dst").alias("node")).agg(F.min("got").alias("got"))
+        told = ways.join(fresh.select("way", F.col("node").alias("src"), F.col("low").alias("got")).hint("merge"), ["way", "src"]).groupBy("way", F.col("dst").alias("node")).agg(F.min("got").alias("got"))
         above = fresh.select("way", F.col("node").alias("low"), F.col("low").alias("up"))
         low = F.least("low", F.coalesce("got", "low"), F.coalesce("up", "low"))
-        nxt = cur.join(told, ["way", "node"], "left").join(above, ["way", "low"], "left").select("way", "node", low.alias("low"), (low < F.col("low")).alias("moved"))
+        nxt = cur.join(told.hint("merge"), ["way", "node"], "left").join(above.hint("merge"), ["way", "low"], "left").select("way", "node", low.alias("low"), (low < F.col("low")).alias("moved"))
         cur, going = materialize_while(nxt.coalesce(parts), "lows", "moved")
     fore, back = (cur.where(F.col("way") == w).select("node", "low") for w in (0, 1))
-    return fore.join(back.withColumnRenamed("low", "back"), "node")
+    return fore.join(back.withColumnRenamed("low", "back").hint("merge"), "node")
 
 
 def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -68,7 +72,7 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
         a = both.select(F.col("node").alias("src"), F.col("low").alias("l1"), F.col("back").alias("b1"))
         b = both.select(F.col("node").alias("dst"), F.col("low").alias("l2"), F.col("back").alias("b2"))
         # settled nodes' edges go, too
-        within = cur.join(a, "src").join(b, "dst").where("l1 = l2 and b1 = b2 and l1 <> b1").select("src", "dst")
+        within = cur.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("l1 = l2 and b1 = b2 and l1 <> b1").select("src", "dst")
         cur = materialize(within.coalesce(parts), "edges")
         n = cur.count()
     if not settled:
@@ -76,7 +80,7 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
     found = settled[0]
     for more in settled[1:]:
         found = found.unionByName(more)
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -78,3 +78,15 @@ def test_longest_paths_refuse_cycles(spark):
 def test_condensed_edges(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (1, 3)], "src long, dst long")
     assert [tuple(r) for r in strong.condensed(e, strong.strong_components(e)).collect()] == [(1, 3)]
+
+
+def test_rounds_send_nothing_through_the_driver(spark, monkeypatch):
+    plans = []
+    for name in ("materialize", "materialize_while"):
+        real = getattr(strong, name)
+        monkeypatch.setattr(strong, name, lambda df, *a, real=real: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *a))[1])
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6)], "src bigint, dst bigint")
+    found = strong.strong_components(edges)
+    assert {(r.node, r.component) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
