@@ -487,3 +487,10 @@ def test_sets_are_dealt_once(spark):
     assert links.count() == 1 and links.collect()
     final = links._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert sum("Exchange hashpartitioning(" in x and "ENSURE_REQUIREMENTS" in x for x in final.splitlines()) == 2, final
+
+
+def test_index_entries_carry_a_short_sketch(spark):
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id bigint, text string")
+    made = jaccard.index(docs, 3, 90, np.zeros(1 << jaccard.BUCKET_BITS, np.uint8), 255)
+    assert made.columns == [*jaccard.LEAD, "s0", "s1"]
+    assert {r.n for r in made.collect()} == {3}
