@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -178,14 +179,32 @@ def map_longest_first(sequences: list[tuple[str, int]], compat: bool = False) ->
 
 
 def exact_profiles(assembled: DataFrame, key: str = "comp_id", compat: bool = False) -> DataFrame:
-    """(key, profile_id, seq, base_counts) of assembled(key, seq, cnt); a component is one group."""
+    """(key, profile_id, seq, base_counts) of assembled(key, seq, cnt); a component is one row of a task, as most have one sequence or two."""
     kind = assembled.schema[key].dataType.simpleString()
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        made = map_longest_first([(s, int(c)) for s, c in zip(g["seq"], g["cnt"], strict=True)], compat)
-        return frame({key: [g[key].iloc[0]] * len(made), "profile_id": range(len(made)), "seq": [s for s, _ in made], "base_counts": [c for _, c in made]})
-
-    return assembled.groupBy(key).applyInPandas(work, f"{key} {kind}, profile_id bigint, seq string, base_counts array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, ends = b.column(0), b.column(1).offsets.to_numpy()
+            seqs, cnts = (c.to_pylist() for c in b.column(1).values.flatten())
+            made, row = [], []
+            letters = 0
+            for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                profiles = map_longest_first(list(zip(seqs[lo:hi], cnts[lo:hi], strict=True)), compat)
+                made += [(n, s, np.array(c, np.int64)) for n, (s, c) in enumerate(profiles)]
+                row += [i] * len(profiles)
+                letters += sum(len(s) for s, _ in profiles)
+                if letters >= LETTERS or i == len(b) - 1:
+                    yield profile_batch(names.take(pa.array(row, pa.int32())), made)
+                    made, row, letters = [], [], 0
+
+    def profile_batch(names: pa.Array, made: list[tuple[int, str, np.ndarray]]) -> pa.RecordBatch:
+        sizes = np.cumsum([0, *(len(c) for _, _, c in made)]).astype(np.int32)
+        counts_ = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.zeros(0, np.int64), *(c for _, _, c in made)])))
+        columns = [names, pa.array([n for n, _, _ in made], pa.int64()), pa.array([s for _, s, _ in made], pa.string()), counts_]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "profile_id", "seq", "base_counts"])
+
+    each = assembled.groupBy(key).agg(F.collect_list(F.struct("seq", F.col("cnt").cast("bigint").alias("cnt"))).alias("rows"))
+    return each.mapInArrow(run, f"{key} {kind}, profile_id bigint, seq string, base_counts array<bigint>")
 
 
 def _extend(query: str, target: str, q: int, t: int, word: int) -> tuple[int, int, int, int]:
