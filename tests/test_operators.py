@@ -554,3 +554,29 @@ def test_ranges_are_dealt_by_the_size_of_the_input(spark):
     few, many = (windows.merged_ranges(df.repartition(n), "k", "lo", "hi") for n in (1, 6))
     assert rows(few) == rows(many) == [(1, 5, 10), (1, 11, 12), (2, 5, 5)]
     assert many.rdd.getNumPartitions() == 6 * few.rdd.getNumPartitions() > 6
+
+
+def test_many_components_are_mapped_in_few_batches(spark):
+    """Most components have one sequence: no call of Python, and no frame, is made for each."""
+    rng = random.Random(8)
+    by = {c: [("".join(rng.choices("AC", k=rng.randint(1, 9))), rng.randint(1, 9)) for _ in range(rng.choice([1, 1, 1, 2, 7]))] for c in range(400)}
+    made = mapping.exact_profiles(spark.createDataFrame([(c, s, n) for c, x in by.items() for s, n in x], "comp_id long, seq string, cnt long"))
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    want = [(c, i, s, n) for c, x in by.items() for i, (s, n) in enumerate(mapping.map_longest_first(x))]
+    assert sorted((r.comp_id, r.profile_id, r.seq, r.base_counts) for r in made.collect()) == want
+
+
+def test_many_components_are_peeled_in_few_batches(spark):
+    """Every fourth vertex is alone, the others are forks of three: peeled as each is by itself, and dealt over the cores."""
+    v, e = [], []
+    for c in range(0, 400, 4):
+        v += [(c + 1, "AACCGT", [9, 8, 9], c + 1), (c + 2, "CGTAGG", [5, 5, 4], c + 1), (c + 3, "CGTTGG", [3, 1, 3], c + 1), (c + 4, "GATCCA", [2, 0, 1], None)]
+        e += [(c + 1, c + 2), (c + 1, c + 3)]
+    vertices = spark.createDataFrame(v, "vid long, seq string, counts array<int>, comp_id long")
+    edges = spark.createDataFrame(e, "src long, dst long")
+    fork = sorted(assembly.assemble(bubbles.load(4, [(i, s, n, [b for a, b in e if a == i]) for i, s, n, _ in v[:3]])))
+    for singles, alone in ((False, [("GATCCA", 2)]), (True, sorted(assembly.peel_alone("GATCCA", [2, 0, 1], 4)))):
+        made = assembly.assemble_components(vertices, edges, 4, peel_singles=singles)
+        assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+        want = [(c + i, *x) for c in range(0, 400, 4) for i, found in ((1, fork), (4, alone)) for x in found]
+        assert sorted((r.comp_id, r.seq, r.cnt) for r in made.collect()) == want
