@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from peakmill.functions.compaction import compacted, dealt
 from peakmill.functions.sequence import kmers, nonzero_fragments, reverse_complement
 from peakmill.operators.components import components
-from peakmill.runtime import materialize, parts_for
+from peakmill.runtime import materialize, materialize_counting, materialize_while, parts_for
 
 #: k-mers of one lot, both strands.
 LOT = 100_000
@@ -105,43 +105,56 @@ def _ranked(hook: DataFrame, parts: int) -> DataFrame:
     heads = hook.select(F.col("src").alias("id")).join(hook.select(F.col("dst").alias("id")), "id", "left_anti")
     inner = hook.select(F.col("dst").alias("id"), F.col("src").alias("up"), F.lit(1).cast("bigint").alias("dist"), F.lit(False).alias("done"), F.least("src", "dst").alias("low"))
     cur = heads.select("id", F.col("id").alias("up"), F.lit(0).cast("bigint").alias("dist"), F.lit(True).alias("done"), F.col("id").alias("low"))
-    cur = materialize(cur.unionByName(inner).coalesce(parts), "chains")
-    left = cur.where("not done").count()
-    total, rounds = left + 1, 0
-    while left and (1 << rounds) <= 2 * total:
+    cur, left = materialize_counting(cur.unionByName(inner).coalesce(parts), "chains", "not done")
+    while left:
         nxt = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), F.col("low").alias("low2"))
-        cur = materialize(
+        cur, now = materialize_counting(
             cur.where("not done")
             .join(nxt, "up")
             .select("id", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), F.least("low", "low2").alias("low"))
             .unionByName(cur.where("done"))
             .coalesce(parts),
             "chains",
+            "not done",
         )
-        now = cur.where("not done").count()
-        rounds += 1
-        if now == left and (1 << rounds) > left:
+        # a chain that goes on has a node a step beyond those that are done, which the next round reaches: only rings are left
+        if now == left:
             break
         left = now
     placed = cur.where("done").select("id", F.col("up").alias("head"), "dist", F.lit(False).alias("ring"))
-    return placed.unionByName(_rings(cur.where("not done").select("id", "low"), hook).withColumn("ring", F.lit(True))) if left else placed
+    return placed.unionByName(_rings(_lowest(cur.where("not done").select("id", "up", "low"), parts_for(left, 200_000)), hook).withColumn("ring", F.lit(True))) if left else placed
+
+
+def _lowest(ring: DataFrame, parts: int) -> DataFrame:
+    """(id, low) of nodes on rings, whose low is the least of as many nodes as up is before them: the least of the whole ring.
+
+    If twice as many change no low, stretches that follow one another all round have the same one.
+    """
+    moving = True
+    while moving:
+        nxt = ring.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
+        nxt = ring.join(nxt, "up").select("id", F.col("up2").alias("up"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved"))
+        ring, moving = materialize_while(nxt.coalesce(parts), "rings", "moved")
+        ring = ring.drop("moved")
+    return ring.select("id", "low")
 
 
 def _rings(ring: DataFrame, hook: DataFrame) -> DataFrame:
     """(id, head, dist) of nodes on rings, cut before the smallest node of each."""
     step = ring.join(hook.select(F.col("dst").alias("id"), F.col("src").alias("up")), "id")
     is_head = F.col("id") == F.col("low")
-    cur = materialize(step.select("id", F.when(is_head, F.col("id")).otherwise(F.col("up")).alias("up"), F.when(is_head, 0).otherwise(1).cast("bigint").alias("dist"), is_head.alias("done")), "rings")
-    while cur.where("not done").limit(1).count():
+    cur, going = materialize_while(step.select("id", F.when(is_head, F.col("id")).otherwise(F.col("up")).alias("up"), F.when(is_head, 0).otherwise(1).cast("bigint").alias("dist"), is_head.alias("done")).withColumn("going", ~F.col("done")), "rings", "going")
+    while going:
         nxt = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
-        cur = materialize(
+        cur, going = materialize_while(
             cur.join(nxt, "up").select(
                 "id",
                 F.when(F.col("done"), F.col("up")).otherwise(F.col("up2")).alias("up"),
                 F.when(F.col("done"), F.col("dist")).otherwise(F.col("dist") + F.col("dist2")).alias("dist"),
                 (F.col("done") | F.col("done2")).alias("done"),
-            ),
+            ).withColumn("going", ~F.col("done")),
             "rings",
+            "going",
         )
     return cur.select("id", F.col("up").alias("head"), "dist")
 

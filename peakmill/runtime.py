@@ -59,14 +59,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_while(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, bool]:
-    """materialize(), and whether the flag column holds in any row, seen while writing: a round of an iteration in one job."""
+def materialize_counting(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, int]:
+    """materialize(), and in how many rows the flag column holds, seen while writing: a round of an iteration in one job."""
     seen = Observation()
     path = scratch_path(df.sparkSession, name)
     if _scopes:
         _scopes[-1][0].append(path)
-    df.observe(seen, F.count_if(flag).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), bool(seen.get["n"])
+    df.observe(seen, F.count_if(F.expr(flag)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def materialize_while(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, bool]:
+    """materialize(), and whether the flag column holds in any row."""
+    made, n = materialize_counting(df, name, flag)
+    return made, bool(n)
 
 
 def kept(df: DataFrame) -> DataFrame:

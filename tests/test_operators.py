@@ -580,3 +580,23 @@ def test_many_components_are_peeled_in_few_batches(spark):
         assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
         want = [(c + i, *x) for c in range(0, 400, 4) for i, found in ((1, fork), (4, alone)) for x in found]
         assert sorted((r.comp_id, r.seq, r.cnt) for r in made.collect()) == want
+
+
+def test_rounds_of_ranking_are_those_of_the_longest_chain(spark, monkeypatch):
+    """Rings among many short chains: each node's head and distance, in rounds of the logarithm of either's length and not of their number."""
+    from peakmill import runtime
+
+    lines = [list(range(i * 100, i * 100 + n)) for i, n in enumerate([2, 3, 4, 9, 5] * 60)]
+    rings = [[90_000 + 50 * i + (7 * j) % n for j in range(n)] for i, n in enumerate([2, 3, 5, 11, 40])]
+    hook = [(a, b) for x in lines for a, b in zip(x[:-1], x[1:])] + [(a, b) for x in rings for a, b in zip(x, [*x[1:], x[0]])]
+    random.Random(4).shuffle(hook)
+    written = []
+    real = runtime.scratch_path
+    monkeypatch.setattr(runtime, "scratch_path", lambda spark_, name: written.append(name) or real(spark_, name))
+    got = sorted((r.id, r.head, r.dist, r.ring) for r in graph._ranked(spark.createDataFrame(hook, "src long, dst long"), 1).collect())
+    want = [(v, x[0], i, False) for x in lines for i, v in enumerate(x)]
+    for x in rings:
+        at = x.index(min(x))
+        want += [(v, min(x), i, True) for i, v in enumerate(x[at:] + x[:at])]
+    assert got == sorted(want)
+    assert written.count("chains") <= 6 and written.count("rings") <= 11
