@@ -17,6 +17,28 @@ _LETTER[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 _WORDS = np.frombuffer("".join(a + b + c + d for a in "ACGT" for b in "ACGT" for c in "ACGT" for d in "ACGT").encode(), np.uint8).reshape(256, 4)
 
 
+def translated(batches: Iterator[pa.RecordBatch], table: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(columns, seq) of batches of (columns, text): bytes of texts by a table, those of number 0 fall out; null: empty."""
+    for whole in batches:
+        if not len(whole):
+            continue
+        cuts = np.flatnonzero(np.diff((_ends(whole.column(whole.num_columns - 1))[:-1].astype(np.int64)) // PIECE)) + 1
+        for a, z in zip([0, *cuts], [*cuts, len(whole)], strict=True):
+            b = whole.slice(a, z - a)
+            *columns, text = b.columns
+            ends = _ends(text)
+            out = table[np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+            kept = out != 0
+            left = np.append(0, np.cumsum(kept, dtype=np.int32))[ends - ends[0]].astype(np.int32)
+            seq = pa.StringArray.from_buffers(len(b), pa.py_buffer(left), pa.py_buffer(out[kept]))
+            yield pa.RecordBatch.from_arrays([*columns, seq], schema=schema)
+
+
+def _ends(text: pa.Array) -> np.ndarray:
+    """Where texts begin and end among their bytes; a null has none."""
+    return np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+
+
 def window_codes(letters: np.ndarray, k: int, both_strands: bool = False) -> np.ndarray:
     """Two bits a letter of every window of k letters (0 to 3, other values are no letters), in order; at most 31 letters.
 

@@ -7,14 +7,20 @@ the arm (even: treatment) and the replicate.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from peakmill.functions.codes import translated
 from peakmill.runtime import spread, table
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGT" * 13
 K = 11
+#: The base of each letter, by its byte; others fall out.
+_BASE_OF = np.zeros(256, np.uint8)
+_BASE_OF[np.frombuffer(LETTERS.encode(), np.uint8)] = np.frombuffer(BASES.encode(), np.uint8)
 
 READS_SQL = f"""reads AS (
   SELECT doc_id AS read_id, CASE WHEN doc_id % 2 = 0 THEN 'treatment' ELSE 'control' END AS arm, CAST((doc_id // 2) % 2 + 1 AS INTEGER) AS replicate,
@@ -44,13 +50,14 @@ CORRECTED_SQL = corrected_sql(K)
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, arm, replicate, seq)."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    seq = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]", ""), LETTERS, BASES)
-    return docs.select(
+    named = docs.select(
         F.col("doc_id").alias("read_id"),
         F.when(F.col("doc_id") % 2 == 0, "treatment").otherwise("control").alias("arm"),
         (F.floor(F.col("doc_id") / 2) % 2 + 1).cast("int").alias("replicate"),
-        seq.alias("seq"),
+        F.coalesce("text", F.lit("")).alias("seq"),
     )
+    schema = to_arrow_schema(named.schema)
+    return named.mapInArrow(lambda batches: translated(batches, _BASE_OF, schema), named.schema)
 
 
 def arm(counted: DataFrame, name: str) -> DataFrame:

@@ -600,3 +600,27 @@ def test_rounds_of_ranking_are_those_of_the_longest_chain(spark, monkeypatch):
         want += [(v, min(x), i, True) for i, v in enumerate(x[at:] + x[:at])]
     assert got == sorted(want)
     assert written.count("chains") <= 6 and written.count("rings") <= 11
+
+
+def test_reads_of_odd_texts(spark, tmp_path, monkeypatch):
+    """Nulls, texts without letters, letters beyond a-z, and batches that are cut within: as the SQL has them; no text goes through a regular expression."""
+    import duckdb
+
+    from peakmill.plans import inputs
+
+    texts = [None, "", "12 34\n", "Straße à la carte", "zZaA", "日本語 ok", "\x00b\x00", "word " * 50, None, "Ünï"] * 3
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"WITH {inputs.READS_SQL} SELECT read_id, arm, replicate, coalesce(seq, '') FROM reads").fetchall()
+    made = inputs.reads(spark, str(tmp_path))
+    assert "regexp_replace" not in made._jdf.queryExecution().executedPlan().toString()
+    assert rows(made) == sorted(want)
+    monkeypatch.setattr(codes, "PIECE", 40)
+    ids, text = pa.array(range(len(texts))), pa.array(["" if t is None else t for t in texts])
+    whole = pa.RecordBatch.from_arrays([ids, text], names=["id", "seq"])
+    parts = list(codes.translated(iter([whole.slice(3), whole.slice(0, 3), whole.slice(0, 0)]), inputs._BASE_OF, whole.schema))
+    assert len(parts) > 5
+    assert sorted((r["id"], r["seq"]) for b in parts for r in b.to_pylist()) == sorted((r[0], r[3]) for r in want)
+    nulls = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([""])], names=["id", "seq"])
+    assert [b.to_pylist() for b in codes.translated(iter([nulls]), inputs._BASE_OF, whole.schema)] == [[{"id": 1, "seq": ""}]]
