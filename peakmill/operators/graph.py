@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from peakmill.functions.compaction import compacted, dealt
 from peakmill.functions.sequence import kmers, nonzero_fragments, reverse_complement
 from peakmill.operators.components import components
-from peakmill.runtime import materialize, materialize_counting, materialize_while, parts_for
+from peakmill.runtime import materialize, materialize_counting, materialize_while, parts_for, replaced
 
 #: k-mers of one lot, both strands.
 LOT = 100_000
@@ -77,6 +77,7 @@ def unitigs(kmers_: DataFrame, *keys: str, counted: bool = False) -> tuple[DataF
     rows_arrow, made_arrow = to_arrow_schema(rows), to_arrow_schema(made)
     dealt_ = given.mapInArrow(lambda batches: dealt(batches, lots, rows_arrow), rows)
     pieces = materialize(dealt_.groupBy("lot").applyInArrow(lambda t: compacted(t, made_arrow), made), "pieces")
+    replaced(given)
     links = pieces.where("id is null").select(*keys, F.col("first").alias("src"), F.col("last").alias("dst"))
     pieces = pieces.where("id is not null")
     counts = ["counts"] if counted else []
@@ -108,6 +109,7 @@ def _ranked(hook: DataFrame, parts: int) -> DataFrame:
     cur, left = materialize_counting(cur.unionByName(inner).coalesce(parts), "chains", "not done")
     while left:
         nxt = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), F.col("low").alias("low2"))
+        before = cur
         cur, now = materialize_counting(
             cur.where("not done")
             .join(nxt, "up")
@@ -117,6 +119,7 @@ def _ranked(hook: DataFrame, parts: int) -> DataFrame:
             "chains",
             "not done",
         )
+        replaced(before)
         # a chain that goes on has a node a step beyond those that are done, which the next round reaches: only rings are left
         if now == left:
             break

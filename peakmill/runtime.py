@@ -75,6 +75,12 @@ def materialize_while(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, b
     return made, bool(n)
 
 
+def replaced(df: DataFrame) -> None:
+    """Remove the files of a materialized table once a later one holds all that is still needed of it."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        discard(df.sparkSession, path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df kept on executors' disks for several uses; a lost executor's part is computed anew."""
     if _scopes:
